@@ -5,7 +5,7 @@ tokens. Sibling subtrees are merged while they fit into a piece; only a node tha
 is descended into, and what is left of it merges on with its siblings. So a cut lies at the highest
 boundary there is within a piece's reach, and inside a word only where the word alone is too large.
 
-Sizes are tokens of the whole text's own encoding. Each piece after the first begins exactly the
+Sizes are tokens of the whole text's own encoding; a piece encoded alone keeps the limit too. Each piece after the first begins exactly the
 overlap's tokens before the end of the piece before it. Where a token's edge lies inside a character,
 cuts move to the character's edge; an overlap that begins inside one takes the whole character into
 ``text``.
@@ -16,7 +16,9 @@ give theirs again; an empty table gives no rows.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -83,26 +85,31 @@ class Tree:
         level[:n][(lines >= 1) & ((flags & _HEAD) > 0)] = SECTION
         level[:n][blank] = PART  # blanks stay with what they follow
         level[0] = level[n] = SECTION
-        self.level = level
-        self._at_most: dict[int, np.ndarray] = {}
-
-    def at_most(self, level: int) -> np.ndarray:
-        """Boundaries of a level and those above it."""
+        self.levels = level
+        # what single look-ups read is kept as lists: they are far quicker there than in arrays
+        self.upto, self.chars, self.level = self.upto.tolist(), self.chars.tolist(), level.tolist()
+        self._at_most: dict[int, tuple[list[int], list[int]]] = {}
+        self._inside: dict[int, tuple[list[int], list[bool]]] = {}
+
+    def at_most(self, level: int) -> tuple[list[int], list[int]]:
+        """Boundaries of a level and those above it, and the tokens before each."""
         found = self._at_most.get(level)
         if found is None:
-            found = self._at_most[level] = np.flatnonzero(self.level <= level)
+            places = np.flatnonzero(self.levels <= level).tolist()
+            found = self._at_most[level] = places, [self.upto[p] for p in places]
         return found
 
-    def inside(self, token: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Edges of a pre-token's tokens: characters up to each edge (partial ones not counted), whether the
-        edge is a character's, and the tokens' number."""
-        raw = self.tokens[token].encode()
-        ids = np.array(self.encoder.merge(raw), np.int64)
-        edge = np.r_[0, np.cumsum(self.encoder.widths[ids])]
-        first = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
-        starts = np.r_[0, np.cumsum(first)]
-        whole = np.r_[first, True][edge]
-        return starts[edge] - ~whole, whole, edge
+    def inside(self, token: int) -> tuple[list[int], list[bool]]:
+        """At each edge of a pre-token's tokens: whole characters up to it, and whether it is a character's edge."""
+        found = self._inside.get(token)
+        if found is None:
+            text = self.tokens[token]
+            ids = self.encoder.merge(text.encode())
+            edges = [0, *accumulate(self.encoder.widths[ids].tolist())]
+            starts = [0, *accumulate(len(c.encode()) for c in text)] if not text.isascii() else range(len(text) + 1)
+            shown = [bisect_right(starts, e) - 1 for e in edges]
+            found = self._inside[token] = shown, [starts[c] == e for c, e in zip(shown, edges)]
+        return found
 
     def cuts(self, room: int) -> list[tuple[int, int, int]]:
         """The pieces' ends as (tokens, characters, level), each at most ``room`` tokens after the one before."""
@@ -111,62 +118,78 @@ class Tree:
         return out
 
     def _pack(self, begin: int, end: int, level: int, room: int, out: list[tuple[int, int, int]]) -> None:
-        upto, here = self.upto, self.at_most(level) if level <= PART else None
-        start = int(upto[begin])
-        if out:
-            start = out[-1][0]
-        while start < upto[end]:
-            if upto[end] - start <= room:
-                out.append((int(upto[end]), int(self.chars[end]), int(self.level[end])))
+        upto, last = self.upto, self.upto[end]
+        start = out[-1][0] if out else upto[begin]
+        places, before = self.at_most(min(level, PART))
+        while start < last:
+            if last - start <= room:
+                out.append((last, self.chars[end], self.level[end]))
                 return
             # the furthest sibling boundary within reach: all subtrees up to it merge into one piece
-            k = int(np.searchsorted(upto[here], start + room, side="right")) - 1
-            reach = int(here[k])
-            if reach <= end and upto[reach] > start:
-                start = int(upto[reach])
-                out.append((start, int(self.chars[reach]), int(self.level[reach])))
+            k = bisect_right(before, start + room) - 1
+            reach = places[k]
+            if reach <= end and before[k] > start:
+                start = before[k]
+                out.append((start, self.chars[reach], self.level[reach]))
                 continue
-            stop = min(int(here[k + 1]), end)  # the node that begins here is too large: descend into it only
+            stop = min(places[k + 1], end)  # the node that begins here is too large: descend into it only
             if level < PART:
-                mark = int(here[k]) if upto[here[k]] >= start else int(np.searchsorted(upto, start, side="left"))
-                self._pack(max(mark, begin), stop, level + 1, room, out)
+                self._pack(max(reach, begin), stop, level + 1, room, out)
             else:
                 self._pack_tokens(stop - 1, start, room, out)
-            if out[-1][0] < upto[end] and len(out) > 1 and out[-1][0] == upto[stop]:
+            if out[-1][0] < last and len(out) > 1 and out[-1][0] == upto[stop]:
                 out.pop()  # what is left of the node merges on with its siblings
-            if out[-1][0] >= upto[end]:
-                return
             start = out[-1][0]
 
     def _pack_tokens(self, token: int, start: int, room: int, out: list[tuple[int, int, int]]) -> None:
-        shown, whole, edge = self.inside(token)
-        base, chars = int(self.upto[token]), int(self.chars[token])
-        good = np.flatnonzero(whole)
+        shown, whole = self.inside(token)
+        base, chars = self.upto[token], self.chars[token]
+        good = [i for i, w in enumerate(whole) if w]
         while True:
-            k = int(np.searchsorted(good, start - base + room, side="right")) - 1
-            at = int(good[k])
-            level = PART if at == len(edge) - 1 else TOKEN
+            at = good[bisect_right(good, start - base + room) - 1]
+            level = PART if at == len(whole) - 1 else TOKEN
             start = base + at
-            out.append((start, chars + int(shown[at]), level))
+            out.append((start, chars + shown[at], level))
             if level == PART:
                 return
 
     def character(self, token_at: int) -> int:
         """The character that holds the beginning of a token."""
-        k = int(np.searchsorted(self.upto, token_at, side="right")) - 1
+        k = bisect_right(self.upto, token_at) - 1
         if self.upto[k] == token_at:
-            return int(self.chars[k])
-        return int(self.chars[k] + self.inside(k)[0][token_at - self.upto[k]])
+            return self.chars[k]
+        return self.chars[k] + self.inside(k)[0][token_at - self.upto[k]]
+
+    def alone(self, token_at: int, tail: bool) -> int:
+        """By how many tokens a piece that begins (``tail``) or ends inside a pre-token differs from its own
+        encoding: the part of the pre-token in the piece, encoded alone, against its tokens here."""
+        k = bisect_right(self.upto, token_at) - 1
+        if self.upto[k] == token_at:
+            return 0
+        within = token_at - self.upto[k]
+        at = self.inside(k)[0][within]
+        part = self.tokens[k][at:] if tail else self.tokens[k][:at]
+        return len(self.encoder.merge(part.encode())) - (self.upto[k + 1] - token_at if tail else within)
 
 
 def pieces(tree: Tree, limit: int, overlap: int) -> list[tuple[int, int, int, int, int, str]]:
-    """(first token, tokens, overlapping tokens, first character, end character, kind of the end) per piece."""
-    out, before = [], 0
-    for end, chars, level in tree.cuts(limit - overlap):
-        first = max(0, before - overlap) if out else 0
-        begin = out[-1][4] if out and first == before else tree.character(first)
-        out.append((first, end - first, before - first, begin, chars, KINDS[level]))
-        before = end
+    """(first token, tokens, overlapping tokens, first character, end character, kind of the end) per piece.
+
+    A piece's text encoded alone keeps the limit too: where a piece that begins or ends inside a
+    pre-token would exceed it so, the text is cut again with fewer tokens a piece.
+    """
+    room = limit - overlap
+    while True:
+        out, before, most = [], 0, 0
+        for end, chars, level in tree.cuts(room):
+            first = max(0, before - overlap) if out else 0
+            begin = out[-1][4] if out and first == before else tree.character(first)
+            out.append((first, end - first, before - first, begin, chars, KINDS[level]))
+            most = max(most, end - first + tree.alone(first, True) + tree.alone(end, False))
+            before = end
+        if most <= limit or room <= LEAST:
+            break
+        room = max(LEAST, room - max(1, most - limit))
     if out:
         out[-1] = (*out[-1][:5], "end")
     return out
