@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varloom.llm.bpe import PATTERN, VOCABULARY, RankQueue, encode_corpus, load, token_counts
+from varloom.llm.bpe import PATTERN, VOCABULARY, Encoder, encode_corpus, load, token_counts
 from varloom.llm.packing import best_fit, pack_documents, pack_items
 from varloom.llm.splitting import Tree, describe, pieces, split_documents
 
@@ -25,16 +25,28 @@ def ids(text):
     return np.frombuffer(load().encode(text), np.int32).tolist()
 
 
-def test_rank_queue_orders():
-    rng, q, want = random.Random(1), RankQueue(50257), []
-    for i in range(2000):
-        r = rng.randrange(50257)
-        q.push(r, i)
-        want.append((r, i))
-    got = []
-    while (x := q.pop()) is not None:
-        got.append(x)
-    assert got == sorted(want) and not q.top and not any(q.low) and not any(q.middle)
+def test_merges_equal_brute_force():
+    def brute(ranks, piece):
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while True:
+            pairs = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+            if not pairs:
+                return [ranks[p] for p in parts]
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    rng, ranks = random.Random(1), {bytes([c]): i for i, c in enumerate(b"abc")}
+    pool = list(ranks)
+    while len(ranks) < 300:  # also pairs whose parts come later: the queue must take lower ranks as they appear
+        new = rng.choice(pool) + rng.choice(pool)
+        if new not in ranks and len(new) < 9:
+            ranks[new] = 3 + len(ranks) * 37 % 8000
+            pool.append(new)
+    enc = Encoder(ranks)
+    for _ in range(1500):
+        piece = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 60)))
+        assert enc.merge(piece) == brute(ranks, piece)
+        assert not any(enc.low) and not any(enc.middle)
 
 
 def test_ids_equal_other_implementation():

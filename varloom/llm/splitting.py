@@ -18,13 +18,13 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import VOCABULARY, Encoder, Measure, load
+from .bpe import VOCABULARY, Encoder, Measure, in_parts, load
 
 #: Levels of the tree from the top; a cut's kind is the level of its boundary.
 KINDS = ("section", "paragraph", "line", "sentence", "word", "part", "token")
@@ -57,39 +57,48 @@ def describe(token: str, n: int) -> int:
     return n << 40 | len(token) << 8 | flags
 
 
+def levels(packed: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The level of the boundary before each pre-token of several texts laid end to end."""
+    n = len(packed)
+    flags = packed & 0xFF
+    blank = (flags & _BLANK) > 0
+    newlines = np.zeros(n + 1, np.int64)
+    np.cumsum(flags & 3, out=newlines[1:])
+    own = np.repeat(begins, sizes)
+    here = np.arange(n)
+    solid = np.maximum.accumulate(np.where(blank, -1, here))  # the last pre-token up to each that isn't blank
+    before = np.r_[-1, solid[:-1]]
+    known = before >= own  # else there is none in this text
+    since = np.where(known, before + 1, own)
+    lines = newlines[:-1] - newlines[since]
+    gap = (here > since) | ((flags & _LEADING) > 0)
+    earlier = np.where(known, flags[np.maximum(before, 0)], 0)
+    level = np.full(n, PART, np.int8)
+    level[gap] = WORD
+    level[((earlier & _WIDE) > 0) | (((earlier & _ENDS) > 0) & gap)] = SENTENCE
+    level[lines >= 1] = LINE
+    level[lines >= 2] = PARAGRAPH
+    level[(lines >= 1) & ((flags & _HEAD) > 0)] = SECTION
+    level[blank] = PART  # blanks stay with what they follow
+    level[begins[sizes > 0]] = SECTION
+    return level
+
+
 class Tree:
     """Boundaries of one text: level, tokens before and characters before each pre-token."""
 
-    def __init__(self, encoder: Encoder, tokens: list[str], packed: np.ndarray) -> None:
+    def __init__(self, encoder: Encoder, tokens: list[str], packed: np.ndarray, level: np.ndarray | None = None) -> None:
         self.encoder, self.tokens = encoder, tokens
-        n = len(tokens)
-        self.upto = np.zeros(n + 1, np.int64)
-        np.cumsum(packed >> 40, out=self.upto[1:])
-        self.chars = np.zeros(n + 1, np.int64)
-        np.cumsum((packed >> 8) & 0xFFFFFFFF, out=self.chars[1:])
-        flags = packed & 0xFF
-        blank = (flags & _BLANK) > 0
-        newlines = np.zeros(n + 1, np.int64)
-        np.cumsum(flags & 3, out=newlines[1:])
-        at = np.where(blank, -1, np.arange(n))
-        solid = np.maximum.accumulate(at)  # the last pre-token up to each that isn't blank
-        before = np.r_[-1, solid[:-1]]
-        lines = newlines[:-1] - np.where(before >= 0, newlines[before + 1], 0)
-        gap = (np.arange(n) - before > 1) | ((flags & _LEADING) > 0)
-        earlier = np.where(before >= 0, flags[before], 0)
-        level = np.full(n + 1, PART, np.int8)
-        level[:n][gap] = WORD
-        level[:n][((earlier & _WIDE) > 0) | (((earlier & _ENDS) > 0) & gap)] = SENTENCE
-        level[:n][lines >= 1] = LINE
-        level[:n][lines >= 2] = PARAGRAPH
-        level[:n][(lines >= 1) & ((flags & _HEAD) > 0)] = SECTION
-        level[:n][blank] = PART  # blanks stay with what they follow
-        level[0] = level[n] = SECTION
-        self.levels = level
-        # what single look-ups read is kept as lists: they are far quicker there than in arrays
-        self.upto, self.chars, self.level = self.upto.tolist(), self.chars.tolist(), level.tolist()
+        if level is None:
+            level = levels(packed, np.zeros(1, np.int64), np.array([len(tokens)]))
+        self.levels = np.append(level, np.int8(SECTION))
+        # lists, as single look-ups are far quicker there than in arrays
+        self.upto = [0, *np.cumsum(packed >> 40).tolist()]
+        self.chars = [0, *np.cumsum((packed >> 8) & 0xFFFFFFFF).tolist()]
+        self.level = self.levels.tolist()
         self._at_most: dict[int, tuple[list[int], list[int]]] = {}
         self._inside: dict[int, tuple[list[int], list[bool]]] = {}
+        self._alone: dict[tuple[int, int], int] = {}
 
     def at_most(self, level: int) -> tuple[list[int], list[int]]:
         """Boundaries of a level and those above it, and the tokens before each."""
@@ -104,7 +113,7 @@ class Tree:
         found = self._inside.get(token)
         if found is None:
             text = self.tokens[token]
-            ids = self.encoder.merge(text.encode())
+            ids = np.frombuffer(self.encoder[text], np.int32)
             edges = [0, *accumulate(self.encoder.widths[ids].tolist())]
             starts = [0, *accumulate(len(c.encode()) for c in text)] if not text.isascii() else range(len(text) + 1)
             shown = [bisect_right(starts, e) - 1 for e in edges]
@@ -160,16 +169,27 @@ class Tree:
             return self.chars[k]
         return self.chars[k] + self.inside(k)[0][token_at - self.upto[k]]
 
-    def alone(self, token_at: int, tail: bool) -> int:
-        """By how many tokens a piece that begins (``tail``) or ends inside a pre-token differs from its own
-        encoding: the part of the pre-token in the piece, encoded alone, against its tokens here."""
-        k = bisect_right(self.upto, token_at) - 1
-        if self.upto[k] == token_at:
+    def alone(self, first: int, end: int) -> int:
+        """By how many tokens a piece differs from its own encoding: the parts of pre-tokens it begins or ends
+        in, encoded alone, against their tokens here."""
+        upto = self.upto
+        a, b = bisect_right(upto, first) - 1, bisect_right(upto, end) - 1
+        if upto[a] == first and upto[b] == end:
             return 0
-        within = token_at - self.upto[k]
-        at = self.inside(k)[0][within]
-        part = self.tokens[k][at:] if tail else self.tokens[k][:at]
-        return len(self.encoder.merge(part.encode())) - (self.upto[k + 1] - token_at if tail else within)
+        found = self._alone.get((first, end))
+        if found is None:
+            found = 0
+            head = self.inside(a)[0][first - upto[a]]
+            tail = self.inside(b)[0][end - upto[b]] if upto[b] != end else 0
+            if a == b:
+                found = (len(self.encoder[self.tokens[a][head:tail]]) >> 2) - (end - first)
+            else:
+                if upto[a] != first:
+                    found += (len(self.encoder[self.tokens[a][head:]]) >> 2) - (upto[a + 1] - first)
+                if upto[b] != end:
+                    found += (len(self.encoder[self.tokens[b][:tail]]) >> 2) - (end - upto[b])
+            self._alone[first, end] = found
+        return found
 
 
 def pieces(tree: Tree, limit: int, overlap: int) -> list[tuple[int, int, int, int, int, str]]:
@@ -185,7 +205,7 @@ def pieces(tree: Tree, limit: int, overlap: int) -> list[tuple[int, int, int, in
             first = max(0, before - overlap) if out else 0
             begin = out[-1][4] if out and first == before else tree.character(first)
             out.append((first, end - first, before - first, begin, chars, KINDS[level]))
-            most = max(most, end - first + tree.alone(first, True) + tree.alone(end, False))
+            most = max(most, end - first + tree.alone(first, end))
             before = end
         if most <= limit or room <= LEAST:
             break
@@ -212,36 +232,32 @@ def split_documents(df: DataFrame, limits: dict[int, tuple[int, int]], id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(vocabulary)
-        measure = Measure(encoder, describe)
-        findall, look = encoder.findall, measure.__getitem__
+        look = Measure(encoder, describe).__getitem__
         for batch in batches:
-            texts = batch.column(1)
-            rows, cols, size = [], [[] for _ in names[2:]], 0
-            which: list[int] = []
-            for i in range(len(texts)):
-                text = texts[i].as_py()
-                if not text or len(text.encode()) <= least:
-                    continue  # a token has a byte at least
-                tokens = findall(text)
-                packed = np.fromiter(map(look, tokens), np.int64, len(tokens))
-                total = int((packed >> 40).sum())
-                if total <= least:
+            for begin, texts in in_parts(batch.column(1)):
+                # a token has a byte at least, so shorter texts can't be above a limit
+                lists = encoder.cut([t if t and (len(t) > least or len(t.encode()) > least) else None for t in texts])
+                sizes = np.array([len(tokens) for tokens in lists])
+                if not sizes.any():
                     continue
-                tree = Tree(encoder, tokens, packed)
-                for limit_id, (most, overlap) in limits.items():
-                    if total <= most:
-                        continue
-                    for no, p in enumerate(pieces(tree, most, overlap), 1):
-                        rows.append(i)
-                        which.append(limit_id)
-                        for column, value in zip(cols, (no, *p, text[p[3] : p[4]])):
-                            column.append(value)
-                        size += p[4] - p[3]
-                if size > 8_000_000:
+                begins = np.cumsum(sizes) - sizes
+                packed = np.fromiter(map(look, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
+                level = levels(packed, begins, sizes)
+                upto = np.r_[0, np.cumsum(packed >> 40)]
+                totals = (upto[begins + sizes] - upto[begins]).tolist()
+                rows, which, cols = [], [], [[] for _ in names[2:]]
+                for i in np.flatnonzero(np.array(totals) > least).tolist():
+                    span = slice(begins[i], begins[i] + sizes[i])
+                    tree, text = Tree(encoder, lists[i], packed[span], level[span]), texts[i]
+                    for limit_id, (most, overlap) in limits.items():
+                        if totals[i] > most:
+                            found = pieces(tree, most, overlap)
+                            rows += [begin + i] * len(found)
+                            which += [limit_id] * len(found)
+                            for column, values in zip(cols, (range(1, len(found) + 1), *zip(*found), [text[p[3] : p[4]] for p in found])):
+                                column += values
+                if rows:
                     yield emit(batch, rows, which, cols)
-                    rows, cols, size, which = [], [[] for _ in names[2:]], 0, []
-            if rows:
-                yield emit(batch, rows, which, cols)
 
     def emit(batch: pa.RecordBatch, rows: list[int], which: list[int], cols: list[list]) -> pa.RecordBatch:
         kinds = [pa.int64()] * 6 + [pa.string()] * 2
