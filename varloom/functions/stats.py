@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 
 def lnfact(most: int) -> Column:
@@ -118,7 +118,7 @@ def permutation_threshold(coverage: int, level: float = 0.05) -> float:
     return float(p[order][np.searchsorted(np.cumsum(pmf[order]), level)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def permutation_threshold_of(coverage: pd.Series) -> pd.Series:
     """The threshold per distinct coverage; meant for a table of distinct coverages, joined back."""
     known = {c: permutation_threshold(int(c)) for c in coverage.dropna().unique()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import genomics as G, stats as S
 from ..plans.cut import cut
@@ -28,7 +28,7 @@ def adjust_vafs(sites: DataFrame, min_samples: int = 2) -> DataFrame:
     return sites.withColumn("adj_vaf_n", bound(v_n + offset)).withColumn("adj_vaf_t", bound(v_t + offset))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _imbalance(high: pd.Series, total: pd.Series) -> pd.Series:
     out = np.empty(len(total))
     for n in np.unique(total):
@@ -120,7 +120,7 @@ def likelihoods(sites: DataFrame, keys: list[str], x: Column, candidates: list[l
         terms = [S.poisson_pmf(table, F.lit(100.0 * m), x) for m in sorted(means)]
         out = terms[-1]
         for a, b in reversed(list(zip(terms, terms[1:]))):
-    XX
+            out = F.when(a >= b, a).otherwise(out)
         return F.ln(F.greatest(out, F.lit(1e-300))) if log else out
 
     return sites.groupBy(*keys).agg(*[F.sum(best(c)).alias(f"l{i}") for i, c in enumerate(candidates)])
