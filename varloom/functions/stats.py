@@ -88,6 +88,21 @@ def fisher_tails(table: Column, a: Column, b: Column, c: Column, d: Column) -> t
     return total(lambda x: x["x"] <= a), total(lambda x: x["x"] >= a), total(lambda x: x["p"] <= point * (1 + 1e-9))
 
 
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("p_left", "p_right", "p_two")]))
+def fisher_of(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
+    """The three p-values for tables of any size."""
+    top = int((a + b + c + d).max()) if len(a) else 0
+    log = np.r_[0.0, np.cumsum(np.log(np.arange(1, top + 1)))]
+    out = []
+    for w, x, y, z in zip(a, b, c, d):
+        row, col, n = int(w + x), int(w + y), int(w + x + y + z)
+        k = np.arange(max(0, row + col - n), min(row, col) + 1)
+        p = np.exp(log[row] + log[n - row] + log[col] + log[n - col] - log[n] - log[k] - log[row - k] - log[col - k] - log[n - row - col + k])
+        own = p[int(w) - k[0]]
+        out.append([min(float(p[m].sum()), 1.0) for m in (k <= w, k >= w, p <= own * (1 + 1e-9))])
+    return pd.DataFrame(out, columns=["p_left", "p_right", "p_two"])
+
+
 def fdr_threshold(df: DataFrame, p: str, alpha: float, keys: list[str] | None = None, dependent: bool = False) -> DataFrame:
     """Benjamini-Hochberg (-Yekutieli when ``dependent``) threshold per group: the largest p within its line, 0 without one.
 

@@ -24,7 +24,7 @@ def adjust_vafs(sites: DataFrame, min_samples: int = 2) -> DataFrame:
     known = in_het_band() & (F.col("n_samples") >= min_samples) & (F.col("avg_vaf_n") > 0) & ~F.coalesce(F.col("germline_gain"), F.lit(False))
     side = F.signum((2 * F.col("var_n") - F.col("cov_n")).cast("double"))
     offset = F.when(F.coalesce(known, F.lit(False)), -side * F.abs(F.lit(0.5) - F.col("avg_vaf_n"))).otherwise(0.0)
-    bound = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    bound = lambda x: F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
     return sites.withColumn("adj_vaf_n", bound(v_n + offset)).withColumn("adj_vaf_t", bound(v_t + offset))
 
 

@@ -58,7 +58,7 @@ def compare_regions(a: DataFrame, b: DataFrame) -> DataFrame:
 
     LOH agrees with LOH and homozygous loss, a gain with a gain; ``germline`` tells whether a germline gain overlaps. Unmatched rows stay.
     """
-    left = a.select("patient", "chrom", "start", "end", "event")
+    left = a.select("patient", "chrom", "start", "end", "event").distinct()
     right = b.select("patient", "chrom", F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.col("event").alias("b_event"))
     pairs = overlapping_intervals(left, right, ["patient", "chrom"], ("start", "end"), ("b_start", "b_end"))
     agree = ((F.col("event").isin("LOH") & F.col("b_event").isin("LOH", "DELHom")) | (F.col("event").isin("GainSomatic", "GainGermline")
@@ -67,7 +67,7 @@ def compare_regions(a: DataFrame, b: DataFrame) -> DataFrame:
     found = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_overlap"), F.count_if(agree).alias("n_agree"),
                                      F.max((F.col("b_event") == "GainGermline").cast("int")).alias("germline"))
     zero = F.lit(0).cast("bigint")
-    return left.distinct().join(found, keys, "left").select(*keys, F.coalesce("n_overlap", zero).alias("n_overlap"), F.coalesce("n_agree", zero).alias("n_agree"),
+    return left.join(found, keys, "left").select(*keys, F.coalesce("n_overlap", zero).alias("n_overlap"), F.coalesce("n_agree", zero).alias("n_agree"),
                                                             (F.coalesce("germline", F.lit(0)) == 1).alias("germline"))
 
 
