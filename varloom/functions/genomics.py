@@ -29,12 +29,18 @@ SHORT_ARMS = (
 NOVEL, UNKNOWN_RS = -5, -1
 
 
+def _lookup(pairs: dict, key: Column, default: Column | None = None) -> Column:
+    """A small table as a literal map, so that the key is computed once."""
+    table = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    found = F.try_element_at(table, key)
+    return found if default is None else F.coalesce(found, default)
+
+
 def chrom_code(name: Column) -> Column:
     """Chromosome name to 0..25 (X 23, Y 24, M 25); null when it is none."""
-    bare = F.regexp_replace(F.lower(F.trim(name)), "^(chr_|chr|c)", "")
-    number = F.when(bare.rlike("^[0-9]+$"), bare.try_cast("int"))
-    return (F.when(bare.startswith("x"), 23).when(bare.startswith("y"), 24).when(bare.startswith("m"), 25)
-            .when(number.between(0, 25), number)).cast("int")
+    # a name that doesn't match stays as it is, and so is in no table
+    bare = F.regexp_replace(F.lower(F.trim(name)), r"^(?:chr_|chr|c)?(?:0*([0-9]+)|(x|y|m).*)\z", "$1$2")
+    return _lookup({**{str(i): i for i in range(26)}, "x": 23, "y": 24, "m": 25}, bare)
 
 
 def chrom_dim(spark: SparkSession) -> DataFrame:
@@ -114,11 +120,7 @@ def complement(alleles: Column) -> Column:
 
 def mutation_type(name: Column) -> Column:
     """Known mutation type in its printed spelling, else None."""
-    low = F.lower(F.trim(name))
-    out = F.lit("None")
-    for known in MUTATION_TYPES:
-        out = F.when(low == known.lower(), known).otherwise(out)
-    return out
+    return _lookup({m.lower(): m for m in MUTATION_TYPES}, F.lower(F.trim(name)), F.lit("None"))
 
 
 def gene_name(name: Column) -> Column:

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions import genomics as G, stats as S
 from ..plans.cut import cut
 from ..plans.joins import sized_join
-from .copynumber import block_ratios, center_on_median, gene_blocks, smooth_blocks
-from .qc import in_het_band
+from .copynumber import block_ratios, center_on_median, chrom_coverage, gene_blocks, smooth_blocks
+from .qc import in_het_band, with_bias
 
 NEAR = 1 + 1e-9  # equal probabilities computed along two ways
 
@@ -137,21 +137,21 @@ def germline_aneuploidy(sites: DataFrame, coverage: DataFrame, min_ratio: float
                       (three & (F.col("rel_n") < min_ratio)).alias("contaminated"))
 
 
-def prepare_sites(sites: DataFrame, bias: DataFrame, coverage: DataFrame, smooth: bool = True) -> DataFrame:
-    """Cleaned sites with all that events are called from: cn, ratio, adjusted fractions, p-values, germline gain."""
-    from .qc import with_bias
+def prepare_sites(sites: DataFrame, bias: DataFrame, smooth: bool = True) -> DataFrame:
+    """Cleaned sites with all that events are called from: cn, ratio, adjusted fractions, p-values, germline gain.
 
-    gains = germline_aneuploidy(sites, coverage).select("sample", "chrom", "germline_gain")
+    The cleaned sites and their blocks are written once: three aggregates and the calls read them.
+    """
     blocks = cut(gene_blocks(sites))
+    gains = germline_aneuploidy(blocks, chrom_coverage(blocks)).select("sample", "chrom", "germline_gain")
     ratios = block_ratios(blocks)
     if smooth:
         ratios = smooth_blocks(ratios).withColumn("ratio", F.coalesce("smooth", "ratio"))
-    rows = blocks.join(ratios.select("sample", "chrom", "block", "ratio"), ["sample", "chrom", "block"], "left")
-    rows = rows.withColumn("ratio", F.coalesce("ratio", F.lit(1.0)))
+    ratios = ratios.select("sample", "chrom", "block", "ratio").join(gains, ["sample", "chrom"], "left")
+    rows = blocks.join(ratios, ["sample", "chrom", "block"], "left").withColumn("ratio", F.coalesce("ratio", F.lit(1.0)))
     if not smooth:
         rows = center_on_median(rows, ["sample"], "ratio")
-    rows = rows.withColumn("cn", 2 * F.col("ratio")).join(gains, ["sample", "chrom"], "left")
-    return with_imbalance(adjust_vafs(with_bias(rows, bias)))
+    return with_imbalance(adjust_vafs(with_bias(rows.withColumn("cn", 2 * F.col("ratio")), bias)))
 
 
 def dbscan(points: np.ndarray, eps: float, min_points: int) -> np.ndarray:
@@ -192,13 +192,18 @@ def dbscan(points: np.ndarray, eps: float, min_points: int) -> np.ndarray:
     return out
 
 
-def dbscan_cells(df: DataFrame, keys: list[str], id_col: str, x: str, y: str, eps: float, min_points: int, max_rounds: int = 60) -> DataFrame:
+def dbscan_cells(df: DataFrame, keys: list[str], id_col: str, x: str, y: str, eps: float, min_points: int,
+                 lattice: float | None = None, max_rounds: int = 60) -> DataFrame:
     """The same clusters without gathering a group: neighbours by an equi-join on cells, clusters as connected core points.
 
-    Equal points are one weighted point, so crowded spots don't multiply pairs. ``cluster`` is the smallest core
-    id of the cluster, null for noise; border points take the smallest core id within reach.
+    Equal points are one weighted point, so crowded spots don't multiply pairs. With ``lattice`` points are moved
+    to multiples of that step (finer than reads resolve fractions), which bounds the spots of a group by the
+    plane's area and the pairs by eps, whatever the number of rows; distances are then off by a step at most.
+    ``cluster`` is the smallest core id of the cluster, null for noise; border points take the smallest core id
+    within reach.
     """
-    rows = df.select(*keys, F.col(id_col).alias("__id"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    snap = (lambda c: F.round(F.round(c / lattice) * lattice, 9)) if lattice else (lambda c: c)
+    rows = df.select(*keys, F.col(id_col).alias("__id"), snap(F.col(x).cast("double")).alias("__x"), snap(F.col(y).cast("double")).alias("__y"))
     spots = cut(rows.groupBy(*keys, "__x", "__y").agg(F.min("__id").alias("s"), F.count(F.lit(1)).alias("w"))
                 .withColumn("cx", F.floor(F.col("__x") / eps)).withColumn("cy", F.floor(F.col("__y") / eps)))
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])

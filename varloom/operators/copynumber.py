@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import genomics as G
-from ..plans.intervals import ordered_islands
+from ..plans.intervals import anchor_groups, ordered_islands
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median", block: float = 1 / 256) -> DataFrame:
@@ -99,22 +98,9 @@ def center_on_median(df: DataFrame, keys: list[str], value: str, of: Column | No
 
 
 def smooth_blocks(ratios: DataFrame, reach: int = 1_000_000) -> DataFrame:
-    """Ratios averaged over anchored groups of consecutive blocks that begin within ``reach`` of the group's first.
-
-    Groups depend on those before, so a chromosome of a sample is one group map (of blocks, not of sites).
-    """
-    names = [*ratios.columns, "smooth"]
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("start", kind="stable")
-        group, first, ids = -1, None, []
-        for s in part["start"].tolist():
-            if first is None or s - first > reach:
-                group, first = group + 1, s
-            ids.append(group)
-        return part.assign(smooth=part["ratio"].groupby(ids).transform("mean"))[names]
-
-    return ratios.groupBy("sample", "chrom").applyInPandas(run, ", ".join(f"`{n}` {k}" for n, k in ratios.dtypes) + ", smooth double")
+    """``smooth``: ratios averaged over anchored groups of consecutive blocks that begin within ``reach`` of the group's first."""
+    rows = anchor_groups(ratios, ["sample", "chrom"], ["start"], "start", reach + 1, "__w")
+    return rows.withColumn("smooth", F.avg("ratio").over(Window.partitionBy("sample", "chrom", "__w"))).drop("__w")
 
 
 def region_mean(sites: DataFrame, regions: DataFrame, value: str) -> DataFrame:

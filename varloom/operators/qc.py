@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import genomics as G
+from ..plans.intervals import anchor_groups
 
 #: Bases of a density block in ``fixed`` mode; windows reach at most one block to either side.
 DENSITY_BLOCK = 5_000_000
@@ -85,34 +85,19 @@ def dense_sites(sites: DataFrame, keys: tuple[str, ...] = ("sample", "chrom"), p
     return rows.where(~((F.col("__c") == 1) & (F.col("__n") > most))).drop("__c", "__own", "__blk", "__n")
 
 
-def _anchored(positions: list[int], counted: list[bool], window: int, most: int, flush_last: bool) -> list[bool]:
-    keep, begin, n = [True] * len(positions), 0, 0
-    for i, p in enumerate(positions):
-        if i and p - positions[begin] >= window:
-            if n > most:
-                keep[begin:i] = [False] * (i - begin)
-            begin, n = i, 0
-        n += counted[i]
-    if flush_last and n > most:
-        keep[begin:] = [False] * (len(positions) - begin)
-    return keep
-
-
 def anchored_density(sites: DataFrame, counted: str, keys: tuple[str, ...] = ("sample", "chrom"), pos: str = "pos",
                      order: tuple[str, ...] = ("pos", "line_no"), window: int = 1000, most: int = 3, compat: bool = False) -> DataFrame:
     """Greedy windows: one opens at a site and takes what lies less than ``window`` bases on; windows with more than
-    ``most`` counted sites are dropped whole. ``compat`` never cleans the last window.
-
-    Windows depend on the one before, so a group is a (sample, chromosome), bounded by the chromosome's length.
+    ``most`` counted sites are dropped whole. ``compat`` never cleans the last window of a group.
     """
-    names = sites.columns
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(list(order), kind="stable")
-        keep = _anchored(part[pos].tolist(), part[counted].fillna(False).astype(bool).tolist(), window, most, not compat)
-        return part[keep][names]
-
-    return sites.groupBy(*keys).applyInPandas(run, sites.schema)
+    rows = anchor_groups(sites, list(keys), list(order), pos, window, "__w")
+    over = Window.partitionBy(*keys)
+    rows = rows.withColumn("__n", F.sum(F.coalesce(F.col(counted), F.lit(False)).cast("int")).over(Window.partitionBy(*keys, "__w")))
+    bad = F.col("__n") > most
+    if compat:
+        rows = rows.withColumn("__last", F.max("__w").over(over))
+        bad = bad & (F.col("__w") < F.col("__last"))
+    return rows.where(~bad).select(*sites.columns)
 
 
 def overlaps_any(regions: DataFrame, chosen: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:

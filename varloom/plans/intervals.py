@@ -208,3 +208,32 @@ def fill_midpoints(segments: DataFrame, keys: list[str], low: str, high: str) ->
     ahead, behind = F.lead(low).over(over), F.lag(high).over(over)
     return segments.select(*segments.columns, F.when(behind.isNull(), F.col(low)).otherwise(F.floor((behind + F.col(low)) / 2) + 1).alias("fill_start"),
                            F.when(ahead.isNull(), F.col(high)).otherwise(F.floor((F.col(high) + ahead) / 2)).alias("fill_end"))
+
+
+def anchor_groups(df: DataFrame, keys: list[str], order: list[str], position: str, reach: int, out: str = "anchor") -> DataFrame:
+    """``df`` with the number of the greedy window each row falls into: a window opens at a row and takes the rows of
+    its keys less than ``reach`` on; the next row opens the next one.
+
+    Rows stream through in order and only the open window's start is remembered, so a group of any size passes.
+    """
+    import pyarrow as pa
+
+    names = df.columns
+    at = [names.index(k) for k in keys]
+    place = names.index(position)
+
+    def run(batches):
+        key, start, number = None, 0, 0
+        for batch in batches:
+            ids = []
+            for *k, p in zip(*[batch.column(i).to_pylist() for i in (*at, place)]):
+                if k != key:
+                    key, start, number = k, p, number + 1
+                elif p - start >= reach:
+                    start, number = p, number + 1
+                ids.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], [*names, out])
+
+    schema = ", ".join(f"`{n}` {k}" for n, k in df.dtypes) + f", `{out}` bigint"
+    rows = df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
+    return rows.mapInArrow(run, schema)

@@ -160,8 +160,7 @@ def germline_aneuploidy(spark, sf_dir):
 
 
 def _prepared(spark, sf_dir, smooth):
-    s = _sites(spark, sf_dir)
-    return C.prepare_sites(s, _bias(spark, sf_dir), N.chrom_coverage(s), smooth)
+    return C.prepare_sites(_sites(spark, sf_dir), _bias(spark, sf_dir), smooth)
 
 
 def plane_split(spark, sf_dir):
@@ -246,7 +245,7 @@ def region_caller(spark, sf_dir):
 def dbscan(spark, sf_dir):
     s = _sites(spark, sf_dir).where(Q.in_het_band()).where("cov_t > 0")
     pts = s.select("sample", "site_id", G.vaf(F.col("var_t"), F.col("cov_t")).alias("x"), G.vaf(F.col("var_n"), F.col("cov_n")).alias("y"))
-    return C.dbscan_cells(pts, ["sample"], "site_id", "x", "y", 0.035, 100)
+    return C.dbscan_cells(pts, ["sample"], "site_id", "x", "y", 0.035, 100, lattice=0.005)
 
 
 def gene_tally(spark, sf_dir):
