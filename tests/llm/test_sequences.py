@@ -113,11 +113,13 @@ def test_burst_trie():
 
 
 def test_routes():
-    sizes = [("f", "", 1), ("f", "a", 50), ("f", "ab", 500), ("f", "abc", 400), ("f", "b", 3)]
-    routes = choose_routes(sizes, 100, 64)["f"]
-    assert {"", "a", "ab", "abc", "b"} == set(routes)
+    weights = [("f", "", 954), ("f", "a", 950), ("f", "ab", 900), ("f", "abc", 400), ("f", "b", 3)]
+    found = choose_routes(weights, 100, 64)["f"]
+    assert found == {"": 1, "a": 1, "ab": 5, "abc": 4, "b": 1}  # 500 terms of small branches stay with "ab"
+    routes = list(found)
     for term, want in (("abcd", "abc"), ("abd", "ab"), ("ax", "a"), ("zz", ""), ("", ""), ("b", "b"), ("abcz", "abc")):
         assert route_of(routes, term) == want
+    assert choose_routes([("f", "", 5)], 100, 64) == {"f": {"": 1}}
 
 
 @pytest.mark.parametrize("burst, hold, route_terms", [(4096, 500000, 200000), (2, 5, 4)])

@@ -13,6 +13,7 @@ very long terms are kept whole; an empty table gives no terms.
 from __future__ import annotations
 
 import bisect
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,22 +103,23 @@ def _batch_counts(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), np.bincount(codes, minlength=k), np.bincount(pairs % k, minlength=k)
 
 
-def choose_routes(sizes: list[tuple[str, str, int]], route_terms: int, max_routes: int) -> dict[str, list[str]]:
-    """Per field, sorted prefixes whose subtrees hold about ``route_terms`` terms at most; "" catches the rest."""
-    routes: dict[str, list[str]] = {}
-    limit = max(route_terms, sum(n for _, _, n in sizes) // max(1, max_routes // 2))
-    for field in sorted({f for f, _, _ in sizes}):
-        weight: dict[str, int] = {}
-        for f, prefix, n in sizes:
-            if f == field:
-                for cut_at in range(len(prefix) + 1):
-                    weight[prefix[:cut_at]] = weight.get(prefix[:cut_at], 0) + n
-        chosen = [""]
-        for prefix, n in weight.items():
-            # a prefix becomes a route of its own where its parent holds too much for one task
-            if prefix and weight[prefix[:-1]] > limit:
-                chosen.append(prefix)
-        routes[field] = sorted(chosen)
+def choose_routes(weights: list[tuple[str, str, int]], route_terms: int, max_routes: int) -> dict[str, dict[str, int]]:
+    """Per field the routes (prefix -> buckets) from the terms below each known prefix.
+
+    A prefix is a route of its own where its parent holds more than one task should. What a route keeps after its
+    longer routes are taken away may still be too much (many small branches): then its terms are dealt to buckets.
+    """
+    routes: dict[str, dict[str, int]] = {}
+    whole = sum(n for _, prefix, n in weights if not prefix)
+    limit = max(route_terms, whole // max(1, max_routes // 2))
+    for field in sorted({f for f, _, _ in weights}):
+        weight = {p: n for f, p, n in weights if f == field}
+        chosen = {p for p in weight if not p or weight.get(p[:-1], 0) > limit}
+        rest = {p: weight[p] for p in chosen}
+        for p in chosen:
+            if p:
+                rest[p[:-1]] -= weight[p]  # a route's parent is a route: it is heavier still
+        routes[field] = {p: max(1, -(-rest[p] // limit)) for p in sorted(chosen)}
     return routes
 
 
@@ -170,31 +172,34 @@ def count_terms(df: DataFrame, fields: dict[str, Column], burst: int = BURST, ho
         yield from dump(tries)
 
     trees = cut(source.mapInArrow(count, CONTAINER))
-    # containers by prefix: bounded by keeping only prefixes above the share of one route
-    sizes = trees.groupBy("field", "prefix").agg(F.sum("n").cast("long").alias("n"))
+    # terms below each prefix, of containers of any depth; only heavy prefixes are gathered, at most 4 * max_routes a length
+    above = F.transform(F.sequence(F.lit(0), F.length("prefix")), lambda i: F.substring("prefix", F.lit(1), i))
+    sizes = trees.select("field", F.explode(above).alias("prefix"), "n").groupBy("field", "prefix").agg(F.sum("n").cast("long").alias("n"))
     total = trees.agg(F.sum("n")).first()[0] or 0
     least = max(1, total // (4 * max_routes))
-    known = [(r["field"], r["prefix"], r["n"]) for r in sizes.where(F.col("n") >= least).collect()]
+    known = [(r["field"], r["prefix"], r["n"]) for r in sizes.where((F.col("n") >= least) | (F.col("prefix") == "")).collect()]
     routes = choose_routes(known, route_terms, max_routes)
+    ordered = {f: list(r) for f, r in routes.items()}
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for field, prefix, _, suffixes, occurrences, records in zip(*[c.to_pylist() for c in batch.columns]):
-                own = routes.get(field, [""])
-                begin, here = 0, None
-                for i, suffix in enumerate([*suffixes, None]):
-                    to = None if suffix is None else route_of(own, prefix + suffix)
-                    if i and to != here:
-                        for column, value in zip(out, (field, here, i - begin, [prefix + s for s in suffixes[begin:i]],
-                                                       occurrences[begin:i], records[begin:i])):
-                            column.append(value)
-                        begin = i
-                    here = to
-            yield pa.RecordBatch.from_arrays([
-                pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()),
-                pa.array(out[3], pa.list_(pa.string())), pa.array(out[4], pa.list_(pa.int64())), pa.array(out[5], pa.list_(pa.int64()))],
-                ["field", "prefix", "n", "suffixes", "occurrences", "records"])
+                own, buckets = ordered[field], routes[field]
+                parts: dict[tuple[str, int], tuple[list, list, list]] = {}
+                for suffix, o, r in zip(suffixes, occurrences, records):
+                    term = prefix + suffix
+                    to = route_of(own, term)
+                    k = buckets[to]
+                    part = parts.setdefault((to, zlib.crc32(term.encode()) % k if k > 1 else 0), ([], [], []))
+                    for column, value in zip(part, (term, o, r)):
+                        column.append(value)
+                for (to, bucket), (terms, os, rs) in parts.items():
+                    for column, value in zip(out, (field, to, bucket, len(terms), terms, os, rs)):
+                        column.append(value)
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)],
+                                             ["field", "prefix", "bucket", "n", "suffixes", "occurrences", "records"])
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
         # subtrees are sorted runs; equal terms of all runs become one with their counters added
@@ -206,7 +211,8 @@ def count_terms(df: DataFrame, fields: dict[str, Column], burst: int = BURST, ho
         np.add.at(records, codes, np.concatenate(part["records"].to_list()))
         return pd.DataFrame({"field": part["field"].iloc[0], "term": unique, "occurrences": occurrences, "records": records})
 
-    return trees.mapInArrow(split, CONTAINER).groupBy("field", "prefix").applyInPandas(
+    routed = CONTAINER.replace("n int", "bucket int, n int")
+    return trees.mapInArrow(split, routed).groupBy("field", "prefix", "bucket").applyInPandas(
         merge, "field string, term string, occurrences bigint, records bigint")
 
 
