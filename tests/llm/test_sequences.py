@@ -110,6 +110,10 @@ def test_burst_trie():
     got = {p + s: (o, r) for p, ss, os, rs in trie.subtrees() for s, o, r in zip(ss, os, rs)}
     assert got == want and trie.size == len(want)
     assert max(len(b) for b in trie.containers.values()) <= 3
+    deep = BurstTrie(burst=3)
+    for i in range(20):
+        deep.add("x" * 5000 + str(i), 1, 1)
+    assert max(map(len, deep.containers)) == 64 and sum(len(s) for _, s, _, _ in deep.subtrees()) == 20
 
 
 def test_routes():

@@ -25,6 +25,8 @@ from ..plans.cut import cut
 
 #: Terms of a container before it bursts.
 BURST = 4096
+#: Characters of the longest prefix; containers there keep growing, and routes deal them to buckets.
+DEPTH = 64
 #: Terms a task's trie holds before it is written out and begun again.
 HOLD = 500_000
 #: Most routes; they are the only thing sent to all tasks.
@@ -58,7 +60,7 @@ class BurstTrie:
         if counter is None:
             box[suffix] = [occurrences, records]
             self.size += 1
-            if len(box) > self.burst and prefix not in self.burst_nodes:
+            if len(box) > self.burst and prefix not in self.burst_nodes and len(prefix) < DEPTH:
                 self._burst(prefix)
         else:
             counter[0] += occurrences
@@ -73,7 +75,7 @@ class BurstTrie:
                 children[suffix[0]] = longer
             self.containers.setdefault(longer, {})[suffix[1:]] = counter
         for longer in list(children.values()):
-            if len(self.containers[longer]) > self.burst:
+            if len(self.containers[longer]) > self.burst and len(longer) < DEPTH:
                 self._burst(longer)
 
     def subtrees(self) -> Iterator[tuple[str, list[str], list[int], list[int]]]:
