@@ -113,3 +113,25 @@ def test_permutation(spark):
     lengths, counts = [100.0] * 50, [1] * 50
     assert M.mutation_permutation(spark, lengths, counts, 5, 0.01, trials=2000).first()[0] == 1.0
     assert M.mutation_permutation(spark, lengths, counts, 5, 0.5, trials=2000).first()[0] == pytest.approx(1 / 2000)
+
+
+def test_imputed_and_classified(spark):
+    scored = spark.createDataFrame([(1, 10, 100), (1, 30, 200)], "chrom int, pos bigint, g bigint")
+    got = {r["pos"]: r["g"] for r in K.impute_scores(spark.createDataFrame([(1, 5), (1, 15), (1, 40), (1, 10)], "chrom int, pos bigint"), scored).collect()}
+    assert got == {5: 100, 15: 125, 40: 200, 10: 100}
+    peaks = spark.createDataFrame([("AMP", 1, 1, 100, 5, 9, 50), ("AMP", 1, 1, 10, 5, 9, 50)], "type string, chrom int, region_start int, region_end int, peak_start int, peak_end int, g int")
+    arms = spark.createDataFrame([(1, "p", 60)], "chrom int, arm string, broad_length int")
+    rows = K.classify_peaks(peaks, arms, spark.createDataFrame([("AMP", 20)], "type string, g_sig int")).orderBy("region_end").collect()
+    assert [(r["is_broad"], r["is_focal"]) for r in rows] == [(False, False), (True, True)]
+    with pytest.raises(ValueError):
+        K.require_several_samples(spark.createDataFrame([("AMP", "s", 5), ("DEL", "s", 0)], "type string, sample string, score int"))
+
+
+def test_cluster_summaries(spark):
+    from varloom.operators import classify as C
+
+    df = spark.createDataFrame([("k", 1, 0.5, 0.5), ("k", 1, 0.52, 0.5), ("k", 1, 0.5, 0.6), ("k", 2, 0.9, 0.9), ("k", None, 0.1, 0.1)], "k string, cluster int, x double, y double")
+    assert C.central_cluster(df, ["k"], "x", "y").first()["cluster"] == 1
+    assert tuple(C.largest_cluster(df, ["k"]).first()) == ("k", 1, 3)
+    rows = C.within_min_radius(df, ["k"], "x", "y").collect()
+    assert {r["inside"] for r in rows if r["cluster"] is None} == {None} and len(rows) == 5

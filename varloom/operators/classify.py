@@ -244,3 +244,36 @@ def kmeans_lloyd(points: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
             if (labels == j).any():
                 centres[j] = points[labels == j].mean(0)
     return labels
+
+
+def central_cluster(clusters: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """Per group the cluster of the point nearest to the middle of all points' range."""
+    middle = clusters.groupBy(*keys).agg(((F.min(x) + F.max(x)) / 2).alias("__mx"), ((F.min(y) + F.max(y)) / 2).alias("__my"))
+    d = (F.col(x) - F.col("__mx")) ** 2 + (F.col(y) - F.col("__my")) ** 2
+    return clusters.join(middle, keys).groupBy(*keys).agg(F.min_by("cluster", F.struct(d.alias("d"), "cluster")).alias("cluster"))
+
+
+def largest_cluster(clusters: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group the cluster of most points, noise aside; ties to the smallest."""
+    counts = clusters.where("cluster IS NOT NULL").groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(*keys).agg(F.max_by("cluster", F.struct("n", -F.col("cluster"))).alias("cluster"), F.max("n").alias("n"))
+
+
+def within_min_radius(clusters: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """``inside``: the point lies within the smaller of its cluster's two radii around the cluster's centre; null for noise."""
+    both = [*keys, "cluster"]
+    centre = clusters.where("cluster IS NOT NULL").groupBy(*both).agg(F.avg(x).alias("__cx"), F.avg(y).alias("__cy"))
+    rows = clusters.join(centre, both, "left")
+    radius = rows.where("cluster IS NOT NULL").groupBy(*both).agg(
+        F.least(F.max(F.abs(F.col(x) - F.col("__cx"))), F.max(F.abs(F.col(y) - F.col("__cy")))).alias("__r"))
+    d = (F.col(x) - F.col("__cx")) ** 2 + (F.col(y) - F.col("__cy")) ** 2
+    return rows.join(radius, both, "left").withColumn("inside", d <= F.col("__r") * F.col("__r")).drop("__cx", "__cy", "__r")
+
+
+def purity_estimate(sites: DataFrame) -> DataFrame:
+    """Per sample the tumor's share from its LOH and copy-neutral sites: the mean of the fractions' larger side, each solved for purity."""
+    v = G.vaf(F.col("var_t"), F.col("cov_t"))
+    big = F.greatest(v, 1 - v)
+    own = sites.where(F.col("event").isin("LOH", "cnLOH") & in_het_band())
+    m = own.groupBy("sample", "event").agg(F.avg(big).alias("v"), F.count(F.lit(1)).alias("n"))
+    return m.select("sample", "event", "n", F.when(F.col("event") == "cnLOH", G.purity_from_vaf(F.col("v"), True)).otherwise(G.purity_from_vaf(F.col("v"), False)).alias("purity"))

@@ -276,3 +276,43 @@ def copy_numbers_to_markers(calls: DataFrame, markers: DataFrame) -> DataFrame:
     rows = points_in_intervals(markers.select("marker", "chrom", "pos"), calls.select("sample", "chrom", "start", "end", (F.col("cn") - 2).alias("value")), ["chrom"], "pos", "start", "end")
     rows = rows.select("sample", "marker", "chrom", "pos", "value")
     return rows.join(rows.where("value <> 0").select("marker").distinct(), "marker", "left_semi")
+
+
+def gene_scores(scores: DataFrame, genes: DataFrame, q: DataFrame) -> DataFrame:
+    """Per gene (gene, chrom, start, end) and type the rounded mean score of its closest markers and the q of that score."""
+    from ..plans.intervals import markers_of_intervals
+
+    probes = scores.select("chrom", "pos").distinct()
+    closest = markers_of_intervals(genes.select("gene", "chrom", "start", "end"), probes, ["chrom"], "start", "end", "pos")
+    by = closest.join(scores.select("chrom", "pos", "type", "g"), ["chrom", "pos"]).groupBy("gene", "chrom", "start", "end", "type").agg(
+        F.floor(F.avg("g") + 0.5).cast("bigint").alias("g"))
+    return floor_q(by, q)
+
+
+def impute_scores(markers: DataFrame, scored: DataFrame) -> DataFrame:
+    """Scores of unscored markers (chrom, pos) from the scored ones (chrom, pos, g) on either side, weighted by nearness; on a chromosome's ends the only neighbour's."""
+    from ..plans.intervals import asof_floor
+
+    s = scored.select("chrom", F.col("pos").cast("bigint").alias("pos"), F.struct(F.col("pos").alias("p"), "g").alias("s"))
+    m = markers.select("chrom", F.col("pos").cast("bigint").alias("pos"))
+    low = asof_floor(m, s, ["chrom"], "pos", "s", "b")
+    flip = lambda d: d.withColumn("pos", -F.col("pos"))
+    both = flip(asof_floor(flip(low), flip(s), ["chrom"], "pos", "s", "a"))
+    d1, d2 = F.col("pos") - F.col("b.p"), F.col("a.p") - F.col("pos")
+    mixed = F.when(d1 + d2 == 0, (F.col("b.g") + F.col("a.g")) / 2).otherwise((d2 * F.col("b.g") + d1 * F.col("a.g")) / (d1 + d2))
+    return both.select("chrom", "pos", F.when(F.col("b").isNull(), F.col("a.g")).when(F.col("a").isNull(), F.col("b.g")).otherwise(F.floor(mixed)).cast("bigint").alias("g"))
+
+
+def classify_peaks(peaks: DataFrame, arms: DataFrame, g_sig: DataFrame, peak_g: str = "g") -> DataFrame:
+    """``is_broad``: the region is at least its arm's threshold long (chrom, arm, broad_length); ``is_focal``: a broad region's peak scores twice the significance threshold or more."""
+    rows = peaks.withColumn("arm", arm(F.col("chrom"), F.col("peak_start"))).join(arms, ["chrom", "arm"], "left").join(g_sig, "type", "left")
+    broad = F.coalesce(F.col("region_end") - F.col("region_start") + 1 >= F.col("broad_length"), F.lit(False))
+    return rows.withColumn("is_broad", broad).withColumn("is_focal", broad & F.coalesce(F.col(peak_g) >= 2 * F.col("g_sig"), F.lit(False))).drop("broad_length", "g_sig")
+
+
+def require_several_samples(parts: DataFrame) -> DataFrame:
+    """Raises when a type has aberrations in one sample only: its null distribution would be that sample's own."""
+    lone = parts.where("score <> 0").groupBy("type").agg(F.count_distinct("sample").alias("n")).where("n = 1").collect()
+    if lone:
+        raise ValueError(f"aberrations of a single sample: {sorted(r['type'] for r in lone)}")
+    return parts

@@ -237,3 +237,35 @@ def anchor_groups(df: DataFrame, keys: list[str], order: list[str], position: st
     schema = ", ".join(f"`{n}` {k}" for n, k in df.dtypes) + f", `{out}` bigint"
     rows = df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
     return rows.mapInArrow(run, schema)
+
+
+def markers_of_intervals(intervals: DataFrame, markers: DataFrame, keys: list[str], low: str, high: str, pos: str) -> DataFrame:
+    """Each interval with the markers inside it; without any, with the next marker after its start, else the last one before.
+
+    ``markers`` may have no column of ``intervals`` but the keys; intervals of a key without markers are left out.
+    """
+    names = intervals.columns
+    extra = [c for c in markers.columns if c not in keys]
+    inside = points_in_intervals(markers, intervals.distinct(), keys, pos, low, high).select(*names, *extra)
+    hit = inside.select(*names).distinct()
+    lone = intervals.distinct().join(hit, [intervals[c].eqNullSafe(hit[c]) for c in names], "left_anti")
+    row = F.struct(*extra)
+    probes = markers.select(*keys, F.col(pos).cast("bigint").alias("__p"), row.alias("__m"))
+    starts = lone.withColumn("__p", F.col(low).cast("bigint"))
+    before = asof_floor(starts, probes, keys, "__p", "__m", "__before")
+    flip = lambda d: d.withColumn("__p", -F.col("__p"))
+    both = asof_floor(flip(before), flip(probes), keys, "__p", "__m", "__after")
+    chosen = both.withColumn("__m", F.coalesce("__after", "__before")).where("__m IS NOT NULL")
+    return inside.unionByName(chosen.select(*names, *[F.col(f"__m.{c}").alias(c) for c in extra]))
+
+
+def neighbours_of_intervals(a: DataFrame, b: DataFrame, keys: list[str], a_ends: tuple[str, str], b_ends: tuple[str, str], reach: int = 100_000) -> DataFrame:
+    """Each interval of ``a`` with those of ``b`` that overlap it and the nearest ones on either side closer than ``reach``: ``distance`` 0 or more."""
+    names = a.columns
+    wide = a.distinct().withColumn("__lo", F.col(a_ends[0]) - reach + 1).withColumn("__hi", F.col(a_ends[1]) + reach - 1)
+    near = overlapping_intervals(wide, b, keys, ("__lo", "__hi"), b_ends)
+    side = F.when(F.col(b_ends[0]) > F.col(a_ends[1]), 1).when(F.col(b_ends[1]) < F.col(a_ends[0]), -1).otherwise(0)
+    gap = F.greatest(F.col(b_ends[0]) - F.col(a_ends[1]), F.col(a_ends[0]) - F.col(b_ends[1]), F.lit(0)).cast("bigint")
+    near = near.withColumn("__side", side).withColumn("distance", gap)
+    least = F.min("distance").over(Window.partitionBy(*names, "__side"))
+    return near.withColumn("__least", least).where("distance = __least").drop("__lo", "__hi", "__side", "__least")

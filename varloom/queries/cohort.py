@@ -260,6 +260,31 @@ def regulator_sets(spark, sf_dir):
     return M.regulator_sets(rows.where("gene <> ''"))
 
 
+def region_neighbours(spark, sf_dir):
+    """Genes that overlap each region and the nearest ones within 100 kb on either side."""
+    r = _regions(spark, sf_dir).select("patient", "chrom", "start", "end")
+    n = I.neighbours_of_intervals(r, _genes(spark, sf_dir), ["chrom"], ("start", "end"), ("g_start", "g_end"))
+    return n.select("patient", "chrom", "start", "end", "gene", "distance")
+
+
+def gene_markers(spark, sf_dir):
+    """Markers within each gene, else the next one: positions known to the bias table."""
+    probes = _table(spark, sf_dir, "allelic_bias").select(G.chrom_code(F.col("chrom")).alias("chrom"), "pos").where("chrom IS NOT NULL AND pos IS NOT NULL").distinct()
+    return I.markers_of_intervals(_genes(spark, sf_dir), probes, ["chrom"], "g_start", "g_end", "pos").select("gene", "chrom", "g_start", "pos")
+
+
+def gene_gscores(spark, sf_dir):
+    """Scores of genes from their closest markers, with q-values under the convolved null."""
+    parts = cut(K.contributions(_markers(spark, sf_dir)))
+    g = cut(K.g_scores(parts))
+    genes = _genes(spark, sf_dir).select("gene", "chrom", F.col("g_start").alias("start"), F.col("g_end").alias("end"))
+    return K.gene_scores(g, genes, K.q_values(g, K.null_distribution(parts)))
+
+
+def purity(spark, sf_dir):
+    return C.purity_estimate(_simple(spark, sf_dir)).withColumn("purity", F.round("purity", 6))
+
+
 def fisher_exact(spark, sf_dir):
     """Returned against kept, by open and closed lines of each supplier."""
     li = _table(spark, sf_dir, "lineitem")
@@ -374,7 +399,7 @@ QUERIES = {f.__name__: f for f in (
     range_semi, range_anti, point_in_region_counts, region_filter, region_genes, overlap_class, region_overlap_join, region_union, splice_scores, region_points,
     asof_floor, nearest_gene, callset_compare, maf_annotate, confusion_metrics, center_metrics, superset_counts, center_correlation, cooccurrence, pathway_tau,
     term_counts, term_fold, pathway_scores, top20, seg_to_marker, marker_to_seg, arm_median_thresholds, gscore, qvalue_monotone, rank_qvalues, peak_finder,
-    equal_g_runs, strength_matrix, gene_matrix, regulator_sets, fisher_exact, count_window20, track_state, origins, recurrent_origins, spline, permutation_pvalue,
+    equal_g_runs, strength_matrix, gene_matrix, regulator_sets, region_neighbours, gene_markers, gene_gscores, purity, fisher_exact, count_window20, track_state, origins, recurrent_origins, spline, permutation_pvalue,
     inter_event_distance, bucket_cumulative, sigfig_hist, horizontal_concat, matrix_union, regression, event_runs, consecutive_duplicates, mutation_permutation, simulated_cohort)}
 
 _CHROM = """CASE WHEN starts_with(b, 'x') THEN 23 WHEN starts_with(b, 'y') THEN 24 WHEN starts_with(b, 'm') THEN 25
@@ -497,6 +522,18 @@ ORACLES = {
         least(3, 1 + floor(coalesce(num_markers, 0) / 20)) AS class FROM delivered WHERE genes IS NOT NULL AND genes <> ''),
       b AS (SELECT aberration, gene, max(class) AS class FROM e WHERE gene <> '' GROUP BY ALL), u AS (SELECT * FROM b UNION ALL SELECT 'ALL', gene, max(class) FROM b GROUP BY gene)
       SELECT aberration, gene, 'Broad' AS "set" FROM u UNION ALL SELECT aberration, gene, 'NonBroad' FROM u WHERE class >= 2 UNION ALL SELECT aberration, gene, 'Peak' FROM u WHERE class >= 3""",
+    "region_neighbours": f"""WITH {_REGIONS}, {_GENE}, u AS (SELECT DISTINCT patient, chrom, start, "end" FROM delivered),
+      j AS (SELECT u.*, gene, CASE WHEN g_start > "end" THEN 1 WHEN g_end < start THEN -1 ELSE 0 END AS side, greatest(g_start - "end", start - g_end, 0) AS distance
+        FROM u JOIN genes g ON u.chrom = g.chrom WHERE greatest(g_start - "end", start - g_end, 0) < 100000)
+      SELECT patient, chrom, start, "end", gene, distance FROM j QUALIFY distance = min(distance) OVER (PARTITION BY patient, chrom, start, "end", side)""",
+    "gene_markers": f"""WITH {_GENE}, m AS (SELECT DISTINCT {_CHROM} AS chrom, pos FROM {_BARE.format('allelic_bias')} WHERE ({_CHROM}) IS NOT NULL AND pos IS NOT NULL),
+      i AS (SELECT gene, g.chrom, g_start, g_end, pos FROM genes g JOIN m ON g.chrom = m.chrom AND pos BETWEEN g_start AND g_end),
+      l AS (SELECT g.gene, g.chrom, g.g_start, g.g_end, coalesce(min(pos) FILTER (pos >= g_start), max(pos)) AS pos FROM genes g JOIN m ON g.chrom = m.chrom
+        WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.gene = g.gene AND i.chrom = g.chrom AND i.g_start = g.g_start AND i.g_end = g.g_end) GROUP BY ALL)
+      SELECT gene, chrom, g_start, pos FROM i UNION ALL SELECT gene, chrom, g_start, pos FROM l""",
+    "purity": f"""WITH {SIMPLE}, m AS (SELECT sample, event, avg(greatest(var_t / cov_t, 1 - var_t / cov_t)) AS v, count(*) AS n FROM simple
+        WHERE event IN ('LOH', 'cnLOH') AND (100 * var_n > 10 * cov_n AND 100 * var_n <= 90 * cov_n AND cov_n > 0) GROUP BY ALL)
+      SELECT sample, event, n, round(CASE WHEN event = 'cnLOH' THEN 2 * greatest(v, 1 - v) - 1 ELSE (2 * greatest(v, 1 - v) - 1) / greatest(v, 1 - v) END, 6) AS purity FROM m""",
     "fisher_exact": f"""WITH t AS (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R' AND l_quantity > 25) AS a, count(*) FILTER (l_returnflag = 'R' AND NOT l_quantity > 25) AS b,
         count(*) FILTER (l_returnflag <> 'R' AND l_quantity > 25) AS c, count(*) FILTER (l_returnflag <> 'R' AND NOT l_quantity > 25) AS d FROM lineitem GROUP BY l_suppkey),
       p AS (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS x FROM t), q AS (SELECT *, {_PFISH.format(x='x')} AS px, {_PFISH.format(x='a')} AS pa FROM p)

@@ -170,3 +170,27 @@ def sorted_copy(df: DataFrame, columns: list[tuple[str, str, bool]]) -> DataFram
     """Rows ordered by (column, ``number`` or ``text``, ascending)."""
     keys = [F.col(c).try_cast("double") if kind == "number" else F.col(c) for c, kind, _ in columns]
     return df.orderBy(*[k.asc() if up else k.desc() for k, (_, _, up) in zip(keys, columns)])
+
+
+def read_probes(spark: SparkSession, path: str) -> DataFrame:
+    """marker, chrom, pos of a probe file with a header."""
+    t = _read(spark, path, 3, header=True)
+    return t.select(F.col("c0").alias("marker"), chrom_code(F.col("c1")).alias("chrom"), F.col("c2").try_cast("bigint").alias("pos")).where("chrom IS NOT NULL AND pos IS NOT NULL")
+
+
+def read_groups(spark: SparkSession, path: str) -> DataFrame:
+    """sample and group (1 or 2) of a comparison, one sample a line."""
+    t = _read(spark, path, 2)
+    return t.select(F.col("c0").alias("sample"), F.col("c1").try_cast("int").alias("group")).where("group IN (1, 2)")
+
+
+def track_header(name: str, description: str) -> str:
+    return f'track name="{name}" description="{description}" useScore=1'
+
+
+def session_xml(genome: str, tracks: list[str]) -> str:
+    """A browser session that loads the given tracks."""
+    from xml.sax.saxutils import quoteattr
+
+    body = "".join(f"    <Resource path={quoteattr(t)}/>\n" for t in tracks)
+    return f'<?xml version="1.0" encoding="UTF-8"?>\n<Session genome={quoteattr(genome)} version="8">\n  <Resources>\n{body}  </Resources>\n</Session>\n'
