@@ -15,11 +15,11 @@ MUTATION_TYPES = (
     "intergenic", "upstream", "downstream", "upstream;downstream", "ncRNA_exonic", "ncRNA_intronic", "ncRNA_splicing",
     "ncRNA_UTR3", "ncRNA_UTR5", "exonic-orf-err",
 )
-#: Chromosome lengths and lengths of the short arm, codes 1..22, 23 = X, 24 = Y, 25 = M (build 37).
+#: Chromosome lengths (build 38) and lengths of the short arm, codes 1..22, 23 = X, 24 = Y, 25 = M.
 CHROM_LENGTHS = (
-    249250621, 243199373, 198022430, 191154276, 180915260, 171115067, 159138663, 146364022, 141213431, 135534747,
-    135006516, 133851895, 115169878, 107349540, 102531392, 90354753, 81195210, 78077248, 59128983, 63025520,
-    48129895, 51304566, 155270560, 59373566, 16571,
+    248956422, 242193529, 198295559, 190214555, 181538259, 170805979, 159345973, 145138636, 138394717, 133797422,
+    135086622, 133275309, 114364328, 107043718, 101991189, 90338345, 83257441, 80373285, 58617616, 64444167,
+    46709983, 50818468, 156040895, 57227415, 0,
 )
 SHORT_ARMS = (
     125000000, 93300000, 91000000, 50400000, 48400000, 61000000, 59900000, 45600000, 49000000, 40200000,

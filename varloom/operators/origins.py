@@ -6,6 +6,7 @@ Windows and state run within a sample's chromosome, whose length bounds a group.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -58,49 +59,102 @@ def inter_distance(rows: DataFrame, keys: list[str], start: str, end: str) -> Da
     return rows.withColumn("distance", F.col(start) - before).withColumn("distance_class", discretize_distance(F.col("distance")))
 
 
-def _origins(part: pd.DataFrame, size: int, gap: int, leeway: float) -> list[tuple]:
-    flags, p = part["forward"].to_numpy(bool), part["signed_p"].to_numpy(float)
-    low, high = part["mid_start"].to_numpy(), part["mid_end"].to_numpy()
-    found: list[tuple[int, str]] = []
-    first_back = None  # where the present run of backward rows began
-    for i in range(len(p)):
-        if not flags[i]:
-            first_back = i if first_back is None else first_back
-        else:
-            first_back = None
-        if i == 0:
-            continue
-        if p[i - 1] > 0 > p[i]:
-            found.append((i, "ORI"))
-            first_back = None
-        elif p[i - 1] < 0 < p[i]:
-            found.append((i, "Collision"))
-        elif p[i - 1] > 0 and p[i] > 0 and first_back is not None and i - first_back == size:
-            found.append((max(0, i - size // 2), "ORI"))
-        elif p[i - 1] < 0 and -0.1 <= p[i] and not flags[i]:
-            j = i
-            while j > 0 and p[j - 1] < 0 and p[j - 1] <= p[j]:
-                j -= 1
-            if j > 0 and p[j - 1] < 0:
-                found.append((j, "ORI"))
-    kept: list[tuple[int, str]] = []
-    for at, kind in sorted(set(found)):
-        # an origin and a collision that alternate within a few windows on hardly any evidence cancel out
-        if kept and kept[-1][1] != kind and at - kept[-1][0] <= gap and abs(abs(p[at]) - abs(p[kept[-1][0]])) <= leeway:
-            kept.pop()
-        else:
-            kept.append((at, kind))
-    return [(int(low[a]), int(high[a]), k) for a, k in kept]
-
-
-def find_origins(windows: DataFrame, size: int = WINDOW, gap: int = 2, leeway: float = 0.05) -> DataFrame:
-    """start, end, kind (ORI or Collision) per sample and chromosome, from windows with ``forward`` of their last row."""
+class OriginTrack:
+    """Origins and collisions along one chromosome's mutations: windows first, then one pass over them with the
+    rows since which either direction has been seen, then the filter of marks that alternate."""
+
+    def __init__(self, pos: list[int], forward: list[bool], size: int = WINDOW) -> None:
+        self.forward, self.size = forward, size
+        n = len(pos)
+        upto = np.r_[0, np.cumsum(forward)].astype(int).tolist()
+        tails: dict[int, list[float]] = {}
+        self.rows = list(range(min(size, n) - 1, n)) if n else []
+        self.p, self.middle, self.span = [], [], []
+        for r in self.rows:
+            begin = max(0, r - size + 1)
+            c, k = r + 1 - begin, upto[r + 1] - upto[begin]
+            if c not in tails:
+                weights = np.array([math.comb(c, i) for i in range(c + 1)], float) / 2.0**c
+                tails[c] = np.cumsum(weights[::-1])[::-1].tolist()
+            self.p.append(tails[c][max(k, c - k)] * (1 if 2 * k >= c else -1))
+            low, high = begin + (c - 1) // 2, begin + c // 2
+            self.middle.append(low)
+            self.span.append((int(pos[low]), int(pos[high])))
+        self.marks: dict[int, str] = {}
+
+    def find(self) -> None:
+        since: dict[bool, int | None] = {True: None, False: None}
+        seen = 0
+        for w, r in enumerate(self.rows):
+            for row in range(seen, r + 1):
+                if since[self.forward[row]] is None:
+                    since[self.forward[row]] = row
+            seen = r + 1
+            if not w:
+                continue
+            before, now = self.p[w - 1], self.p[w]
+            if (before > 0) != (now > 0):
+                self.marks[w] = "ORI" if before > 0 else "Collision"
+                since = {True: None, False: None}
+            elif now > 0:
+                # a full window since the first backward row, yet still forward: the change lies half a window back
+                if since[False] is not None and r - since[False] + 1 == self.size:
+                    self.marks.setdefault(max(w + 1 - self.size // 2, 0), "ORI")
+                    since = {True: None, False: None}
+            elif since[True] is not None and now >= -0.1 and not self.forward[self.middle[w]]:
+                at = self.turning(w)
+                if at is not None:
+                    self.marks.setdefault(at, "ORI")
+                    since = {True: self.latest_forward(w, r), False: None}
+
+    def turning(self, w: int) -> int | None:
+        """Going back to the last origin, the window of the smallest value that a rise follows, if it isn't above the present one."""
+        least = None
+        for v in range(w - 1, -1, -1):
+            if self.marks.get(v) == "ORI":
+                return None
+            if least is None or self.p[v] < self.p[least]:
+                least = v
+            elif self.p[v] > self.p[least]:
+                return least if self.p[w] >= self.p[least] else None
+        return None
+
+    def latest_forward(self, w: int, r: int) -> int | None:
+        """The last forward row before ``r`` whose window, or any later one, isn't an origin."""
+        for back in range(1, w + 1):
+            if self.marks.get(w - back) == "ORI":
+                return None
+            if self.forward[r - back]:
+                return r - back
+        return None
+
+    def settle(self, gap: int, leeway: float) -> list[tuple[int, int, str]]:
+        """The marks without those that follow a collision within ``gap`` windows or on nearly equal values."""
+        after = -1
+        for w in sorted(k for k, v in self.marks.items() if v == "Collision"):
+            if w <= after:
+                continue
+            reach = v = w
+            while (v := v + 1) < len(self.p) and v - reach <= gap:
+                if v in self.marks or abs(self.p[v] - self.p[reach]) <= leeway:
+                    reach = v
+            for v in range(w + 1, reach + 1):
+                self.marks.pop(v, None)
+            after = reach
+        return [(*self.span[w], self.marks[w]) for w in sorted(self.marks)]
+
+
+def find_origins(mutations: DataFrame, size: int = WINDOW, gap: int = 2, leeway: float = 0.05) -> DataFrame:
+    """start, end, kind (ORI or Collision) per sample and chromosome, from rows of sample, chrom, pos and ``forward``."""
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("pos", kind="stable")
-        rows = _origins(part, size, gap, leeway)
-        return pd.DataFrame([(part["sample"].iloc[0], int(part["chrom"].iloc[0]), *r) for r in rows], columns=["sample", "chrom", "start", "end", "kind"])
+        track = OriginTrack(part["pos"].tolist(), part["forward"].tolist(), size)
+        track.find()
+        return pd.DataFrame([(part["sample"].iloc[0], int(part["chrom"].iloc[0]), *r) for r in track.settle(gap, leeway)],
+                            columns=["sample", "chrom", "start", "end", "kind"])
 
-    return windows.groupBy("sample", "chrom").applyInPandas(run, "sample string, chrom int, start bigint, end bigint, kind string")
+    return mutations.select("sample", "chrom", "pos", "forward").groupBy("sample", "chrom").applyInPandas(
+        run, "sample string, chrom int, start bigint, end bigint, kind string")
 
 
 def recurrent_origins(origins: DataFrame, least: int = 3) -> DataFrame:

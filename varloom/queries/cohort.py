@@ -311,8 +311,7 @@ def track_state(spark, sf_dir):
 
 
 def origins(spark, sf_dir):
-    w = _windows(spark, sf_dir).join(_mutations(spark, sf_dir), ["sample", "chrom", "pos"])
-    return O.find_origins(w)
+    return O.find_origins(_mutations(spark, sf_dir))
 
 
 def recurrent_origins(spark, sf_dir):
