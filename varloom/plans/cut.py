@@ -1,24 +1,37 @@
 """Lineage cuts that survive the loss of executors.
 
 A cut is a table written into the shared folder named by ``spark.checkpoint.dir``;
-only where that setting is absent (tests, notebooks) a local folder is made and set.
+only where that setting is absent (tests, notebooks) a local folder takes its place.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folder of each application met, so that its cuts can be deleted at exit.
+_FOLDERS: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for cuts, read from the session; set only when unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="varloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where.rstrip('/')}/varloom-{spark.sparkContext.applicationId}"
+    """The application's folder for cuts below the shared folder that the session names."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="varloom-")
+        _FOLDERS[app] = f"{where.rstrip('/')}/varloom-{app}"
+        atexit.register(_delete, spark, _FOLDERS[app])
+    return _FOLDERS[app]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001 - the session may be gone already
+        pass
 
 
 def cut(df: DataFrame, *partition_by: str) -> DataFrame:
@@ -37,8 +50,5 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
 def drop(df: DataFrame | None) -> None:
     """Delete the table behind a cut that nothing reads any more."""
     path = getattr(df, "_varloom_path", None)
-    if path is None:
-        return
-    jvm = df.sparkSession._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+    if path is not None:
+        _delete(df.sparkSession, path)

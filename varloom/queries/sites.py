@@ -353,7 +353,68 @@ for _i, _length in enumerate(G.CHROM_LENGTHS, 1):
 _OFFSET = "CASE chrom " + " ".join(_OFFSETS) + " END"
 _ARM = "CASE chrom " + " ".join(f"WHEN {i} THEN {a}" for i, a in enumerate(G.SHORT_ARMS, 1)) + " END"
 
+_PMF = "exp(x * ln({0}) - {0} - lgamma(x + 1))"
+_GAINS = f"""
+het AS (SELECT sample, chrom, floor(100 * (var_n / cov_n) + 0.5) AS x FROM sites WHERE {_HET} AND NOT (var_n = cov_n OR var_n = 0)),
+fit AS (SELECT sample, chrom, sum({_PMF.format('50.0')}) AS l0, sum(greatest({_PMF.format('(100 / 3.0)')}, {_PMF.format('(200 / 3.0)')})) AS l1 FROM het GROUP BY ALL),
+cov AS (SELECT sample, chrom, sum(cov_n) / count(*) AS avg_n, sum(sum(cov_n)) OVER (PARTITION BY sample) / sum(count(*)) OVER (PARTITION BY sample) AS all_n FROM sites GROUP BY sample, chrom),
+gains AS (SELECT sample, chrom, coalesce(l1 > l0, false) AND avg_n / all_n >= 1.4 AS germline_gain, coalesce(l1 > l0, false) AND avg_n / all_n < 1.4 AS contaminated
+  FROM cov LEFT JOIN fit USING (sample, chrom))"""
+
+
+def anchors_sql(source: str, position: str, reach: int, name: str = "anchors") -> str:
+    """A recursive CTE of the greedy windows' first positions."""
+    return f"""{name} AS (
+  SELECT sample, chrom, min({position}) AS first FROM {source} GROUP BY sample, chrom
+  UNION ALL SELECT a.sample, a.chrom, min(s.{position}) FROM {name} a JOIN {source} s ON s.sample = a.sample AND s.chrom = a.chrom AND s.{position} >= a.first + {reach} GROUP BY a.sample, a.chrom, a.first)"""
+
+
+_SMOOTH = f"""{_BLOCKS}, {anchors_sql('ratios', 'start', 1_000_001)},
+grouped AS (SELECT r.*, a.first FROM ratios r ASOF JOIN anchors a ON r.sample = a.sample AND r.chrom = a.chrom AND r.start >= a.first),
+smoothed AS (SELECT *, avg(ratio) OVER (PARTITION BY sample, chrom, first) AS smooth FROM grouped)"""
+
+
+def prepared_sql(smooth: bool) -> str:
+    """CTEs up to ``ready``: sites with all that events are called from."""
+    centre = """
+medians AS (SELECT sample, median(ratio) AS m FROM joined GROUP BY sample),
+rated AS (SELECT * REPLACE (ratio + 1 - m AS ratio) FROM joined JOIN medians USING (sample))""" if not smooth else "rated AS (SELECT * FROM joined)"
+    source = "(SELECT sample, chrom, block, coalesce(smooth, ratio) AS ratio FROM smoothed)" if smooth else "ratios"
+    return f"""{_SMOOTH if smooth else _BLOCKS}, {_BIAS}, {_GAINS},
+joined AS (SELECT n.sample, n.chrom, n.pos, n.cov_n, n.var_n, n.cov_t, n.var_t, coalesce(r.ratio, 1.0) AS ratio, germline_gain, n_samples, avg_vaf_n
+  FROM numbered n LEFT JOIN {source} r ON n.sample = r.sample AND n.chrom = r.chrom AND n.block = r.block
+  LEFT JOIN gains g ON n.sample = g.sample AND n.chrom = g.chrom LEFT JOIN bias b ON n.chrom = b.chrom AND n.pos = b.pos), {centre},
+pairs AS (SELECT DISTINCT n, k FROM (SELECT cov_n AS n, greatest(var_n, cov_n - var_n) AS k FROM sites UNION ALL SELECT cov_t, greatest(var_t, cov_t - var_t) FROM sites) WHERE k <= n),
+tails AS (SELECT n, k, CASE WHEN n <= 0 OR k <= 0 THEN 1.0 ELSE {_TAIL.format(n='n', k='k')} END AS p FROM pairs),
+steps AS (SELECT cov, unnest(range(CAST(ceil(cov / 2) AS BIGINT), cov + 1)) AS m FROM (SELECT DISTINCT n AS cov FROM pairs WHERE n > 0)),
+levels AS (SELECT cov, min(tail) FILTER (2 * tail >= 0.05) AS sig_p FROM (SELECT cov, least(sum(exp(lgamma(cov + 1) - lgamma(m + 1) - lgamma(cov - m + 1) - cov * ln(2)))
+  OVER (PARTITION BY cov ORDER BY m DESC), 1.0) AS tail FROM steps) GROUP BY cov UNION ALL SELECT DISTINCT n, 1.0 FROM pairs WHERE n <= 0),
+moved AS (SELECT r.*, 2 * ratio AS cn, a.p AS p_n, b.p AS p_t, l.sig_p, CASE WHEN {_HET} AND n_samples >= 2 AND avg_vaf_n > 0 AND NOT coalesce(germline_gain, false)
+    THEN -sign(2 * var_n - cov_n) * abs(0.5 - avg_vaf_n) ELSE 0.0 END AS o
+  FROM rated r LEFT JOIN tails a ON a.n = cov_n AND a.k = greatest(var_n, cov_n - var_n) LEFT JOIN tails b ON b.n = cov_t AND b.k = greatest(var_t, cov_t - var_t) LEFT JOIN levels l ON l.cov = cov_t),
+ready AS (SELECT *, CASE WHEN var_n IS NOT NULL THEN least(greatest(var_n / cov_n + o, 0.0), 1.0) END AS adj_n,
+    CASE WHEN var_t IS NOT NULL AND cov_t <> 0 THEN least(greatest(var_t / cov_t + o, 0.0), 1.0) END AS adj_t FROM moved)"""
+
+
+def plane_sql(cn: str) -> str:
+    return f"""CASE WHEN {_HET} THEN CASE WHEN coalesce(germline_gain, false) THEN 2 WHEN coalesce(p_t <= sig_p * (1 + 1e-9) OR p_n <= 0.01, false)
+    THEN CASE WHEN coalesce(adj_t <> 0 AND abs(adj_n / nullif(adj_t, 0) - 1) <= 0.2, false) AND {cn} > 1.8 AND {cn} < 2.2 THEN -1 ELSE 1 END ELSE 0 END END"""
+
+
 ORACLES = {
+    "anchored_density": f"""WITH RECURSIVE {SITES}, c AS (SELECT *, CASE WHEN 10 * var_n > cov_n THEN 1 ELSE 0 END AS counted FROM sites), {anchors_sql('c', 'pos', 1000)},
+      w AS (SELECT c.sample, c.chrom, c.pos, sum(counted) OVER (PARTITION BY c.sample, c.chrom, a.first) AS n FROM c ASOF JOIN anchors a ON c.sample = a.sample AND c.chrom = a.chrom AND c.pos >= a.first)
+      SELECT sample, chrom, pos FROM w WHERE n <= 3""",
+    "anchored_smooth": f'WITH RECURSIVE {_SMOOTH} SELECT sample, chrom, start, "end", round(smooth, 6) AS smooth FROM smoothed',
+    "germline_aneuploidy": f"WITH {SITES}, {_GAINS} SELECT * FROM gains",
+    "plane_split": f"WITH {prepared_sql(False)}, rounded AS (SELECT * REPLACE (round(cn, 6) AS cn) FROM ready) SELECT sample, {plane_sql('cn')} AS plane, count(*) AS n FROM rounded GROUP BY ALL",
+    "event_call": f"""WITH RECURSIVE {prepared_sql(True)}, p AS (SELECT *, {plane_sql('cn')} AS plane FROM ready),
+      low AS (SELECT *, CASE WHEN plane = 0 THEN CASE WHEN cn < 1.1 THEN 'DELHom' WHEN cn > 3 THEN 'GainSomatic' ELSE 'HETGermline' END ELSE '' END AS first_event, cn / 2 AS half FROM p),
+      m AS (SELECT sample, median(half) AS med FROM low WHERE first_event = 'HETGermline' GROUP BY sample),
+      c AS (SELECT low.*, 2 * (half + 1 - coalesce(med, 1.0)) AS cn2 FROM low LEFT JOIN m USING (sample))
+      SELECT sample, chrom, pos, round(cn2, 4) AS cn, CASE plane WHEN 0 THEN first_event WHEN 2 THEN 'GainGermline' WHEN -1 THEN 'Ignored'
+        WHEN 1 THEN CASE WHEN coalesce(adj_t <> 0 AND abs(adj_n / nullif(adj_t, 0) - 1) <= 0.2, false) AND cn2 > 1.8 AND cn2 < 2.2 THEN 'Ignored'
+          WHEN cn2 >= 2.2 THEN 'GainSomatic' WHEN cn2 > 1.8 AND cn2 < 2.2 THEN 'cnLOH' ELSE 'LOH' END ELSE {_OUT} END AS event FROM c""",
     "sort_sites": f"WITH {CANONICAL} SELECT site_id, row_number() OVER (PARTITION BY sample ORDER BY chrom, pos, line_no, site_id) AS place FROM canonical",
     "dedup_sites": f"WITH {SITES} SELECT sample, chrom, pos, line_no, site_id FROM firsts",
     "qc_min_reads": f"WITH {SITES} SELECT sample, chrom, pos, cov_n, var_n, cov_t, var_t FROM sites",
