@@ -23,7 +23,7 @@ from ..plans.joins import BROADCAST_ROWS
 #: Clusters of a digest, about; the rank error near the median is at most about 1.6 / DELTA.
 DELTA = 200
 #: Values a task holds before it clusters them.
-HOLD = 2_000_000
+HOLD = 500_000
 #: Digests of a group that one task merges at once; more go through a layer of salts first.
 FAN_IN = 64
 

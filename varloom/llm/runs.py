@@ -62,7 +62,6 @@ def link_events(df: DataFrame, seq: str, order: str, kind: Column, position: Col
 def double_pointers(links: DataFrame) -> DataFrame:
     """``links`` (seq, ord, ptr) with ``ptr`` moved to the start of each run; as many rounds as log2 of the longest run."""
     done, active = [], links.select("seq", "ord", "ptr")
-    spent = []
     while True:
         # every event's pointer as of this round; an event that is no link is a start
         state = active
@@ -74,7 +73,6 @@ def double_pointers(links: DataFrame) -> DataFrame:
         table = cut(moved, "at_start")
         finished = table.where(F.col("at_start")).drop("at_start")
         left = table.where(~F.col("at_start")).drop("at_start")
-        spent.append(table)
         done.append(finished)
         if left.isEmpty():
             break
