@@ -120,24 +120,33 @@ def fdr_threshold(df: DataFrame, p: str, alpha: float, keys: list[str] | None =
     return ranked.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col(p) <= F.col("rank") / (F.col("m") * c) * alpha, F.col(p))), F.lit(0.0)).alias("threshold"))
 
 
-def permutation_threshold(coverage: int, level: float = 0.05) -> float:
-    """The exact ``level`` quantile of the imbalance p of balanced reads at a coverage (the law a permutation samples)."""
+def half_binomial_tails(n: int, log: np.ndarray) -> np.ndarray:
+    """P(X >= k) for k = 0..n at one half; ``log`` holds ln(i!) up to n at least."""
+    pmf = np.exp(log[n] - log[: n + 1] - log[n::-1] - n * math.log(2))
+    return np.minimum(np.cumsum(pmf[::-1])[::-1], 1.0)
+
+
+def log_factorials(most: int) -> np.ndarray:
+    return np.r_[0.0, np.cumsum(np.log(np.arange(1, most + 1)))]
+
+
+def permutation_threshold(coverage: int, level: float = 0.05, log: np.ndarray | None = None) -> float:
+    """The exact ``level`` quantile of the imbalance p of balanced reads at a coverage (the law a permutation samples).
+
+    The p of a larger allele count k is its upper tail, and twice that tail is the share of draws with such a p or a smaller one.
+    """
     if coverage <= 0:
         return 1.0
-    k = np.arange(coverage + 1)
-    log = np.array([math.lgamma(coverage + 1) - math.lgamma(i + 1) - math.lgamma(coverage - i + 1) for i in k]) - coverage * math.log(2)
-    pmf = np.exp(log)
-    tail = np.cumsum(pmf[::-1])[::-1]
-    p = np.minimum(tail[np.maximum(k, coverage - k)], 1.0)
-    order = np.argsort(p, kind="stable")
-    return float(p[order][np.searchsorted(np.cumsum(pmf[order]), level)])
+    tails = half_binomial_tails(coverage, log_factorials(coverage) if log is None else log)[-(-coverage // 2):]
+    return float(tails[2 * tails >= level].min())
 
 
 @F.pandas_udf(T.DoubleType())
 def permutation_threshold_of(coverage: pd.Series) -> pd.Series:
     """The threshold per distinct coverage; meant for a table of distinct coverages, joined back."""
-    known = {c: permutation_threshold(int(c)) for c in coverage.dropna().unique()}
-    return coverage.map(known).astype("float64")
+    each = [int(c) for c in coverage.dropna().unique()]
+    log = log_factorials(max([0, *each]))
+    return coverage.map({c: permutation_threshold(c, log=log) for c in each}).astype("float64")
 
 
 def chi2_sf(x: float, df: int) -> float:

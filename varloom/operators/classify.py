@@ -30,16 +30,15 @@ def adjust_vafs(sites: DataFrame, min_samples: int = 2) -> DataFrame:
 
 @F.pandas_udf(T.DoubleType())
 def _imbalance(high: pd.Series, total: pd.Series) -> pd.Series:
-    out = np.empty(len(total))
-    for n in np.unique(total):
-        own = total == n
-        if n <= 0:
-            out[own] = 1.0
-            continue
-        log = np.r_[0.0, np.cumsum(np.log(np.arange(1, n + 1)))]
-        pmf = np.exp(log[n] - log - log[::-1] - n * np.log(2))
-        tail = np.minimum(np.cumsum(pmf[::-1])[::-1], 1.0)
-        out[own] = np.where(high[own] <= 0, 1.0, tail[np.clip(high[own], 0, n)])
+    high, total = high.to_numpy(), total.to_numpy()
+    out = np.ones(len(total))
+    if len(total):
+        log = S.log_factorials(max(0, int(total.max())))
+        order = np.argsort(total, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(total[order])) + 1):
+            n = int(total[rows[0]])
+            if n > 0:
+                out[rows] = np.where(high[rows] <= 0, 1.0, S.half_binomial_tails(n, log)[np.clip(high[rows], 0, n)])
     return pd.Series(out)
 
 
