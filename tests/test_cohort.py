@@ -135,3 +135,15 @@ def test_cluster_summaries(spark):
     assert tuple(C.largest_cluster(df, ["k"]).first()) == ("k", 1, 3)
     rows = C.within_min_radius(df, ["k"], "x", "y").collect()
     assert {r["inside"] for r in rows if r["cluster"] is None} == {None} and len(rows) == 5
+
+
+def test_peeling_by_stretch_and_arm():
+    scores = np.zeros((4, 40), int)
+    scores[:, 5:8] = 900  # a peak on the short arm, and a lower one of the same samples further on
+    scores[:3, 15:18] = 900
+    grid, q = np.array([0, 2700, 3600]), np.array([1.0, 0.1, 0.01])
+    arms = np.arange(40) >= 20
+    by_stretch = K.PeakFinder(scores, grid, q).run()
+    by_arm = K.PeakFinder(scores, grid, q, arms=arms).run()
+    assert [(s, e) for _, _, s, e, _, _ in by_stretch] == [(5, 7), (15, 17)]
+    assert [(s, e) for _, _, s, e, _, _ in by_arm] == [(5, 7)]

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.genomics import arm
+from ..functions.genomics import SHORT_ARMS, arm
 from ..plans.cut import cut
 
 #: Bin of a score, thresholds and caps of gains and losses, high-level thresholds, q threshold.
@@ -171,8 +171,8 @@ def score_track(runs: DataFrame, q: DataFrame, compat_last: bool = False) -> Dat
 class PeakFinder:
     """Peaks of one chromosome: take the run at the smallest q, widen it leaving samples out in turn, peel its samples off, repeat."""
 
-    def __init__(self, scores: np.ndarray, grid: np.ndarray, grid_q: np.ndarray, threshold: float = Q) -> None:
-        self.scores, self.grid, self.grid_q, self.threshold = scores, grid, grid_q, threshold
+    def __init__(self, scores: np.ndarray, grid: np.ndarray, grid_q: np.ndarray, threshold: float = Q, arms: np.ndarray | None = None) -> None:
+        self.scores, self.grid, self.grid_q, self.threshold, self.arms = scores, grid, grid_q, threshold, arms
         self.g = scores.sum(0)
         self.q = self.lookup(self.g)
 
@@ -183,8 +183,7 @@ class PeakFinder:
     def run(self) -> list[tuple[int, int, int, int, float, int]]:
         """(region first, last, peak first, last, q, samples peeled) in order of finding."""
         n_samples, n = self.scores.shape
-        left, peeled = self.scores.copy(), np.zeros((n_samples, n), bool)
-        out = []
+        left, out = self.scores.copy(), []
         while n:
             g = left.sum(0)
             q = self.lookup(g)
@@ -216,22 +215,28 @@ class PeakFinder:
                 if not len(own):
                     continue
                 count += 1
-                x = y = low + int(own[0])
-                y = low + int(own[-1])
+                if self.arms is not None:  # the sample's aberrations on the peak's whole arm
+                    left[i, np.isin(self.arms, self.arms[low : high + 1]) & (left[i] > 0)] = 0
+                    continue
+                x, y = low + int(own[0]), low + int(own[-1])
                 while x > 0 and left[i, x - 1] > 0:
                     x -= 1
                 while y + 1 < n and left[i, y + 1] > 0:
                     y += 1
                 left[i, x : y + 1] = 0
-                peeled[i, x : y + 1] = True
             if not count:
                 break
             out.append((a, b, low, high, float(best), count))
         return out
 
 
-def find_peaks(parts: DataFrame, q: DataFrame, threshold: float = Q) -> DataFrame:
-    """Significant regions and peaks per type and chromosome. The table of q by score is small (distinct scores) and sent along."""
+def find_peaks(parts: DataFrame, q: DataFrame, threshold: float = Q, peel: str = "stretch") -> DataFrame:
+    """Significant regions and peaks per type and chromosome. The table of q by score is small (distinct scores) and sent along.
+
+    ``peel``: what a peak takes from its samples, the contiguous ``stretch`` around it or all of its ``arm``.
+    """
+    if peel not in ("stretch", "arm"):
+        raise ValueError("peel is stretch or arm")
     if q.limit(1_000_001).count() > 1_000_000:
         raise ValueError("more distinct scores than samples times bins allow")
     table = {t: d.sort_values("g")[["g", "q"]].to_numpy() for t, d in q.select("type", "g", "q").toPandas().groupby("type")}
@@ -241,8 +246,9 @@ def find_peaks(parts: DataFrame, q: DataFrame, threshold: float = Q) -> DataFram
         wide = part.pivot_table(index="sample", columns="pos", values="score", aggfunc="sum", fill_value=0)
         known = table.get(part["type"].iloc[0], np.zeros((0, 2)))
         pos = wide.columns.to_numpy()
+        arms = pos >= SHORT_ARMS[int(part["chrom"].iloc[0]) - 1] if peel == "arm" else None
         rows = [(part["type"].iloc[0], int(part["chrom"].iloc[0]), int(pos[a]), int(pos[b]), int(pos[s]), int(pos[e]), v, n, i)
-                for i, (a, b, s, e, v, n) in enumerate(PeakFinder(wide.to_numpy(), known[:, 0], known[:, 1], threshold).run())]
+                for i, (a, b, s, e, v, n) in enumerate(PeakFinder(wide.to_numpy(), known[:, 0], known[:, 1], threshold, arms).run())]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     return parts.groupBy("type", "chrom").applyInPandas(run, schema)
