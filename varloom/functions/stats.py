@@ -58,7 +58,7 @@ def poisson_tail(table: Column, mean: Column, k: Column) -> Column:
 
 def poisson_best(table: Column, means: list[float], k: Column) -> Column:
     """The mean under which ``k`` is most likely; scanning stops at the first that isn't better."""
-    best, ahead = F.lit(means[-1]), None
+    best = F.lit(means[-1])
     for a, b in reversed(list(zip(means, means[1:]))):
         best = F.when(poisson_pmf(table, F.lit(a), k) >= poisson_pmf(table, F.lit(b), k), a).otherwise(best)
     return best

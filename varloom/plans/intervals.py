@@ -215,6 +215,7 @@ def anchor_groups(df: DataFrame, keys: list[str], order: list[str], position: st
     its keys less than ``reach`` on; the next row opens the next one.
 
     Rows stream through in order and only the open window's start is remembered, so a group of any size passes.
+    Rows without a position are left out.
     """
     import pyarrow as pa
 
@@ -235,7 +236,7 @@ def anchor_groups(df: DataFrame, keys: list[str], order: list[str], position: st
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], [*names, out])
 
     schema = ", ".join(f"`{n}` {k}" for n, k in df.dtypes) + f", `{out}` bigint"
-    rows = df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
+    rows = df.where(F.col(position).isNotNull()).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
     return rows.mapInArrow(run, schema)
 
 

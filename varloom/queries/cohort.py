@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import genomics as G, stats as S
 from ..operators import compare as M, enrichment as E, genes as N, gscore as K, origins as O, qc as Q, simulate as U
-from ..operators import classify as C, copynumber as V, segment as X
+from ..operators import classify as C, segment as X
 from ..plans import intervals as I
 from ..plans.cut import cut
 from .sites import CANONICAL, SIMPLE, SITES, _simple, _sites, pieces_sql
