@@ -3,7 +3,6 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from varloom.llm.bpe import PATTERN, VOCABULARY, Encoder, encode_corpus, load, token_counts
 from varloom.llm.packing import best_fit, pack_documents, pack_items

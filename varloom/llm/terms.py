@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.cut import cut
@@ -93,7 +94,7 @@ def _batch_counts(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     if len(flat) == 0:
         return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
     row = lists.value_parent_indices().to_numpy() if hasattr(lists, "value_parent_indices") else \
-        pa.compute.list_parent_indices(lists).to_numpy()
+        pc.list_parent_indices(lists).to_numpy()
     coded = flat.dictionary_encode()
     codes = coded.indices
     if codes.null_count:
@@ -159,8 +160,6 @@ def count_terms(df: DataFrame, fields: dict[str, Column], burst: int = BURST, ho
                     ["field", "prefix", "n", "suffixes", "occurrences", "records"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         tries = [BurstTrie(burst) for _ in names]
         for batch in batches:
             for i, trie in enumerate(tries):
