@@ -147,3 +147,12 @@ def test_peeling_by_stretch_and_arm():
     by_arm = K.PeakFinder(scores, grid, q, arms=arms).run()
     assert [(s, e) for _, _, s, e, _, _ in by_stretch] == [(5, 7), (15, 17)]
     assert [(s, e) for _, _, s, e, _, _ in by_arm] == [(5, 7)]
+
+
+def test_permuted_distances(spark):
+    rows = [("s", 1, i, int(i % 3 == 0)) for i in range(60)] + [("t", 1, 5, 1), ("t", 1, 9, 0)]
+    df = spark.createDataFrame(rows, "sample string, chrom int, pos bigint, marked int")
+    got = O.permuted_distances(df, 4)
+    assert {(r["iteration"], r["n"]) for r in got.groupBy("iteration").agg(F.sum("n").alias("n")).collect()} == {(i, 19) for i in range(4)}
+    again = O.permuted_distances(df, 4)
+    assert got.exceptAll(again).count() == 0

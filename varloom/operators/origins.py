@@ -210,13 +210,18 @@ def permuted_distances(rows: DataFrame, iterations: int = 50, seed: int = 7) ->
         part = part.sort_values("pos", kind="stable")
         pos, marked = part["pos"].to_numpy(), int(part["marked"].sum())
         rng = np.random.default_rng([seed, zlib.crc32(str(part["sample"].iloc[0]).encode()), int(part["chrom"].iloc[0])])
-        out = []
-        for i in range(iterations):
-            d = np.diff(np.sort(pos[rng.choice(len(pos), marked, replace=False)]))
-            d = d[d > 0]
+        n, chunk, out = len(pos), max(1, 2_000_000 // max(1, len(pos))), []
+        for begin in range(0, iterations if marked > 1 else 0, chunk):
+            k = min(chunk, iterations - begin)
+            # the smallest of random keys are a draw without replacement, for all iterations of a chunk at once
+            drawn = np.sort(np.argpartition(rng.random((k, n)), marked - 1, axis=1)[:, :marked], axis=1)
+            d = np.diff(pos[drawn], axis=1)
+            which = np.repeat(np.arange(begin, begin + k), marked - 1)[d.ravel() > 0]
+            d = d.ravel()[d.ravel() > 0]
             power = 10.0 ** np.minimum(np.floor(np.log10(d)), 4)
-            values, counts = np.unique(np.floor(d / power + 0.5) * power, return_counts=True)
-            out += [(str(part["sample"].iloc[0]), int(part["chrom"].iloc[0]), i, float(v), int(c)) for v, c in zip(values, counts)]
-        return pd.DataFrame(out, columns=["sample", "chrom", "iteration", "distance_class", "n"])
+            out.append(pd.DataFrame({"iteration": which, "distance_class": np.floor(d / power + 0.5) * power}).value_counts(sort=False).rename("n").reset_index())
+        table = pd.concat(out) if out else pd.DataFrame({"iteration": [], "distance_class": [], "n": []})
+        return pd.DataFrame({"sample": str(part["sample"].iloc[0]), "chrom": int(part["chrom"].iloc[0]), "iteration": table["iteration"].astype("int32"),
+                             "distance_class": table["distance_class"].astype(float), "n": table["n"].astype("int64")})
 
     return rows.groupBy("sample", "chrom").applyInPandas(run, "sample string, chrom int, iteration int, distance_class double, n bigint")

@@ -324,7 +324,7 @@ def spline(spark, sf_dir):
 
 def permutation_pvalue(spark, sf_dir):
     m = _mutations(spark, sf_dir).withColumn("marked", F.col("forward").cast("int"))
-    return O.permuted_distances(m, 5)
+    return O.permuted_distances(m).groupBy("sample", "chrom", "distance_class").agg(F.sum("n").alias("n"))
 
 
 def inter_event_distance(spark, sf_dir):
@@ -377,13 +377,13 @@ def consecutive_duplicates(spark, sf_dir):
 
 
 def mutation_permutation(spark, sf_dir):
-    """p of the most frequent genes' mutation frequency among all genes with a length: ten thousand seeded trials."""
+    """p of the most frequent genes' mutation frequency among all genes with a length: a million seeded trials."""
     lengths = _genes(spark, sf_dir).groupBy("gene").agg(F.max(F.col("g_end") - F.col("g_start") + 1).alias("length"))
     rows = lengths.join(_gene_values(spark, sf_dir), "gene").where("length > 0").orderBy("gene").limit(100_001).collect()
     if len(rows) > 100_000:
         raise ValueError("genes are a dimension; more than 100,000 are not")
     per = [r["value"] / r["length"] for r in rows]
-    return M.mutation_permutation(spark, [r["length"] for r in rows], [r["value"] for r in rows], 20, sorted(per)[-20], trials=10_000)
+    return M.mutation_permutation(spark, [r["length"] for r in rows], [r["value"] for r in rows], 20, sorted(per)[-20])
 
 
 def simulated_cohort(spark, sf_dir):
