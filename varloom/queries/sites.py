@@ -229,7 +229,7 @@ def recurrent_site_counts(spark, sf_dir):
 
 
 def region_density(spark, sf_dir):
-    d = R.region_density(_simple(spark, sf_dir), _regions(spark, sf_dir).where("n > 2").select("sample", "chrom", "start", "end", "event"))
+    d = R.region_density(_simple(spark, sf_dir), _regions(spark, sf_dir).select("sample", "chrom", "start", "end", "event"))
     return d.select("sample", "chrom", "start", "end", "event", "n_event", "n_het", F.round("event_density", 9).alias("event_density"))
 
 
