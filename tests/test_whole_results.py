@@ -5,6 +5,7 @@ import os
 import pytest
 from oracle import DATA, assert_same, connect
 
+from varloom.functions import genomics as G
 from varloom.queries import cohort, sites
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables are not here")
@@ -20,3 +21,15 @@ def test_density_of_every_region(spark, con):
     cut = " WHERE r.n > 2"
     assert sites.region_density(spark, DATA).count() == sites.segments(spark, DATA).count()
     assert_same(spark, con, sites.region_density, sites.ORACLES["region_density"].replace(cut, ""))
+
+
+def test_strength_of_both_arms(spark, con):
+    """Each marker is in one arm, gains and losses come out; the SQL is the registered one with all arms and both types."""
+    names = " ".join(f"WHEN {i} THEN CASE WHEN pos >= {x} THEN 'q' ELSE 'p' END" for i, x in enumerate(G.SHORT_ARMS, 1))
+    sql = f"""WITH {cohort._MARKERS}, a AS (SELECT *, CASE chrom {names} END AS arm FROM markers),
+      s AS (SELECT *, 'AMP' AS type, CASE WHEN value > 0.9 THEN 2 WHEN value > 0.3 THEN 1 ELSE 0 END AS s FROM a
+        UNION ALL SELECT *, 'DEL', CASE WHEN value < -1.3 THEN 2 WHEN value < -0.3 THEN 1 ELSE 0 END FROM a)
+      SELECT type, CAST(chrom AS VARCHAR) || arm AS region, sample, CASE WHEN count(*) FILTER (s = 2) > count(*) / 2 THEN 2 WHEN count(*) FILTER (s = 0) >= (count(*) + 1) / 2 THEN 0 ELSE 1 END AS strength,
+        round(avg(value), 6) AS mean FROM s WHERE arm IS NOT NULL GROUP BY type, chrom, arm, sample"""
+    assert_same(spark, con, cohort.strength_matrix, sql)
+    assert {(r["type"], r["region"][-1]) for r in cohort.strength_matrix(spark, DATA).collect()} == {(t, a) for t in ("AMP", "DEL") for a in "pq"}

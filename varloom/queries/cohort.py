@@ -241,11 +241,14 @@ def equal_g_runs(spark, sf_dir):
 
 
 def strength_matrix(spark, sf_dir):
-    """Majority strength of gains per chromosome arm of each sample."""
+    """Majority strength of gains (AMP) and of losses (DEL) per chromosome arm of each sample."""
     m = _markers(spark, sf_dir)
-    arms = G.chrom_dim(spark).select(F.concat(F.col("code").cast("string"), F.lit("p")).alias("region"), F.col("code").alias("chrom"), F.lit(0).cast("bigint").alias("start"), (F.col("p_arm") - 1).alias("end"))
-    out = K.region_strength(m, arms)
-    return out.select("region", "sample", "strength", F.round("mean", 6).alias("mean"))
+    # some genes lie beyond build 38's length of their chromosome: the long arm reaches to the last marker
+    dim = G.chrom_dim(spark).join(F.broadcast(m.groupBy(F.col("chrom").alias("code")).agg(F.max("pos").alias("last"))), "code")
+    arm = lambda name, start, end: dim.select(F.concat(F.col("code").cast("string"), F.lit(name)).alias("region"), F.col("code").alias("chrom"), start.alias("start"), end.alias("end"))
+    arms = arm("p", F.lit(0).cast("bigint"), F.col("p_arm") - 1).union(arm("q", F.col("p_arm"), F.greatest("length", "last")))
+    out = [K.region_strength(m, arms, t).select(F.lit(t).alias("type"), "region", "sample", "strength", F.round("mean", 6).alias("mean")) for t in ("AMP", "DEL")]
+    return out[0].union(out[1])
 
 
 def gene_matrix(spark, sf_dir):
