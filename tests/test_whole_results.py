@@ -2,10 +2,12 @@
 
 import os
 
+import numpy as np
 import pytest
 from oracle import DATA, assert_same, connect
 
 from varloom.functions import genomics as G
+from varloom.operators import origins as O
 from varloom.queries import cohort, sites
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables are not here")
@@ -33,3 +35,21 @@ def test_strength_of_both_arms(spark, con):
         round(avg(value), 6) AS mean FROM s WHERE arm IS NOT NULL GROUP BY type, chrom, arm, sample"""
     assert_same(spark, con, cohort.strength_matrix, sql)
     assert {(r["type"], r["region"][-1]) for r in cohort.strength_matrix(spark, DATA).collect()} == {(t, a) for t in ("AMP", "DEL") for a in "pq"}
+
+
+def test_spline_meets_origins_and_ends(spark):
+    """Origins, collisions and both ends are knots, whatever the stride; the stride begins again at each."""
+    marked = np.zeros(9, bool)
+    marked[4] = True
+    assert O.spline_knots(marked, 3).tolist() == [0, 3, 4, 7, 8]
+    flags = [True] * 30 + [False] * 30 + [True] * 30
+    df = spark.createDataFrame([("s", 1, 10 * i, f) for i, f in enumerate(flags)], "sample string, chrom int, pos bigint, forward boolean")
+    w = O.count_windows(df, ["sample", "chrom"], ["pos"], "forward", "pos").cache()
+    marks = O.origin_marks(df)
+    own = marks.join(w, ["sample", "chrom", "pos"]).collect()
+    assert sorted((r["mid_start"], r["mid_end"], r["kind"]) for r in own) == sorted((r["start"], r["end"], r["kind"]) for r in O.find_origins(df).collect())
+    assert {r["kind"] for r in own} == {"ORI", "Collision"}
+    rows = O.spline_track(w, marks).orderBy("pos").collect()
+    at = {r["pos"] for r in own} | {rows[0]["pos"], rows[-1]["pos"]}
+    assert len(rows) == 71 and any((p // 10 - 19) % 3 for p in at)
+    assert all(r["smooth"] == pytest.approx(min(max(r["signed_p"], -0.5), 0.5), abs=1e-9) for r in rows if r["pos"] in at)

@@ -18,6 +18,8 @@ from ..functions.genomics import discretize_distance
 from ..plans.intervals import disjoin, points_in_intervals
 
 WINDOW = 20
+#: Windows and difference of values within which marks after a collision are dropped.
+GAP, LEEWAY = 2, 0.05
 
 
 def read_signed(bed: DataFrame) -> DataFrame:
@@ -128,7 +130,7 @@ class OriginTrack:
                 return r - back
         return None
 
-    def settle(self, gap: int, leeway: float) -> list[tuple[int, int, str]]:
+    def settle(self, gap: int = GAP, leeway: float = LEEWAY) -> list[tuple[int, int, str]]:
         """The marks without those that follow a collision within ``gap`` windows or on nearly equal values."""
         after = -1
         for w in sorted(k for k, v in self.marks.items() if v == "Collision"):
@@ -144,7 +146,7 @@ class OriginTrack:
         return [(*self.span[w], self.marks[w]) for w in sorted(self.marks)]
 
 
-def find_origins(mutations: DataFrame, size: int = WINDOW, gap: int = 2, leeway: float = 0.05) -> DataFrame:
+def find_origins(mutations: DataFrame, size: int = WINDOW, gap: int = GAP, leeway: float = LEEWAY) -> DataFrame:
     """start, end, kind (ORI or Collision) per sample and chromosome, from rows of sample, chrom, pos and ``forward``."""
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("pos", kind="stable")
@@ -157,6 +159,19 @@ def find_origins(mutations: DataFrame, size: int = WINDOW, gap: int = 2, leeway:
         run, "sample string, chrom int, start bigint, end bigint, kind string")
 
 
+def origin_marks(mutations: DataFrame, size: int = WINDOW, gap: int = GAP, leeway: float = LEEWAY) -> DataFrame:
+    """sample, chrom, pos, kind: the windows that ``find_origins`` marks, by the position of their last row as in ``count_windows``."""
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("pos", kind="stable")
+        track = OriginTrack(part["pos"].tolist(), part["forward"].tolist(), size)
+        track.find()
+        track.settle(gap, leeway)
+        rows = [(part["sample"].iloc[0], int(part["chrom"].iloc[0]), int(part["pos"].iloc[track.rows[w]]), k) for w, k in sorted(track.marks.items())]
+        return pd.DataFrame(rows, columns=["sample", "chrom", "pos", "kind"])
+
+    return mutations.select("sample", "chrom", "pos", "forward").groupBy("sample", "chrom").applyInPandas(run, "sample string, chrom int, pos bigint, kind string")
+
+
 def recurrent_origins(origins: DataFrame, least: int = 3) -> DataFrame:
     """Pieces covered by the origins of at least ``least`` samples."""
     return disjoin(origins.where("kind = 'ORI'"), ["chrom"], "start", "end").where(F.col("recurrence") >= least)
@@ -189,19 +204,30 @@ def spline_values(x: np.ndarray, y: np.ndarray, at: np.ndarray, clamp: float = 0
     return np.clip(out, -clamp, clamp)
 
 
-def spline_track(windows: DataFrame, step: int = 3, least: int = 10) -> DataFrame:
-    """Windows with ``smooth``: a spline through every ``step``-th one; groups of too few knots keep their values."""
+def spline_knots(marked: np.ndarray, step: int) -> np.ndarray:
+    """Indices of the first and last window, of all marked ones, and of every ``step``-th since the last knot."""
+    ends = np.unique(np.r_[0, np.flatnonzero(marked), len(marked)])
+    runs = [np.arange(a, b, step) for a, b in zip(ends, ends[1:])]
+    return np.unique(np.r_[0, len(marked) - 1, *runs]).astype(int)
+
+
+def spline_track(windows: DataFrame, marks: DataFrame | None = None, step: int = 3, least: int = 10) -> DataFrame:
+    """Windows with ``smooth``: a spline through the first and last one, every origin and collision of ``marks`` (as
+    ``origin_marks`` gives them) and every ``step``-th one since the last knot; groups of too few knots keep their values."""
     names = [*windows.columns, "smooth"]
+    keys = ["sample", "chrom", "pos"]
+    rows = windows.withColumn("__mark", F.lit(False)) if marks is None else windows.join(
+        marks.select(*keys, F.lit(True).alias("__mark")).distinct(), keys, "left").withColumn("__mark", F.coalesce("__mark", F.lit(False)))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("mid_start", kind="stable")
-        knots = part.iloc[::step].groupby("mid_start", as_index=False)["signed_p"].mean()
+        part = part.sort_values(["mid_start", "pos"], kind="stable")
+        knots = part.iloc[spline_knots(part["__mark"].to_numpy(bool), step)].groupby("mid_start", as_index=False)["signed_p"].mean()
         y = part["signed_p"].to_numpy(float)
         if len(knots) > least:
             y = spline_values(knots["mid_start"].to_numpy(float), knots["signed_p"].to_numpy(float), part["mid_start"].to_numpy(float))
         return part.assign(smooth=y)[names]
 
-    return windows.groupBy("sample", "chrom").applyInPandas(run, ", ".join(f"`{n}` {k}" for n, k in windows.dtypes) + ", smooth double")
+    return rows.groupBy("sample", "chrom").applyInPandas(run, ", ".join(f"`{n}` {k}" for n, k in windows.dtypes) + ", smooth double")
 
 
 def permuted_distances(rows: DataFrame, iterations: int = 50, seed: int = 7) -> DataFrame:

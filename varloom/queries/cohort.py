@@ -322,7 +322,7 @@ def recurrent_origins(spark, sf_dir):
 
 
 def spline(spark, sf_dir):
-    return O.spline_track(_windows(spark, sf_dir)).select("sample", "chrom", "pos", F.round("smooth", 6).alias("smooth"))
+    return O.spline_track(_windows(spark, sf_dir), O.origin_marks(_mutations(spark, sf_dir))).select("sample", "chrom", "pos", F.round("smooth", 6).alias("smooth"))
 
 
 def permutation_pvalue(spark, sf_dir):
