@@ -7,7 +7,7 @@ import pytest
 from oracle import DATA, assert_same, connect
 
 from varloom.functions import genomics as G
-from varloom.operators import origins as O
+from varloom.operators import classify as C, origins as O
 from varloom.queries import cohort, sites
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables are not here")
@@ -53,3 +53,43 @@ def test_spline_meets_origins_and_ends(spark):
     at = {r["pos"] for r in own} | {rows[0]["pos"], rows[-1]["pos"]}
     assert len(rows) == 71 and any((p // 10 - 19) % 3 for p in at)
     assert all(r["smooth"] == pytest.approx(min(max(r["signed_p"], -0.5), 0.5), abs=1e-9) for r in rows if r["pos"] in at)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_dbscan_is_exact(spark, seed):
+    """Core points, clusters, noise and borders equal brute force, across blocks, in crowded and in sparse cells, with equal points."""
+    rng = np.random.default_rng(seed)
+    pts = np.vstack([rng.normal((0.5, 0.5), 0.05, (700, 2)), rng.normal((0.2, 0.7), 0.01, (300, 2)), rng.random((500, 2)), [(0.9, 0.1)] * 25,
+                     np.c_[np.linspace(-0.4, 0.9, 300), np.full(300, 0.2)]])
+    eps, least = 0.035, 20
+    near = (pts[:, None, 0] - pts[None, :, 0]) ** 2 + (pts[:, None, 1] - pts[None, :, 1]) ** 2 <= eps * eps
+    core = near.sum(1) >= least
+    label = np.where(core, np.arange(len(pts)), len(pts))
+    while True:
+        new = np.where(core, np.where(near & core[None], label[None], len(pts)).min(1), len(pts))
+        if (new == label).all():
+            break
+        label = new
+    label = np.where(core, label, np.where(near & core[None], label[None], len(pts)).min(1))
+    df = spark.createDataFrame([("g", i, float(a), float(b)) for i, (a, b) in enumerate(pts)] + [("h", 0, None, 0.5)], "k string, i int, x double, y double")
+    rows = C.dbscan_cells(df, ["k"], "i", "x", "y", eps, least).collect()
+    got = {r["i"]: r["cluster"] for r in rows if r["k"] == "g"}
+    assert len(rows) == len(pts) + 1 and [r["cluster"] for r in rows if r["k"] == "h"] == [None]
+    assert [got[i] for i in range(len(pts))] == [None if v == len(pts) else v for v in label.tolist()]
+    assert (~core & (label < len(pts))).any() and len(set(label.tolist())) > 3
+
+
+def test_dbscan_query_keeps_exact_fractions(spark, tmp_path):
+    """Noise of the registered query is that of the exact fractions, on one sample with uneven coverages."""
+    n, rng = 2000, np.random.default_rng(11)
+    own = spark.read.parquet(f"{DATA}/naf_taf_inputs.parquet").limit(n).toPandas()
+    cov = rng.integers(150, 400, (2, len(own)))
+    var = np.floor(cov * np.clip(rng.normal(0.5, 0.09, cov.shape), 0.15, 0.85)).astype(int)
+    own = own.assign(sample_id="s", refname="chr1", coordinate=np.arange(len(own)) + 1, line_no=np.arange(len(own)), site_id=np.arange(len(own)),
+                     q20_totcov_n=cov[0], q20_totcov_t=cov[1], q20_varcov_n=var[0], q20_varcov_t=var[1])
+    schema = spark.read.parquet(f"{DATA}/naf_taf_inputs.parquet").schema
+    spark.createDataFrame(own, schema).write.parquet(f"{tmp_path}/naf_taf_inputs.parquet")
+    got = sites.dbscan(spark, str(tmp_path)).toPandas().sort_values("site_id")["cluster"]
+    noise = C.dbscan(np.c_[var[1] / cov[1], var[0] / cov[0]], 0.035, 100) == -1
+    assert len(got) == len(noise) and 100 < noise.sum() < len(noise) - 100
+    assert (got.isna().to_numpy() == noise).all()

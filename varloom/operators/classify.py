@@ -191,41 +191,155 @@ def dbscan(points: np.ndarray, eps: float, min_points: int) -> np.ndarray:
     return out
 
 
-def dbscan_cells(df: DataFrame, keys: list[str], id_col: str, x: str, y: str, eps: float, min_points: int,
-                 lattice: float | None = None, max_rounds: int = 60) -> DataFrame:
-    """The same clusters without gathering a group: neighbours by an equi-join on cells, clusters as connected core points.
-
-    Equal points are one weighted point, so crowded spots don't multiply pairs. With ``lattice`` points are moved
-    to multiples of that step (finer than reads resolve fractions), which bounds the spots of a group by the
-    plane's area and the pairs by eps, whatever the number of rows; distances are then off by a step at most.
-    ``cluster`` is the smallest core id of the cluster, null for noise; border points take the smallest core id
-    within reach.
+#: Cells of a block's side; cells that a point's reach can pass (a cell's diagonal is eps); most distances held at once.
+BLOCK, REACH, PAIRS = 8, 2, 1_000_000
+_AROUND = [(a, b) for a in range(-REACH, REACH + 1) for b in range(-REACH, REACH + 1)]
+
+
+def _by_cell(cx: np.ndarray, cy: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+    """The rows of each cell."""
+    order = np.lexsort((cy, cx))
+    starts = np.flatnonzero((np.diff(cx[order]) != 0) | (np.diff(cy[order]) != 0)) + 1
+    return {(int(cx[i[0]]), int(cy[i[0]])): i for i in np.split(order, starts)} if len(order) else {}
+
+
+def _facing(p: np.ndarray, i: np.ndarray, j: np.ndarray, eps: float) -> np.ndarray:
+    """Those of the rows ``j`` that lie within eps of the box around the rows ``i``."""
+    low, high = p[i].min(0) - eps * NEAR, p[i].max(0) + eps * NEAR
+    return j[((p[j] >= low) & (p[j] <= high)).all(1)]
+
+
+def _within(p: np.ndarray, i: np.ndarray, j: np.ndarray, eps: float):
+    """Pieces of ``j`` with the matrix of which rows of ``i`` they are within eps of."""
+    step = max(1, PAIRS // max(1, len(i)))
+    for k in range(0, len(j), step):
+        part = j[k:k + step]
+        yield part, (p[i, None, 0] - p[None, part, 0]) ** 2 + (p[i, None, 1] - p[None, part, 1]) ** 2 <= eps * eps
+
+
+def _core_rows(p: np.ndarray, w: np.ndarray, cells: dict, own: np.ndarray, eps: float, min_points: int) -> np.ndarray:
+    """Which of the block's own rows are core: all of a cell that holds enough, else by counting around."""
+    core, weight = np.zeros(len(p), bool), {c: int(w[i].sum()) for c, i in cells.items()}
+    for (a, b), i in cells.items():
+        if not own[i[0]]:
+            continue
+        if weight[a, b] >= min_points:
+            core[i] = True
+            continue
+        near = [(a + x, b + y) for x, y in _AROUND if (a + x, b + y) in cells]
+        if sum(weight[c] for c in near) >= min_points:
+            near = _facing(p, i, np.concatenate([cells[c] for c in near]), eps)
+            core[i] = sum(hit @ w[part] for part, hit in _within(p, i, near, eps)) >= min_points
+    return core
+
+
+def _touch(p: np.ndarray, i: np.ndarray, j: np.ndarray, eps: float) -> bool:
+    """Whether any row of ``i`` is within eps of any of ``j``."""
+    j = _facing(p, i, j, eps)
+    i = _facing(p, j, i, eps) if len(j) else j
+    if not len(i):
+        return False
+    # those nearest to the other side first: in crowded cells they settle it
+    i, j = i[np.argsort(((p[i] - p[j].mean(0)) ** 2).sum(1))], j[np.argsort(((p[j] - p[i].mean(0)) ** 2).sum(1))]
+    if any(hit.any() for _, hit in _within(p, i[:64], j[:64], eps)):
+        return True
+    return any(hit.any() for k in range(0, len(i), 1000) for _, hit in _within(p, i[k:k + 1000], j, eps))
+
+
+def _contacts(p: np.ndarray, core: np.ndarray, cells: dict, own: np.ndarray, eps: float) -> list[tuple]:
+    """(row, cell, cell): pairs of cells whose core rows are connected (row -1), and other rows with each cell that has a core row within reach."""
+    cores = {c: k for c, i in cells.items() if len(k := i[core[i]])}
+    out = []
+    for (a, b), i in cells.items():
+        if not own[i[0]]:
+            continue
+        near = [(a + x, b + y) for x, y in _AROUND if (a + x, b + y) in cores]
+        if (a, b) in cores:
+            out.append((-1, a, b, a, b))
+            out += [(-1, a, b, *c) for c in near if c > (a, b) and _touch(p, cores[a, b], cores[c], eps)]
+        others = i[~core[i]]
+        if len(others):
+            for c in near:
+                found = np.zeros(len(others), bool)
+                if len(j := _facing(p, others, cores[c], eps)):
+                    for _, hit in _within(p, others, j, eps):
+                        found |= hit.any(1)
+                out += [(int(r), a, b, *c) for r in others[found]]
+    return out
+
+
+def _components(part: pd.DataFrame) -> np.ndarray:
+    """The root of each pair of nodes (a, b) under union, as an index into the nodes' rows."""
+    codes, _ = pd.factorize(pd.MultiIndex.from_arrays([np.r_[part["cx"], part["ax"]], np.r_[part["cy"], part["ay"]]]))
+    n = len(part)
+    root = list(range(codes.max() + 1))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in zip(codes[:n].tolist(), codes[n:].tolist()):
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return np.array([find(i) for i in codes[:n].tolist()])
+
+
+def dbscan_cells(df: DataFrame, keys: list[str], id_col: str, x: str, y: str, eps: float, min_points: int, lattice: float | None = None) -> DataFrame:
+    """The same clusters without gathering a group's points: blocks of cells with what lies around them, clusters as connected cells.
+
+    A cell's diagonal is eps, so that its core points are one cluster, and all are core where it holds ``min_points``.
+    Only points of other cells are counted around; cells are connected where two of their core points are within eps.
+    What is gathered per group are its cells, which the plane's area bounds. Equal points are one weighted point.
+    ``lattice`` moves points to multiples of that step first, which is not DBSCAN's result any more: distances are then
+    off by a step.
+    ``cluster`` is the smallest core id of the cluster, null for noise; border points take the smallest cluster within reach.
     """
     snap = (lambda c: F.round(F.round(c / lattice) * lattice, 9)) if lattice else (lambda c: c)
     rows = df.select(*keys, F.col(id_col).alias("__id"), snap(F.col(x).cast("double")).alias("__x"), snap(F.col(y).cast("double")).alias("__y"))
-    spots = cut(rows.groupBy(*keys, "__x", "__y").agg(F.min("__id").alias("s"), F.count(F.lit(1)).alias("w"))
-                .withColumn("cx", F.floor(F.col("__x") / eps)).withColumn("cy", F.floor(F.col("__y") / eps)))
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    reach = spots.withColumn("d", F.explode(steps)).select(
-        *keys, (F.col("cx") + F.col("d.a")).alias("cx"), (F.col("cy") + F.col("d.b")).alias("cy"), F.col("s").alias("s2"), F.col("w").alias("w2"), F.col("__x").alias("x2"), F.col("__y").alias("y2"))
-    near = spots.join(reach, [*keys, "cx", "cy"]).where((F.col("__x") - F.col("x2")) ** 2 + (F.col("__y") - F.col("y2")) ** 2 <= eps * eps)
-    pairs = cut(near.select(*keys, "s", "s2", "w2"))
-    cores = cut(pairs.groupBy(*keys, "s").agg(F.sum("w2").alias("n")).where(F.col("n") >= min_points).select(*keys, "s"))
-    core_pairs = cut(pairs.join(cores, [*keys, "s"]).join(cores.withColumnRenamed("s", "s2"), [*keys, "s2"]).select(*keys, "s", "s2"))
-    labels = cores.withColumn("l", F.col("s"))
-    for _ in range(max_rounds):
-        # the smallest label around, then the label's own label: pointers double, so few rounds are needed
-        around = core_pairs.join(labels.select(*keys, F.col("s").alias("s2"), F.col("l").alias("l2")), [*keys, "s2"]).groupBy(*keys, "s").agg(F.min("l2").alias("m"))
-        jump = labels.join(around, [*keys, "s"], "left").select(*keys, "s", "l", F.least("l", F.coalesce("m", "l")).alias("m"))
-        up = jump.select(*keys, F.col("s").alias("m"), F.col("m").alias("mm"))
-        moved = cut(jump.join(up, [*keys, "m"], "left").select(*keys, "s", "l", F.least(F.col("m"), F.coalesce("mm", "m")).alias("new")))
-        changed = not moved.where("l <> new").isEmpty()
-        labels = moved.select(*keys, "s", F.col("new").alias("l"))
-        if not changed:
-            break
-    border = pairs.join(labels.select(*keys, F.col("s").alias("s2"), "l"), [*keys, "s2"]).groupBy(*keys, "s").agg(F.min("l").alias("b"))
-    own = spots.select(*keys, "__x", "__y", "s").join(labels, [*keys, "s"], "left").join(border, [*keys, "s"], "left").select(
-        *keys, "__x", "__y", F.coalesce("l", "b").alias("cluster"))
+    side = eps / (2**0.5 * NEAR)
+    known = rows.where("__x IS NOT NULL AND __y IS NOT NULL AND NOT isnan(__x) AND NOT isnan(__y)")
+    spots = cut(known.groupBy(*keys, "__x", "__y").agg(F.min("__id").alias("s"), F.count(F.lit(1)).alias("w"))
+                .withColumn("cx", F.floor(F.col("__x") / side)).withColumn("cy", F.floor(F.col("__y") / side)))
+    typed = ", ".join(f"`{n}` {t}" for n, t in spots.dtypes if n in keys)
+    blocks = lambda c: F.array_distinct(F.array(*[F.floor((F.col(c) + d) / BLOCK) for d in (-REACH, 0, REACH)]))
+
+    def spread(table: DataFrame, *columns: str) -> DataFrame:
+        wide = table.select(*keys, "__x", "__y", "cx", "cy", *columns, F.explode(blocks("cx")).alias("__bx"))
+        wide = wide.withColumn("__by", F.explode(blocks("cy")))
+        return wide.withColumn("own", (F.floor(F.col("cx") / BLOCK) == F.col("__bx")) & (F.floor(F.col("cy") / BLOCK) == F.col("__by")))
+
+    def opened(part: pd.DataFrame) -> tuple:
+        return part[["__x", "__y"]].to_numpy(float), _by_cell(part["cx"].to_numpy(), part["cy"].to_numpy()), part["own"].to_numpy(bool)
+
+    def find_cores(part: pd.DataFrame) -> pd.DataFrame:
+        p, cells, own = opened(part)
+        return part.loc[_core_rows(p, part["w"].to_numpy(), cells, own, eps, min_points), [*keys, "__x", "__y"]]
+
+    def find_contacts(part: pd.DataFrame) -> pd.DataFrame:
+        p, cells, own = opened(part)
+        found = pd.DataFrame(_contacts(p, part["core"].to_numpy(bool), cells, own, eps), columns=["r", "cx", "cy", "ax", "ay"], dtype="int64")
+        r = found["r"].to_numpy()
+        at = np.where((r >= 0)[:, None], p[np.maximum(r, 0)], 0.0)
+        heads = {k: pd.Series([part[k].iloc[0]] * len(found), dtype=part[k].dtype) for k in keys}
+        return pd.DataFrame({**heads, "linked": r < 0, "__x": at[:, 0], "__y": at[:, 1], **{c: found[c] for c in ("cx", "cy", "ax", "ay")}})
+
+    def find_roots(part: pd.DataFrame) -> pd.DataFrame:
+        return part.assign(root=_components(part))[[*keys, "cx", "cy", "root"]].drop_duplicates()
+
+    block = [*keys, "__bx", "__by"]
+    cores = spread(spots, "w").groupBy(*block).applyInPandas(find_cores, f"{typed}, __x double, __y double")
+    flagged = cut(spots.join(cores.withColumn("core", F.lit(True)), [*keys, "__x", "__y"], "left").withColumn("core", F.coalesce("core", F.lit(False))))
+    contacts = cut(spread(flagged, "core").groupBy(*block).applyInPandas(
+        find_contacts, f"{typed}, linked boolean, __x double, __y double, cx bigint, cy bigint, ax bigint, ay bigint"))
+    roots = contacts.where("linked").select(*keys, "cx", "cy", "ax", "ay").groupBy(*keys).applyInPandas(find_roots, f"{typed}, cx bigint, cy bigint, root bigint")
+    cells = cut(flagged.where("core").groupBy(*keys, "cx", "cy").agg(F.min("s").alias("s")).join(roots, [*keys, "cx", "cy"]))
+    named = cells.groupBy(*keys, "root").agg(F.min("s").alias("cluster"))
+    cells = cells.join(named, [*keys, "root"]).select(*keys, "cx", "cy", "cluster")
+    border = contacts.where("NOT linked").select(*keys, "__x", "__y", F.col("ax").alias("cx"), F.col("ay").alias("cy")).join(cells, [*keys, "cx", "cy"])
+    own = flagged.where("core").join(cells, [*keys, "cx", "cy"]).select(*keys, "__x", "__y", "cluster").union(
+        border.groupBy(*keys, "__x", "__y").agg(F.min("cluster").alias("cluster")).select(*keys, "__x", "__y", "cluster"))
     return rows.join(own, [*keys, "__x", "__y"], "left").select(*keys, F.col("__id").alias(id_col), "cluster")
 
 
