@@ -93,3 +93,13 @@ def test_dbscan_query_keeps_exact_fractions(spark, tmp_path):
     noise = C.dbscan(np.c_[var[1] / cov[1], var[0] / cov[0]], 0.035, 100) == -1
     assert len(got) == len(noise) and 100 < noise.sum() < len(noise) - 100
     assert (got.isna().to_numpy() == noise).all()
+
+
+def test_binned_mean_and_deviation(spark, con):
+    """The registered SQL has counts only; this one has the bins, each standing for its upper edge."""
+    sql = f"""WITH {sites.SITES}, b AS (SELECT sample, (floor(var_n / cov_n / CAST(0.025 AS DOUBLE)) + 1) * CAST(0.025 AS DOUBLE) AS x FROM sites WHERE var_n / cov_n > 0.2 AND var_n / cov_n <= 0.8)
+      SELECT sample, count(*) AS n, round(avg(x), 6) AS mean, round(coalesce(stddev_samp(x), 0), 6) AS sd FROM b GROUP BY sample"""
+    got, want = (sorted(map(tuple, d[["sample", "n", "mean", "sd"]].itertuples(index=False))) for d in (sites.binned_vaf(spark, DATA).toPandas(), con.execute(sql).df()))
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert all(g[2] == pytest.approx(w[2], abs=2e-6) for g, w in zip(got, want))
+    assert all(w[1] < 2 or g[3] == pytest.approx(w[3], abs=2e-6) for g, w in zip(got, want))

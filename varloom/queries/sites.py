@@ -117,7 +117,7 @@ def cn_class(spark, sf_dir):
 
 def binned_vaf(spark, sf_dir):
     t = N.binned_vaf_stats(_sites(spark, sf_dir), 0.025)
-    return t.select("sample", "n")
+    return t.select("sample", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
 def binom_tail(spark, sf_dir):
