@@ -103,3 +103,14 @@ def test_binned_mean_and_deviation(spark, con):
     assert [r[:2] for r in got] == [r[:2] for r in want]
     assert all(g[2] == pytest.approx(w[2], abs=2e-6) for g, w in zip(got, want))
     assert all(w[1] < 2 or g[3] == pytest.approx(w[3], abs=2e-6) for g, w in zip(got, want))
+
+
+def test_simulation_has_the_inputs_size(spark):
+    """All samples of the input, and each simulated site scored once under every event."""
+    n = sites._sites(spark, DATA).groupBy("sample").count().toPandas().set_index("sample")["count"]
+    sim = cohort._simulated(spark, DATA)
+    size = sim.count()
+    assert {r["sample"] for r in sim.select("sample").distinct().collect()} == set(n.index) and n.sum() <= size <= n.sum() + 22 * len(n)
+    c = cohort.simulated_cohort(spark, DATA).collect()
+    assert {r["tp"] + r["fp"] + r["fn"] + r["tn"] for r in c} <= set(range(int(size * 0.9), size + 1))
+    assert {"LOH", "GainSomatic", "HETGermline"} <= {r["event"] for r in c}

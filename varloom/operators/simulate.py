@@ -41,19 +41,23 @@ def reads(rng: np.random.Generator, coverage: float, copies: tuple[int, int], pu
     return int(a), int(b)
 
 
-def simulate_cohort(spark: SparkSession, samples: list[str], sites_per_chrom: int = 200, coverage: float = 100.0, purity_t: float = 0.7,
+def simulate_cohort(spark: SparkSession, samples: list[str], sites_per_chrom: int | dict[str, int] = 200, coverage: float = 100.0, purity_t: float = 0.7,
                     purity_n: float = 0.0, germline_gain: bool = True, seed: int = 7, adjust: Callable | None = None) -> DataFrame:
-    """Sites of simulated samples: coverages, variant reads and ``truth``. One task per sample and chromosome; ``adjust`` may alter reads."""
-    grid = spark.createDataFrame([(s, c) for s in samples for c in range(1, 23)], "sample string, chrom int").repartition("sample", "chrom")
+    """Sites of simulated samples: coverages, variant reads and ``truth``. One task per sample and chromosome; ``adjust`` may alter reads.
+
+    ``sites_per_chrom`` is one number or one per sample.
+    """
+    sizes = sites_per_chrom if isinstance(sites_per_chrom, dict) else dict.fromkeys(samples, sites_per_chrom)
+    grid = spark.createDataFrame([(s, c, sizes[s]) for s in samples for c in range(1, 23)], "sample string, chrom int, n int").repartition("sample", "chrom")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for sample, chrom in zip(b["sample"], b["chrom"]):
+            for sample, chrom, n_sites in zip(b["sample"], b["chrom"], b["n"]):
                 regions = place_regions(sample, seed=seed)
                 rng = np.random.default_rng([seed, zlib.crc32(sample.encode()), int(chrom)])
                 gained = germline_gain and zlib.crc32(sample.encode()) % 22 + 1 == chrom
                 rows = []
-                for pos in np.unique(rng.integers(1, CHROM_LENGTHS[chrom - 1], sites_per_chrom)).tolist():
+                for pos in np.unique(rng.integers(1, CHROM_LENGTHS[chrom - 1], n_sites)).tolist():
                     event = next((e for c, s, t, e in regions if c == chrom and s <= pos <= t), "HETGermline")
                     event = "GainGermline" if gained else event
                     flip = rng.random() < 0.5

@@ -389,12 +389,19 @@ def mutation_permutation(spark, sf_dir):
     return M.mutation_permutation(spark, [r["length"] for r in rows], [r["value"] for r in rows], 20, sorted(per)[-20])
 
 
-def simulated_cohort(spark, sf_dir):
-    """Simulated samples called by the whole-number rules, scored against their truth."""
-    from .sites import simple_events
+def _simulated(spark, sf_dir) -> DataFrame:
+    """As many simulated samples as the input has, each with as many sites, spread evenly over 22 chromosomes."""
+    n = {r["sample"]: -(-r["count"] // 22) for r in _sites(spark, sf_dir).groupBy("sample").count().collect()}
+    return U.simulate_cohort(spark, sorted(n), n)
+
 
-    sim = U.simulate_cohort(spark, [f"S{i}" for i in range(4)], 100)
-    return M.confusion(simple_events(sim), "truth", "event")
+def simulated_cohort(spark, sf_dir):
+    """Simulated samples through the full caller (events, then regions), scored against their truth."""
+    sim = cut(_simulated(spark, sf_dir))
+    bias = spark.createDataFrame([], "chrom int, pos bigint, n_samples int, avg_vaf_n double, avg_abs_cn double")
+    sites = sim.drop("truth").withColumns({"gene": F.lit("."), "line_no": F.lit(1), "site_id": F.lit(1)})
+    called = X.call_regions(C.call_events(C.prepare_sites(sites, bias, True)))
+    return M.confusion(sim.select("sample", "chrom", "pos", "truth").join(called.select("sample", "chrom", "pos", "event"), ["sample", "chrom", "pos"]), "truth", "event")
 
 
 QUERIES = {f.__name__: f for f in (
