@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from varloom.operators.packed import ALLELE_FREQUENCY, Segmenter, learn_dictionary, split_packed
+from varloom.operators.packed import Segmenter, frequency_words, learn_dictionary, shape_of, split_packed
 from varloom.operators.rejects import WIDTH, judge_lines, parse_quoted, rejected_lines, typed_sites
 
 LINE = "chr1\t5\tA\tC\tC\tC\tAAA\tAAA\t10\t20\t5\t6\t0.5\t0.3\trs1,by,A|0.5\tintronic\tABC1"
@@ -24,13 +24,13 @@ LINE = "chr1\t5\tA\tC\tC\tC\tAAA\tAAA\t10\t20\t5\t6\t0.5\t0.3\trs1,by,A|0.5\tint
     ("A|1,T|0", ["A|1", "T|0"]),
 ])
 def test_segments(text, want):
-    assert Segmenter({"near 5' end": 5, "by": 9}).split(text) == want
+    assert Segmenter(frequency_words() | {"near 5' end", "by"}).split(text) == want
 
 
 def test_random_round_trip():
     rng = random.Random(7)
     values = ["rs12", "rs-1", "byfreq", "kg1:all", "A|0.25", "CCA|3e-2", "-|0,5", ".", "d'loop"]
-    split = Segmenter({}).split
+    split = Segmenter(frequency_words()).split
     for _ in range(3000):
         items = [rng.choice(values) for _ in range(rng.randint(1, 9))]
         gaps = [rng.choice([";", " | ", "/", "\t", "\n", " ; ", "；", "&", "::", " ", "|"]) for _ in items[1:]]
@@ -38,9 +38,40 @@ def test_random_round_trip():
 
 
 def test_dictionary_keeps_phrases_not_lists(spark):
-    rows = [(i, "rs%d,near 5' end,bypool" % i) for i in range(50)] + [(i, "bypool;bytrio") for i in range(50)]
-    words = learn_dictionary(spark.createDataFrame(rows, "k int, v string"), "v", min_share=0.05)
-    assert set(words) == {"near 5' end", "bypool", "bytrio"}
+    rows = [(i, "rs%d;near 5' end;bypool" % i) for i in range(50)] + [(i, "bypool;bytrio") for i in range(50)]
+    rows += [(i, '"bypool;bytrio", "seen; twice", "rs1, gone"') for i in range(5)] + [(i, "T|0.%d,rs2" % i) for i in range(10)]
+    rows += [(i, '"too; rare"') for i in range(2)] + [(i, "rs%d,'%s, b'" % (i, "a" * 90)) for i in range(3)] + [(9, None), (9, " ")]
+    df = spark.createDataFrame(rows, "k int, v string")
+    words = learn_dictionary(df, "v")
+    assert words == {"near 0' end": 50, "near 0'": 50, "0' end": 50, "seen; twice": 5, "A|0.0": 10, "a" * 90 + ", b": 3}
+    assert learn_dictionary(df.union(df), "v").keys() == words.keys() | {"too; rare"}  # support counts rows, not shares
+    with pytest.raises(ValueError):
+        learn_dictionary(df, "v", max_words=5)
+    assert learn_dictionary(df.limit(0), "v") == {}
+
+
+def test_dictionary_decides(spark):
+    rows = [(i, 'rs%d,"weight 2, 3"' % i) for i in range(5)] + [(9, "rs7/weight 8, 9/C|0.5/.")]
+    df = spark.createDataFrame(rows, "k bigint, v string")
+
+    def items(dictionary):
+        return [r["item"] for r in split_packed(df, "k", "v", dictionary).where("k = 9").orderBy("item_no").collect()]
+
+    assert items(None) == ["rs7", "weight 8, 9", "C|0.5", "."]
+    assert items({"weight 1, 1"}) == ["rs7", "weight 8, 9", "C", "0.5", "."]
+    assert items(()) == ["rs7", "weight", "8", "9", "C", "0.5", "."]
+
+
+def test_dictionary_splits_the_table(spark):
+    from pyspark.sql import functions as F
+
+    raw = spark.read.parquet("/root/testdata/sf0.001/naf_taf_inputs.parquet")
+    learned, built = learn_dictionary(raw, "dbsnp"), frequency_words()
+    texts = [r[0] for r in raw.where(F.col("dbsnp").isNotNull()).select("dbsnp").collect()]
+    split = {name: list(map(Segmenter(words).split, texts)) for name, words in (("all", built | set(learned)), ("learned", learned), ("none", ()))}
+    assert "A|0.0" in learned and len(learned) > 5
+    differ = {name: sum(a != b for a, b in zip(split["all"], split[name])) for name in ("learned", "none")}
+    assert differ["none"] > len(texts) // 3 and differ["learned"] < len(texts) // 20
 
 
 def test_split_packed_edges(spark):
@@ -56,9 +87,9 @@ def test_split_packed_edges(spark):
         split_packed(df, "item", "v")
 
 
-def test_frequency_pattern():
-    for good in ("A|0.5", "AT|1e-5", "-|.5", "N|0,008", "C|<0.01", "G|5%"):
-        assert re.fullmatch(ALLELE_FREQUENCY, good)
+def test_frequency_words():
+    assert {shape_of(x) for x in ("A|0.5", "AT|1e-5", "-|.5", "N|0,008", "C|<0.01", "G|5%", "t|0,5E+1")} <= frequency_words()
+    assert shape_of("rs12,kg1:eur") == "rs0,kg0:eur"
 
 
 @pytest.mark.parametrize("line, cols, n, broken", [
