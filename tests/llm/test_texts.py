@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from varloom.llm.bpe import PATTERN, VOCABULARY, Encoder, encode_corpus, load, token_counts
-from varloom.llm.packing import best_fit, pack_documents, pack_items
+from varloom.llm.packing import best_fit, pack_documents, pack_items, shared_containers
 from varloom.llm.splitting import Tree, describe, pieces, split_documents
 
 TEXTS = ["", None, " ", "a", "hello world's  end\n\n\n x", "naïve 中文。日本語！", "‍  x", "<|endoftext|> ok", "a" * 5000, "ACGT" * 3000,
@@ -115,6 +115,47 @@ def test_pack_items(spark, shard_items):
     assert pack_items(df.limit(0), {1: 512}).count() == 0
 
 
+def test_repeated_ids_have_containers_of_their_own(spark):
+    df = spark.createDataFrame([(7, 1500, "c", "s")] * 2 + [(7, 2000, None, None)] * 3, "item_id bigint, size bigint, cluster string, source string")
+    got = pack_items(df, {1: 1000}).toPandas()
+    filled = got.groupby("container").n_tokens.sum()
+    assert filled.max() <= 1000 and filled.sum() == 9000 and len(filled) == 9
+
+
+def test_items_that_cannot_be_combined_stay_in_their_shards(spark):
+    df = spark.range(2000).selectExpr("id AS item_id", "600L AS size", "CAST(NULL AS string) AS cluster", "'s' AS source")
+    got = pack_items(df, {1: 1000}, shard_items=50).toPandas()
+    assert got.container.nunique() == 2000 and len({c.rsplit("-", 1)[0] for c in got.container}) == 40
+    assert {c.split("-")[0] for c in got.container} == {"0"}
+
+
+def test_rounds_save_containers_in_bounded_shards(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice([330, 340, 510, 520, 150]), None, f"s{i % 7}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "item_id bigint, size bigint, cluster string, source string")
+    small, one = (pack_items(df, {1: 1000}, shard_items=n, distinct_sources=False).toPandas() for n in (300, 3000))
+    assert small.groupby("container").n_tokens.sum().max() <= 1000 and sorted(small.item_id) == list(range(3000))
+    # equal items, a third of all in one text and one source: no walk over all containers, no more of them than needed
+    assert small.container.nunique() <= one.container.nunique() * 1.03
+    hot = best_fit([100] * 6000, ["same"] * 2000 + [None] * 4000, ["s"] * 3000 + [None] * 3000, 1000)
+    assert len(set(hot)) == 600 and max(np.bincount(hot)) == 10
+
+
+def test_sources_keep_apart_where_that_costs_nothing():
+    rng = random.Random(9)
+    sizes, sources = [rng.randint(50, 500) for _ in range(400)], [f"s{rng.randint(0, 40)}" for _ in range(400)]
+    with_them, without = (best_fit(sizes, [None] * 400, sources, 1000, d) for d in (True, False))
+    shared = [sum(len(b) - len(set(b)) for b in _by(x, sources).values()) for x in (with_them, without)]
+    assert shared[0] < shared[1] and len(set(with_them)) <= len(set(without)) + 1
+
+
+def test_shared_containers(spark):
+    docs = spark.createDataFrame([(1, "a b", "x"), (2, "a b", "x"), (3, "c", None), (4, None, "x")], "doc_id bigint, text string, source string")
+    packed = pack_documents(docs, {1: 100, 2: 2})
+    got = {r["limit_id"]: (r["n_containers"], r["n_shared_copies"], r["n_shared_sources"]) for r in shared_containers(packed, docs).collect()}
+    assert got == {1: (1, 1, 1), 2: (3, 0, 0)}
+
+
 def test_pack_documents(spark):
     df = spark.createDataFrame([(i, t, "s", "x") for i, t in enumerate(TEXTS * 2)], "doc_id bigint, text string, source string, size string")
     got = pack_documents(df, {7: 64}).toPandas()

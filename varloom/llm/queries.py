@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import encode_corpus
 from .digests import digest_groups, merge_digests, percentiles
-from .packing import pack_documents
+from .packing import pack_documents, shared_containers
 from .runs import collapse_runs, same_chromosome
 from .splitting import split_documents
 from .terms import count_terms, mark_terms, symbol_terms, whole_term
@@ -79,12 +79,17 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), limits)
 
 
+def p7_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are and how many documents share one with a copy or with their source, per limit."""
+    return shared_containers(p7_containers(spark, sf_dir), _documents(spark, sf_dir))
+
+
 def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = {r["limit_id"]: (r["max_tokens"], r["overlap_tokens"]) for r in _limits(spark, sf_dir, "piece")}
     return split_documents(_documents(spark, sf_dir), limits)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_events, p3_percentiles, p3_combined, p5_found, p5_counts, p6_ids, p7_containers, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_events, p3_percentiles, p3_combined, p5_found, p5_counts, p6_ids, p7_containers, p7_shared, p8_pieces)}
 
 _P2 = r"""
 WITH lines AS (
