@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from varloom.llm.digests import cluster, digest_groups, estimate, merge, merge_digests, percentiles
 from varloom.llm.runs import collapse_runs, same_chromosome
-from varloom.llm.terms import BurstTrie, choose_routes, count_terms, mark_terms, route_of, symbol_terms, whole_term
+from varloom.llm.terms import BurstTrie, choose_routes, count_terms, mark_terms, merge_subtrees, route_of, split_by_route, symbol_terms, whole_term
 
 
 def brute_runs(rows, near):
@@ -99,21 +99,52 @@ def test_parts_combine(spark):
     assert abs(estimate(one["low"], one["high"], np.array(one["means"]), np.array(one["weights"]), [.5])[0] - 2499.5) < 25
 
 
+def _random_terms(rng, n=3000):
+    return ["".join(rng.choice("ab") for _ in range(rng.randint(0, 9))) + ("q" * 70 + rng.choice("xyz") if rng.random() < .1 else "") for _ in range(n)]
+
+
 def test_burst_trie():
     trie, want = BurstTrie(burst=3), {}
     rng = random.Random(1)
-    for _ in range(3000):
-        t = "".join(rng.choice("ab") for _ in range(rng.randint(0, 9)))
+    for t in _random_terms(rng):
         trie.add(t, 2, 1)
         o, r = want.get(t, (0, 0))
         want[t] = (o + 2, r + 1)
-    got = {p + s: (o, r) for p, ss, os, rs in trie.subtrees() for s, o, r in zip(ss, os, rs)}
+    got = {p + s: (o, r) for p, _, ss, os, rs in trie.subtrees() for s, o, r in zip(ss, os, rs)}
     assert got == want and trie.size == len(want)
     assert max(len(b) for b in trie.containers.values()) <= 3
-    deep = BurstTrie(burst=3)
-    for i in range(20):
-        deep.add("x" * 5000 + str(i), 1, 1)
-    assert max(map(len, deep.containers)) == 64 and sum(len(s) for _, s, _, _ in deep.subtrees()) == 20
+    assert all(way[-1] == len(p) and way[0] == 0 for p, way, *_ in trie.subtrees())
+    deep = BurstTrie(burst=3)  # no prefix is too long to burst
+    terms = ["x" * 5000 + str(i) for i in range(20)] + ["x" * 4000 + "y" * i for i in range(20)] + ["x" * i for i in range(20)]
+    for t in terms:
+        deep.add(t, 1, 1)
+    assert max(map(len, deep.containers.values())) <= 3 and {p + x for p, _, s, _, _ in deep.subtrees() for x in s} == set(terms)
+
+
+def test_subtrees_are_routed_whole_and_merged():
+    rng, want, trees = random.Random(3), {}, []
+    for burst in (3, 5, 50, 4000):  # tries that burst at different places
+        trie = BurstTrie(burst)
+        for t in _random_terms(rng, 800):
+            trie.add(t, 1, 1)
+            want[t] = want.get(t, 0) + 1
+        trees += [(p, s, np.array(o), np.array(r)) for p, _, s, o, r in trie.subtrees()]
+    routes = ["", "a", "aab", "ab", "abba", "b", "bq"]
+    cut, routed = 0, {}
+    for p, s, o, r in trees:
+        parts = list(split_by_route(p, s, routes))
+        cut += len(parts) > 1
+        assert sorted((a, b) for _, a, b in parts) == list(zip([0, *sorted(b for _, _, b in parts)], sorted(b for _, _, b in parts)))
+        for to, a, b in parts:
+            assert all(route_of(routes, p + x) == to for x in s[a:b])
+            routed.setdefault(to, []).append((p, s[a:b], o[a:b], r[a:b]))
+    assert 0 < cut < len(trees) / 2
+    got = {}
+    for to, parts in routed.items():
+        for p, s, o, r in merge_subtrees(iter(parts)):
+            assert s == sorted(set(s)) and not any(p + x in got for x in s)
+            got.update(zip((p + x for x in s), o.tolist()))
+    assert got == want
 
 
 def test_routes():
@@ -129,7 +160,7 @@ def test_routes():
 @pytest.mark.parametrize("burst, hold, route_terms", [(4096, 500000, 200000), (2, 5, 4)])
 def test_counts_match_brute_force(spark, burst, hold, route_terms):
     rng = random.Random(2)
-    words = ["w%d" % i for i in range(60)] + ["é" * 300, "", "w1x"]
+    words = ["w%d" % i for i in range(60)] + ["é" * 300, "é" * 2000 + "a", "é" * 2000 + "b", "\U0010ffff", "\U0010ffffa", "", "w1x"]
     rows = [(["hot"] if i % 3 else []) + [rng.choice(words) for _ in range(rng.randint(0, 4))] for i in range(400)] + [None, []]
     df = spark.createDataFrame([(r,) for r in rows], "terms array<string>").withColumn("field", F.lit("clash")).repartition(5)
     got = count_terms(df, {"x": F.col("terms")}, burst, hold, route_terms)

@@ -1,9 +1,11 @@
 """Frequency of every distinct term: burst tries per task, merged by matching subtrees.
 
 A task counts terms in a burst trie: containers hold the rest of a term after their prefix with its
-counters, and a container that grows beyond a limit bursts into containers of longer prefixes. Tasks
-write their containers as compact subtrees. Routes, prefixes as long as the terms below them demand,
-are chosen from the containers' sizes; subtrees under one route meet in one task and are merged.
+counters, and a container that grows beyond a limit bursts into containers of longer prefixes (the
+next character after all that its terms share). Tasks write their containers as compact subtrees:
+a prefix and sorted suffixes. Routes, prefixes as long as the terms below them demand, are chosen from
+the subtrees' sizes. A subtree goes to its route whole, only one that a route cuts is split, into
+ranges. Subtrees under one route meet in one task, where those of equal prefix merge as sorted runs.
 
 Defined results: a null array or term counts nothing; empty terms are counted like others (callers
 drop them); a term twice in a record counts two occurrences and one record; repeated rows count each;
@@ -12,9 +14,10 @@ very long terms are kept whole; an empty table gives no terms.
 
 from __future__ import annotations
 
-import bisect
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,68 +26,97 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.cut import cut
+from ..plans.spread import spread
 
 #: Terms of a container before it bursts.
 BURST = 4096
-#: Characters of the longest prefix; containers there keep growing, and routes deal them to buckets.
-DEPTH = 64
 #: Terms a task's trie holds before it is written out and begun again.
 HOLD = 500_000
-#: Most routes; they are the only thing sent to all tasks.
-ROUTES = 4096
+#: Most routes, and characters of one; they are the only thing sent to all tasks. What lies below a longer
+#: prefix is dealt to buckets like any route's heavy remainder.
+ROUTES, ROUTE_CHARS = 16_384, 1_000
 #: Terms that should meet in one route's task at most.
 ROUTE_TERMS = 200_000
 
-CONTAINER = "field string, prefix string, n int, suffixes array<string>, occurrences array<bigint>, records array<bigint>"
+SUBTREE = "suffixes array<string>, occurrences array<bigint>, records array<bigint>"
+CONTAINER = f"field string, prefix string, path array<int>, n int, {SUBTREE}"
+
+
+def _shared(a: str, b: str) -> str:
+    """What two strings begin with alike."""
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return a[:n]
 
 
 class BurstTrie:
-    """Occurrence and record counters per term, in containers by adaptive prefixes."""
+    """Occurrence and record counters per term, in containers by adaptive prefixes.
+
+    An inner node skips what all terms below it share; terms that end or branch off inside that stay in a
+    container of the node's own prefix, which bursts like any other and so splits the node.
+    """
 
     def __init__(self, burst: int = BURST) -> None:
         self.burst, self.size = burst, 0
-        self.root: dict = {}  # a container: suffix -> [occurrences, records]
-        self.burst_nodes: dict[str, dict[str, str]] = {}  # prefix of an inner node -> next character -> longer prefix
-        self.containers: dict[str, dict] = {"": self.root}
+        self.skips: dict[str, str] = {}  # prefix of an inner node -> what is skipped before the next character
+        self.containers: dict[str, dict[str, list[int]]] = {}
 
     def add(self, term: str, occurrences: int, records: int) -> None:
-        prefix = ""
-        while prefix in self.burst_nodes:
-            if len(term) == len(prefix):
-                break  # the term that ends at an inner node stays in a container of that prefix
-            longer = term[: len(prefix) + 1]
-            self.burst_nodes[prefix][longer[-1]] = longer
-            prefix = longer
+        prefix, skips = "", self.skips
+        while prefix in skips:
+            skip = skips[prefix]
+            at = len(prefix) + len(skip)
+            if len(term) <= at or not term.startswith(skip, len(prefix)):
+                break
+            prefix = term[: at + 1]
         box = self.containers.setdefault(prefix, {})
         suffix = term[len(prefix) :]
         counter = box.get(suffix)
         if counter is None:
             box[suffix] = [occurrences, records]
             self.size += 1
-            if len(box) > self.burst and prefix not in self.burst_nodes and len(prefix) < DEPTH:
+            if len(box) > self.burst:
                 self._burst(prefix)
         else:
             counter[0] += occurrences
             counter[1] += records
 
     def _burst(self, prefix: str) -> None:
-        box = self.containers.pop(prefix)
-        self.burst_nodes[prefix] = children = {}
-        for suffix, counter in box.items():
-            longer = prefix + suffix[:1]
-            if suffix:
-                children[suffix[0]] = longer
-            self.containers.setdefault(longer, {})[suffix[1:]] = counter
-        for longer in list(children.values()):
-            if len(self.containers[longer]) > self.burst and len(longer) < DEPTH:
-                self._burst(longer)
-
-    def subtrees(self) -> Iterator[tuple[str, list[str], list[int], list[int]]]:
-        """Each container: its prefix, sorted suffixes and their counters."""
+        todo = [prefix]
+        while todo:
+            prefix = todo.pop()
+            box = self.containers.get(prefix, {})
+            if len(box) <= self.burst:
+                continue
+            del self.containers[prefix]
+            skip, old = _shared(min(box), max(box)), self.skips.get(prefix)
+            if old is not None:  # the node splits where these terms leave what it skipped
+                skip = _shared(skip, old)
+                self.skips[prefix + old[: len(skip) + 1]] = old[len(skip) + 1 :]
+            self.skips[prefix] = skip
+            at = len(skip) + 1
+            for suffix, counter in box.items():
+                longer = prefix + suffix[:at] if len(suffix) >= at else prefix
+                self.containers.setdefault(longer, {})[suffix[at:] if longer != prefix else suffix] = counter
+            todo += {prefix + suffix[:at] for suffix in box if len(suffix) >= at}
+
+    def path(self, prefix: str) -> list[int]:
+        """Lengths of the prefixes of the nodes above a container, and of its own."""
+        out, at = [], 0
+        while at < len(prefix):
+            out.append(at)
+            at += len(self.skips[prefix[:at]]) + 1
+        return [*out, at]
+
+    def subtrees(self) -> Iterator[tuple[str, list[int], list[str], list[int], list[int]]]:
+        """Each container: its prefix and path, sorted suffixes and their counters."""
         for prefix, box in self.containers.items():
             if box:
                 suffixes = sorted(box)
-                yield prefix, suffixes, [box[s][0] for s in suffixes], [box[s][1] for s in suffixes]
+                yield prefix, self.path(prefix), suffixes, [box[s][0] for s in suffixes], [box[s][1] for s in suffixes]
 
 
 def _batch_counts(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -109,55 +141,142 @@ def _batch_counts(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 def choose_routes(weights: list[tuple[str, str, int]], route_terms: int, max_routes: int) -> dict[str, dict[str, int]]:
     """Per field the routes (prefix -> buckets) from the terms below each known prefix.
 
-    A prefix is a route of its own where its parent holds more than one task should. What a route keeps after its
-    longer routes are taken away may still be too much (many small branches): then its terms are dealt to buckets.
+    A prefix is a route of its own where the next shorter one known holds more than one task should. What a route keeps
+    after its longer routes are taken away may still be too much (many small branches): its terms are dealt to buckets.
     """
     routes: dict[str, dict[str, int]] = {}
     whole = sum(n for _, prefix, n in weights if not prefix)
     limit = max(route_terms, whole // max(1, max_routes // 2))
     for field in sorted({f for f, _, _ in weights}):
         weight = {p: n for f, p, n in weights if f == field}
-        chosen = {p for p in weight if not p or weight.get(p[:-1], 0) > limit}
-        rest = {p: weight[p] for p in chosen}
-        for p in chosen:
-            if p:
-                rest[p[:-1]] -= weight[p]  # a route's parent is a route: it is heavier still
-        routes[field] = {p: max(1, -(-rest[p] // limit)) for p in sorted(chosen)}
+        rest: dict[str, int] = {}
+        open_: list[str] = []  # known prefixes of the one at hand
+        for p in sorted(weight):
+            while open_ and not p.startswith(open_[-1]):
+                open_.pop()
+            if not open_:
+                rest[p] = weight[p]
+            elif weight[open_[-1]] > limit and open_[-1] in rest:
+                rest[p] = weight[p]
+                rest[open_[-1]] -= weight[p]
+            open_.append(p)
+        routes[field] = {p: max(1, -(-n // limit)) for p, n in rest.items()}
     return routes
 
 
 def route_of(routes: list[str], term: str) -> str:
-    """The longest route that begins ``term``."""
-    at = bisect.bisect_right(routes, term)
+    """The longest of some sorted routes that begins ``term``."""
+    at = bisect_right(routes, term)
     while at:
         candidate = routes[at - 1]
         if term.startswith(candidate):
             return candidate
         # shorten to what the two share: no longer route can begin the term
-        shared = 0
-        for a, b in zip(candidate, term):
-            if a != b:
-                break
-            shared += 1
-        at = bisect.bisect_right(routes, term[:shared])
+        at = bisect_right(routes, term[: len(_shared(candidate, term))])
     return ""
 
 
+def span_of(suffixes: list[str], begin: str) -> tuple[int, int]:
+    """The range of sorted suffixes that begin so."""
+    low = bisect_left(suffixes, begin)
+    if ord(begin[-1]) < 0x10FFFF:
+        return low, bisect_left(suffixes, begin[:-1] + chr(ord(begin[-1]) + 1), low)
+    high = low
+    while high < len(suffixes) and suffixes[high].startswith(begin):
+        high += 1
+    return low, high
+
+
+def ranges_by_prefix(prefix: str, suffixes: list[str], longer: list[str]) -> list[tuple[str | None, int, int]]:
+    """Sorted suffixes in ranges: those below the outermost of some sorted longer prefixes, and what lies between (None)."""
+    out, at, i = [], 0, 0
+    while i < len(longer):
+        outer = longer[i]
+        low, high = span_of(suffixes, outer[len(prefix) :])
+        if low < high:
+            if at < low:
+                out.append((None, at, low))
+            out.append((outer, low, high))
+            at = high
+        while i < len(longer) and longer[i].startswith(outer):
+            i += 1
+    if at < len(suffixes):
+        out.append((None, at, len(suffixes)))
+    return out
+
+
+def below(prefixes: list[str], prefix: str) -> list[str]:
+    """Those of some sorted prefixes that are longer than ``prefix`` and begin with it."""
+    low = high = bisect_right(prefixes, prefix)
+    while high < len(prefixes) and prefixes[high].startswith(prefix):
+        high += 1
+    return prefixes[low:high]
+
+
+def split_by_route(prefix: str, suffixes: list[str], routes: list[str]) -> Iterator[tuple[str, int, int]]:
+    """(route, range) of a subtree's parts: one part unless a route cuts it."""
+    todo = [(route_of(routes, prefix), prefix, 0, len(suffixes))]
+    while todo:
+        route, at, low, high = todo.pop()
+        longer = below(routes, at)
+        if not longer:
+            yield route, low, high
+            continue
+        part = suffixes[low:high]
+        for outer, a, b in ranges_by_prefix(prefix, part, longer):
+            if outer is None:
+                yield route, low + a, low + b
+            else:
+                todo.append((outer, outer, low + a, low + b))
+
+
+def merge_runs(runs: list[tuple[list[str], np.ndarray, np.ndarray]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Sorted runs of suffixes as one, the counters of equal ones added."""
+    if len(runs) == 1:
+        return runs[0]
+    flat = list(chain.from_iterable(r[0] for r in runs))
+    order = sorted(range(len(flat)), key=flat.__getitem__)  # the sort takes sorted runs as they are and merges them
+    flat = [flat[i] for i in order]
+    firsts = [0, *(i for i in range(1, len(flat)) if flat[i] != flat[i - 1])]
+    at = np.array(order)
+    return [flat[i] for i in firsts], *(np.add.reduceat(np.concatenate([r[c] for r in runs])[at], firsts) for c in (1, 2))
+
+
+def merge_subtrees(trees: Iterator[tuple[str, list[str], np.ndarray, np.ndarray]]) -> Iterator[tuple[str, list[str], np.ndarray, np.ndarray]]:
+    """Subtrees of several tries as one trie's: those of equal prefix merge; where one has burst and another hasn't,
+    the other's range of that prefix moves down."""
+    runs: dict[str, list] = {}
+    for prefix, suffixes, o, r in trees:
+        runs.setdefault(prefix, []).append((suffixes, o, r))
+    prefixes = sorted(runs)  # shorter ones first, so what moves down moves on
+    for prefix in prefixes:
+        longer, own = below(prefixes, prefix), []
+        for suffixes, o, r in runs[prefix]:
+            for outer, a, b in ranges_by_prefix(prefix, suffixes, longer) if longer else [(None, 0, len(suffixes))]:
+                if outer is None:
+                    own.append((suffixes[a:b], o[a:b], r[a:b]))
+                else:
+                    gone = len(outer) - len(prefix)
+                    runs[outer].append(([x[gone:] for x in suffixes[a:b]], o[a:b], r[a:b]))
+        if own:
+            yield prefix, *merge_runs(own)
+
+
 def count_terms(df: DataFrame, fields: dict[str, Column], burst: int = BURST, hold: int = HOLD,
                 route_terms: int = ROUTE_TERMS, max_routes: int = ROUTES) -> DataFrame:
     """field, term, occurrences, records of every distinct term; ``fields``: name -> array of the row's terms."""
     names = list(fields)
     source = df.select(*[F.coalesce(c, F.array().cast("array<string>")).alias(f"f{i}") for i, c in enumerate(fields.values())])
+    lists = [pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def dump(tries: list[BurstTrie]) -> Iterator[pa.RecordBatch]:
         for name, trie in zip(names, tries):
             rows = list(trie.subtrees())
             for at in range(0, len(rows), 64):
-                p, s, o, r = zip(*rows[at : at + 64])
+                p, way, *columns = zip(*rows[at : at + 64])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([name] * len(p)), pa.array(p), pa.array([len(x) for x in s], pa.int32()),
-                    pa.array(s, pa.list_(pa.string())), pa.array(o, pa.list_(pa.int64())), pa.array(r, pa.list_(pa.int64()))],
-                    ["field", "prefix", "n", "suffixes", "occurrences", "records"])
+                    pa.array([name] * len(p)), pa.array(p), pa.array(way, pa.list_(pa.int32())), pa.array([len(x) for x in columns[0]], pa.int32()),
+                    *map(pa.array, columns, lists)], ["field", "prefix", "path", "n", "suffixes", "occurrences", "records"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries = [BurstTrie(burst) for _ in names]
@@ -172,48 +291,49 @@ def count_terms(df: DataFrame, fields: dict[str, Column], burst: int = BURST, ho
                 tries = [BurstTrie(burst) for _ in names]
         yield from dump(tries)
 
-    trees = cut(source.mapInArrow(count, CONTAINER))
-    # terms below each prefix, of containers of any depth; only heavy prefixes are gathered, at most 4 * max_routes a length
-    above = F.transform(F.sequence(F.lit(0), F.length("prefix")), lambda i: F.substring("prefix", F.lit(1), i))
-    sizes = trees.select("field", F.explode(above).alias("prefix"), "n").groupBy("field", "prefix").agg(F.sum("n").cast("long").alias("n"))
+    trees = cut(spread(source).mapInArrow(count, CONTAINER))
+    # terms below the prefixes of each trie's nodes; only heavy ones are gathered, at most 4 * max_routes a level of nodes
+    sizes = trees.select("field", "prefix", "n", F.explode("path").alias("at")).where(F.col("at") <= ROUTE_CHARS)
+    sizes = sizes.groupBy("field", F.substring("prefix", F.lit(1), F.col("at")).alias("prefix")).agg(F.sum("n").cast("long").alias("n"))
     total = trees.agg(F.sum("n")).first()[0] or 0
     least = max(1, total // (4 * max_routes))
     known = [(r["field"], r["prefix"], r["n"]) for r in sizes.where((F.col("n") >= least) | (F.col("prefix") == "")).collect()]
     routes = choose_routes(known, route_terms, max_routes)
-    ordered = {f: list(r) for f, r in routes.items()}
+    ordered = {f: sorted(r) for f, r in routes.items()}
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], [], [], []]
-            for field, prefix, _, suffixes, occurrences, records in zip(*[c.to_pylist() for c in batch.columns]):
-                own, buckets = ordered[field], routes[field]
-                parts: dict[tuple[str, int], tuple[list, list, list]] = {}
-                for suffix, o, r in zip(suffixes, occurrences, records):
-                    term = prefix + suffix
-                    to = route_of(own, term)
-                    k = buckets[to]
-                    part = parts.setdefault((to, zlib.crc32(term.encode()) % k if k > 1 else 0), ([], [], []))
-                    for column, value in zip(part, (term, o, r)):
-                        column.append(value)
-                for (to, bucket), (terms, os, rs) in parts.items():
-                    for column, value in zip(out, (field, to, bucket, len(terms), terms, os, rs)):
-                        column.append(value)
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+
+            def put(field: str, to: str, bucket: int, prefix: str, *columns: list) -> None:
+                for column, value in zip(out, (field, to, bucket, prefix, *columns)):
+                    column.append(value)
+
+            for field, prefix, _, _, *columns in zip(*[c.to_pylist() for c in batch.columns]):
+                for to, low, high in split_by_route(prefix, columns[0], ordered[field]):
+                    part, k = [c[low:high] for c in columns], routes[field][to]
+                    if k == 1:
+                        put(field, to, 0, prefix, *part)
+                        continue
+                    dealt: dict[int, list[int]] = {}
+                    for i, suffix in enumerate(part[0]):
+                        dealt.setdefault(zlib.crc32((prefix + suffix).encode()) % k, []).append(i)
+                    for bucket, places in dealt.items():
+                        put(field, to, bucket, prefix, *[[c[i] for i in places] for c in part])
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), *lists]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)],
-                                             ["field", "prefix", "bucket", "n", "suffixes", "occurrences", "records"])
+                                             ["field", "route", "bucket", "prefix", "suffixes", "occurrences", "records"])
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
-        # subtrees are sorted runs; equal terms of all runs become one with their counters added
-        terms = np.concatenate(part["suffixes"].to_list())
-        unique, codes = np.unique(terms.astype(object), return_inverse=True)
-        occurrences = np.zeros(len(unique), np.int64)
-        records = np.zeros(len(unique), np.int64)
-        np.add.at(occurrences, codes, np.concatenate(part["occurrences"].to_list()))
-        np.add.at(records, codes, np.concatenate(part["records"].to_list()))
-        return pd.DataFrame({"field": part["field"].iloc[0], "term": unique, "occurrences": occurrences, "records": records})
-
-    routed = CONTAINER.replace("n int", "bucket int, n int")
-    return trees.mapInArrow(split, routed).groupBy("field", "prefix", "bucket").applyInPandas(
+        trees = zip(part["prefix"], (list(x) for x in part["suffixes"]), part["occurrences"], part["records"])
+        terms, occurrences, records = [], [], []
+        for prefix, suffixes, o, r in merge_subtrees(trees):
+            terms += [prefix + x for x in suffixes]
+            occurrences.append(o)
+            records.append(r)
+        return pd.DataFrame({"field": part["field"].iloc[0], "term": terms, "occurrences": np.concatenate(occurrences), "records": np.concatenate(records)})
+
+    return trees.mapInArrow(split, f"field string, route string, bucket int, prefix string, {SUBTREE}").groupBy("field", "route", "bucket").applyInPandas(
         merge, "field string, term string, occurrences bigint, records bigint")
 
 
