@@ -6,7 +6,7 @@ import pytest
 
 from varloom.llm.bpe import PATTERN, VOCABULARY, Encoder, encode_corpus, load, token_counts
 from varloom.llm.packing import best_fit, pack_documents, pack_items, shared_containers
-from varloom.llm.splitting import Tree, describe, pieces, split_documents
+from varloom.llm.splitting import BLOCK, ITEM, KINDS, LINE, SUBITEM, WORD, Tree, describe, pieces, split_documents
 
 TEXTS = ["", None, " ", "a", "hello world's  end\n\n\n x", "naïve 中文。日本語！", "‍  x", "<|endoftext|> ok", "a" * 5000, "ACGT" * 3000,
          "\n" * 500 + "x", "🙂👨‍👩‍👧" * 40, "1234567890" * 200, "\r\n\ttab", "the the the", "\x00\x01"]
@@ -202,6 +202,81 @@ def test_cuts_are_natural():
     assert {p[5] for p in pieces(Tree(enc, tokens, packed), 50, 0)} == {"word", "end"}
 
 
+def tree_of(text):
+    enc = load()
+    tokens = enc.findall(text)
+    return Tree(enc, tokens, np.array([describe(t, len(enc.merge(t.encode()))) for t in tokens], np.int64))
+
+
+def level_before(text, what, nth=0):
+    at = -1
+    for _ in range(nth + 1):
+        at = text.index(what, at + 1)
+    tree = tree_of(text)
+    return tree.levels[tree.chars.index(at)]
+
+
+def test_structure_is_a_tree():
+    text = ("# One\n\nlead\nsecond line\n\n## Two\n\n* a\n  - b\n\t- c\n* d\n\n### Three\nbody\n\n> said\n> more\nafter\n\n```\n# no heading\n\n* no item\n```\nend\n"
+            "4. RESULTS\n\n1. first\n2. second\n>REC1 x\nACGT\n<table>\nrow\n-5 degrees\n#tag\n# Last\n")
+    assert [level_before(text, h) for h in ("# One", "## Two", "### Three", "# Last")] == [0, 1, 2, 0]
+    assert [level_before(text, x) for x in ("lead", " a", "body", " first")] == [WORD, WORD, WORD, WORD]  # headings and marks keep what follows
+    assert level_before(text, "second line") == LINE and level_before(text, "* d") == ITEM
+    assert level_before(text, " - b") == SUBITEM and level_before(text, "- c") == SUBITEM
+    assert level_before(text, "> said") == BLOCK and level_before(text, "> more") == LINE and level_before(text, "after") == BLOCK
+    assert level_before(text, "```") == BLOCK and level_before(text, "# no heading") == LINE and level_before(text, "* no item") == LINE
+    assert level_before(text, "end\n") == BLOCK and level_before(text, "4. RESULTS") == 5 and level_before(text, "2. second") == ITEM
+    assert level_before(text, ">REC1") == BLOCK and level_before(text, "<table>") == BLOCK
+    assert level_before(text, "-5 degrees") == LINE and level_before(text, "#tag") == LINE
+    assert KINDS[BLOCK] == "paragraph" and KINDS[5] == "section"
+
+
+@pytest.mark.parametrize("line", ["\r\n", "\r", "\x85", "\u2028", "\n"])
+def test_all_line_ends_count(line):
+    text = f"# One{line}{line}lead{line}second line{line}{line}* a{line}* b{line}{line}# Two{line}x"
+    got = [level_before(text, x) for x in ("lead", "second line", "* a", "* b", "# Two", "x")]
+    assert got == [WORD, LINE, BLOCK, ITEM, 0, WORD]
+
+
+def test_deeper_headings_give_way_to_higher_ones():
+    part = "## Sub\n\n" + "word " * 30 + "\n\n"
+    text = ("# Top\n\n" + part + part + part) * 4
+    ends = [text[p[4] :] for p in pieces(tree_of(text), 120, 0)]
+    assert all(e.startswith("# Top") or not e for e in ends)  # two thirds of the pieces could hold one more section
+
+
+def test_no_piece_is_a_heading_and_pieces_are_well_filled(spark):
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = split_documents(docs, {1: (256, 32), 2: (512, 64)}).toPandas().sort_values(["limit_id", "doc_id", "piece_no"])
+    before = got.groupby(["limit_id", "doc_id"]).end_char.shift(fill_value=0)
+    new = [t[max(0, b - f) :] for t, b, f in zip(got.text, before, got.first_char)]
+    alone = [len(x) < 200 and bool(re.fullmatch(r"\s*(#{1,6}|={1,6}) [^\n\r\x85\u2028\u2029\x0b\x0c]*\s*", x)) for x in new]
+    assert not any(a and c != "end" for a, c in zip(alone, got["cut"]))
+    assert not any(re.search(r"\n(#{1,6}|={1,6}) [^\n\r\x85\u2028\u2029\x0b\x0c]*\s*$", x) and c != "end" for x, c in zip(new, got["cut"]))
+    inner = got[got["cut"] != "end"]
+    assert (inner.n_tokens / inner.limit_id.map({1: 256, 2: 512})).groupby(inner.limit_id).mean().min() > 0.85
+
+
+def test_only_the_piece_above_the_limit_is_cut_shorter():
+    # overlaps that begin inside long pre-tokens take more tokens when encoded alone
+    rng = random.Random(11)
+    text = " ".join("".join(rng.choice("ACGTN") for _ in range(rng.randint(1, 400))) for _ in range(60))
+    enc = load()
+    for limit, overlap in ((64, 16), (32, 8)):
+        got = pieces(tree_of(text), limit, overlap)
+        assert all(len(enc.encode(text[b:e])) // 4 <= limit for _, _, _, b, e, _ in got)
+        assert np.mean([n for _, n, *_ in got[:-1]]) > 0.8 * limit
+
+
+def test_a_piece_that_cannot_keep_the_limit_is_an_error():
+    tree = tree_of("word " * 300)
+    tree.alone = lambda first, end: 10**6
+    with pytest.raises(ValueError):
+        pieces(tree, 100, 10)
+
+
 def test_split_documents(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*TEXTS, STRUCTURED, STRUCTURED])], "doc_id bigint, text string, cut string")
     got = split_documents(df, {4: (64, 8), 5: (512, 0)}).toPandas()
