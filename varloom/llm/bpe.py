@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.spread import spread
+
 #: Where the public vocabularies lie, unless a caller says otherwise.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed pattern: the pre-tokens of the vocabulary.
@@ -198,7 +200,7 @@ def in_parts(texts: pa.Array, chars: int = BATCH_CHARS) -> Iterator[tuple[int, l
 
 
 def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """The id and ``ids`` of each document. A map over the table: no shuffle, nothing gathered."""
+    """The id and ``ids`` of each document. A map over the table; only one of fewer parts than cores is dealt out first."""
     if id_col == "ids":
         raise ValueError("the id column would clash with the result's columns")
 
@@ -213,7 +215,7 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), ids], [id_col, "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(df.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
 class Measure(dict):

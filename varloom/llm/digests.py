@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.cut import cut
 from ..plans.joins import BROADCAST_ROWS
+from ..plans.spread import spread
 
-#: Clusters of a digest, about; the rank error near the median is at most about 1.6 / DELTA.
+#: Clusters of a digest, about. One at the median holds 1.6 / DELTA of the values, those towards the ends less: the
+#: rank error stays below that share of a group, or below one value where that is more.
 DELTA = 200
 #: Values a task holds before it clusters them.
 HOLD = 500_000
-#: Digests of a group that one task merges at once; more go through a layer of salts first.
+#: Tasks whose digests of a group merge at once; those of more merge in layers.
 FAN_IN = 64
 
 DIGEST = "n bigint, low double, high double, means array<double>, weights array<double>"
@@ -33,7 +35,7 @@ DIGEST = "n bigint, low double, high double, means array<double>, weights array<
 def _cluster_ids(low: np.ndarray, high: np.ndarray, delta: int) -> np.ndarray:
     """Cluster of each item from the quantiles at its edges: the unit interval of k(q) holding its middle."""
     q = np.clip((low + high) / 2, 0.0, 1.0)
-    return np.floor(delta / (2 * np.pi) * np.arcsin(2 * q - 1)).astype(np.int64)
+    return np.floor(delta / np.pi * np.arcsin(2 * q - 1)).astype(np.int64)
 
 
 def cluster(group: np.ndarray, value: np.ndarray, weight: np.ndarray, delta: int = DELTA) -> pd.DataFrame:
@@ -86,8 +88,8 @@ def estimate(low: float, high: float, means: np.ndarray, weights: np.ndarray, sh
 def digest_groups(df: DataFrame, groupings: dict[str, Column], values: dict[str, Column], delta: int = DELTA) -> DataFrame:
     """Digests per (by, key, field): one per group of each grouping and each value column, mergeable later.
 
-    Rows are never shuffled; a task sends at most one digest per group it saw. Groups with digests of
-    more than ``FAN_IN`` tasks merge in two layers, so no task gathers what grows with the table.
+    Rows are never shuffled; a task sends one digest per group it saw in each ``HOLD`` values. Digests of more than
+    ``FAN_IN`` tasks merge in as many layers as it takes, so what a task gathers doesn't grow with the table.
     """
     names, fields = list(groupings), list(values)
     source = df.select(*[c.cast("string").alias(f"k{i}") for i, c in enumerate(groupings.values())],
@@ -117,10 +119,12 @@ def digest_groups(df: DataFrame, groupings: dict[str, Column], values: dict[str,
         if n:
             yield from flush(held)
 
-    parts = source.mapInPandas(partial, f"by string, key string, field string, {DIGEST}")
+    parts = spread(source).mapInPandas(partial, f"by string, key string, field string, {DIGEST}")
     parts = cut(parts.withColumn("layer", F.spark_partition_id()))
-    if parts.agg(F.max("layer")).first()[0] is not None and parts.select("layer").distinct().count() > FAN_IN:
-        parts = merge_digests(parts.withColumn("layer", F.col("layer") % FAN_IN), ["by", "key", "field", "layer"], delta)
+    layers = (parts.agg(F.max("layer")).first()[0] or 0) + 1
+    while layers > FAN_IN:
+        layers = -(-layers // FAN_IN)
+        parts = cut(merge_digests(parts.withColumn("layer", F.col("layer") % layers), ["by", "key", "field", "layer"], delta))
     return merge_digests(parts, ["by", "key", "field"], delta)
 
 

@@ -5,7 +5,8 @@ so after k rounds a pointer spans 2^k events, until all reach the start of their
 unique (sequence, order), so no round is skewed, however long a run or a sequence is.
 
 Finding the predecessor needs order, not one task per sequence: sequences are cut into blocks of the
-order column, at most ``block`` distinct positions each; only block edges meet in a second window.
+order column, at most ``block`` distinct positions each; only block edges meet in blocks ``block`` times
+as wide, and so on until one block holds a sequence, however far apart its numbers lie.
 
 Defined results: rows with the same sequence and order are one event (the smallest by ``tie_cols``);
 rows with a null sequence or order belong to no sequence and are left out; a null kind or position
@@ -28,6 +29,11 @@ def same_chromosome(name: Column) -> Column:
     return F.when(bare == "mt", "m").otherwise(bare)
 
 
+def _block(order: str, width: int) -> Column:
+    """Which stretch of ``width`` whole numbers a number lies in."""
+    return F.expr(f"IF({order} < 0, ({order} + 1) div {width}L - 1, {order} div {width}L)") if width < 2**63 else F.lit(0)
+
+
 def link_events(df: DataFrame, seq: str, order: str, kind: Column, position: Column, near: int,
                 tie_cols: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
     """The events that continue the run of the event before: seq, ord, ptr (the predecessor's ord), pos, prev_pos."""
@@ -35,7 +41,7 @@ def link_events(df: DataFrame, seq: str, order: str, kind: Column, position: Col
         F.col(seq).alias("seq"), F.col(order).cast("bigint").alias("ord"), kind.alias("kind"),
         position.cast("bigint").alias("pos"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(tie_cols)],
     ).where(F.col("seq").isNotNull() & F.col("ord").isNotNull())
-    events = events.withColumn("blk", F.floor(F.col("ord") / block))
+    events = events.withColumn("blk", _block("ord", block))
     ties = [f"t{i}" for i in range(len(tie_cols))]
     within = Window.partitionBy("seq", "blk").orderBy("ord", *ties)
     # one shuffle and one sort serve both windows: repeated lines first, then the neighbours
@@ -48,13 +54,24 @@ def link_events(df: DataFrame, seq: str, order: str, kind: Column, position: Col
     first = F.col("p_ord").isNull()
     matches = F.coalesce((F.col("kind") == F.col("p_kind")) & (F.abs(F.col("pos") - F.col("p_pos")) <= near), F.lit(False))
     kept = cut(events.withColumn("matches", matches).where(first | F.col("last") | F.col("matches")))
-    across = Window.partitionBy("seq").orderBy("ord")
-    edges = kept.where(first | F.col("last")).select(
-        "seq", "ord", "kind", "pos", first.alias("first"), F.lag("ord").over(across).alias("p_ord"),
-        F.lag("kind").over(across).alias("p_kind"), F.lag("pos").over(across).alias("p_pos"))
-    edges = edges.where(F.col("first")).where(matches)
     columns = ["seq", "ord", F.col("p_ord").alias("ptr"), "pos", F.col("p_pos").alias("prev_pos")]
-    out = cut(kept.where(F.col("matches")).select(*columns).unionByName(edges.select(*columns)))
+    found = [kept.where(F.col("matches")).select(*columns)]
+    # edges of blocks meet in wider blocks, whose edges meet again: no window holds more than two rows a narrower block
+    ends = kept.agg(F.min("ord"), F.max("ord")).first()
+    edges, width = kept.where(first | F.col("last")).select("seq", "ord", "kind", "pos", first.alias("lone")), block
+    while ends[0] is not None and width < 2**63 and ends[0] // width != ends[1] // width:
+        width *= block
+        across = Window.partitionBy("seq", _block("ord", width)).orderBy("ord")
+        edges = edges.select(
+            "seq", "ord", "kind", "pos", "lone", F.lag("ord").over(across).alias("p_ord"), F.lag("kind").over(across).alias("p_kind"),
+            F.lag("pos").over(across).alias("p_pos"), F.lead("ord").over(across).isNull().alias("last"))
+        found.append(edges.where(F.col("lone")).where(matches).select(*columns))
+        edges = edges.where(F.col("p_ord").isNull() | F.col("last")).select(
+            "seq", "ord", "kind", "pos", (F.col("lone") & F.col("p_ord").isNull()).alias("lone"))
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    out = cut(out)
     drop(kept)
     return out
 

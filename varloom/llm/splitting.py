@@ -282,7 +282,7 @@ def split_documents(df: DataFrame, limits: dict[int, tuple[int, int]], id_col: s
     """The pieces of each text above a limit; ``limits``: limit_id -> (most tokens, overlap).
 
     Columns: limit_id, the id, piece_no from 1, first_token, n_tokens, n_overlap, first_char, end_char,
-    cut (the boundary at the piece's end) and text. A map over the table: no shuffle.
+    cut (the boundary at the piece's end) and text. A map over the table; only one of fewer parts than cores is dealt out first.
     """
     for most, overlap in limits.values():
         if overlap < 0 or most - overlap < LEAST:
