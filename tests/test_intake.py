@@ -128,6 +128,8 @@ def test_reasons(spark):
     assert got == {i: r for i, _, r in cases if r}
     assert judge_lines(df.limit(0)).count() == 0
     sites = typed_sites(df, keep=("sample_id",))
-    assert len(sites.columns) == 2 + WIDTH
+    assert len(sites.columns) == 3 + WIDTH
     assert {r["line_id"] for r in sites.collect()} == {i for i, _, r in cases if not r}
-    assert sites.where("line_id = 10").first()["q20_totcov_t"] is None
+    assert sites.where("line_id = 10").first()["q20_totcov_t"] is None and sites.where("not_cast IS NOT NULL").count() == 0
+    odd = spark.createDataFrame([(1, swap(1, "5x"), "s"), (2, swap(12, "."), "s"), (3, swap(12, "high"), "s")], "line_id bigint, raw_line string, sample_id string")
+    assert [r["not_cast"] for r in typed_sites(odd, keep=("sample_id",)).orderBy("line_id").collect()] == ["coordinate", None, "q20_variantratio_n"]

@@ -91,3 +91,34 @@ def test_streaming_late_rows(spark, tmp_path):
     rows = [[(t(1), "a", 1.0), (t(1, 30), "a", 2.0)], [(t(9), "a", 5.0)], [(t(9, 10), "a", 5.0)], [(t(1, 10), "a", 100.0)], [(t(20), "a", 1.0)]]
     got = run_stream(spark, tmp_path / "c", rows, "ts timestamp, k string, v double", lambda s: W.event_counts(s, "ts", "k", "v"))
     assert (t(1), 2, 3.0) in {(r["start"], r["n"], r["total"]) for r in got}
+
+
+def test_cuts_lie_in_the_shared_folder(spark):
+    from varloom.plans.cut import cut, drop, root_of, shared_dir
+
+    assert shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir") + "/varloom-")
+    table = cut(spark.range(5))
+    assert table.count() == 5 and table.inputFiles()[0].startswith("file:///") and "/shared" in table.inputFiles()[0]
+    drop(table)
+    assert root_of("hdfs://x/y/", "spark://m:7077") == "hdfs://x/y" and root_of(None, "local[4]").startswith("file://")
+    for master in ("spark://m:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError):
+            root_of(None, master)
+
+
+def test_broadcast_by_rows_and_characters(spark):
+    from varloom.plans.joins import sized_join, small
+
+    wide = spark.createDataFrame([(1, "a" * 1000), (2, None)], "k int, v string")
+    assert small(wide) and not small(wide, max_rows=1) and not small(wide, max_chars=900)
+    left = spark.createDataFrame([(1,), (2,), (3,), (None,)], "k int")
+    for chars in (900, 10_000):
+        assert sorted((r["k"] or 0, len(r["v"] or "")) for r in sized_join(left, wide, ["k"], max_broadcast_chars=chars).collect()) == [(0, 0), (1, 1000), (2, 0), (3, 0)]
+
+
+def test_settings_are_read_whole(spark, tmp_path):
+    from varloom.sources.tables import read_settings
+
+    (tmp_path / "s.txt").write_text("# c\n\n  # d\n" + "".join(f"k{i} v {i}\n" for i in range(12_000)) + "k5\n")
+    got = read_settings(spark, str(tmp_path / "s.txt"))
+    assert len(got) == 12_000 and got["k11999"] == "v 11999" and got["k5"] == ""

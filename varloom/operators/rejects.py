@@ -137,7 +137,7 @@ def judge_lines(df: DataFrame, id_col: str = "line_id", line_col: str = "raw_lin
     parsed = cut(parse_lines(df.select(id_col, line_col, *keep), line_col).drop(line_col))
     whole = parsed.where(~F.col("__broken") & (F.col("__n") == WIDTH))
     values = whole.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("at"), F.col("__cols")[at].alias("value")) for i, (at, _, _) in enumerate(CHECKS)
+        F.struct(F.lit(i).alias("at"), F.get("__cols", F.lit(at)).alias("value")) for i, (at, _, _) in enumerate(CHECKS)
     ])).alias("x")).select("x.*").distinct()
     test = F.lit(None).cast("boolean")
     for i, (_, ok, _) in enumerate(CHECKS):
@@ -146,7 +146,7 @@ def judge_lines(df: DataFrame, id_col: str = "line_id", line_col: str = "raw_lin
     judged = parsed.withColumn("__fits", ~F.col("__broken") & (F.col("__n") == WIDTH))
     for i, (at, _, reason) in enumerate(CHECKS):
         bad = invalid.where(F.col("at") == i).select(F.col("value").alias("__v"), F.lit(reason).alias(f"__r{i}"))
-        judged = sized_join(judged.withColumn("__v", F.when(F.col("__fits"), F.col("__cols")[at])), bad, ["__v"]).drop("__v")
+        judged = sized_join(judged.withColumn("__v", F.when(F.col("__fits"), F.get("__cols", F.lit(at)))), bad, ["__v"]).drop("__v")
     reason = F.when(F.col("__broken"), "broken_quoting").when(F.col("__n") != WIDTH, "column_count")
     return judged.withColumn("reason", F.coalesce(reason, *[F.col(f"__r{i}") for i in range(len(CHECKS))])).drop(
         "__fits", *[f"__r{i}" for i in range(len(CHECKS))])
@@ -159,10 +159,14 @@ def rejected_lines(df: DataFrame, id_col: str = "line_id", line_col: str = "raw_
 
 def typed_sites(df: DataFrame, id_col: str = "line_id", line_col: str = "raw_line",
                 keep: tuple[str, ...] = ("sample_id", "line_no")) -> DataFrame:
-    """The valid lines as typed sites; ``.`` and unjudged values that don't cast become null."""
+    """The valid lines as typed sites; ``.`` and unjudged values that don't cast become null, and ``not_cast`` names the
+    columns of the latter, comma-separated (null when there are none)."""
     good = judge_lines(df, id_col, line_col, keep).where(F.col("reason").isNull())
-    out = []
+    out, lost = [], []
     for i, (name, kind) in enumerate(SITE_COLUMNS):
-        v = F.col("__cols")[i]
-        out.append((v if kind == "string" else F.when(v != ".", F.trim(v)).try_cast(kind)).alias(name))
-    return good.select(id_col, *keep, *out)
+        v = F.get("__cols", F.lit(i))
+        cast = F.when(v != ".", F.trim(v)).try_cast(kind)
+        out.append((v if kind == "string" else cast).alias(name))
+        if kind != "string":
+            lost.append(F.when((v != ".") & cast.isNull(), F.lit(name)))
+    return good.select(id_col, *keep, *out, F.nullif(F.concat_ws(",", *lost), F.lit("")).alias("not_cast"))

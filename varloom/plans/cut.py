@@ -1,7 +1,7 @@
 """Lineage cuts that survive the loss of executors.
 
-A cut is a table written into the shared folder named by ``spark.checkpoint.dir``;
-only where that setting is absent (tests, notebooks) a local folder takes its place.
+A cut is a table written into the shared folder named by ``spark.checkpoint.dir``. Where that setting is
+absent a local folder takes its place if all tasks run in this one process; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -16,12 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 _FOLDERS: dict[str, str] = {}
 
 
+def root_of(where: str | None, master: str) -> str:
+    """The shared folder, or one of this machine for a local master without it."""
+    if where:
+        return where.rstrip("/")
+    if master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="varloom-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The application's folder for cuts below the shared folder that the session names."""
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
-        where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="varloom-")
-        _FOLDERS[app] = f"{where.rstrip('/')}/varloom-{app}"
+        _FOLDERS[app] = f"{root_of(spark.conf.get('spark.checkpoint.dir', None), spark.sparkContext.master)}/varloom-{app}"
         atexit.register(_delete, spark, _FOLDERS[app])
     return _FOLDERS[app]
 

@@ -50,6 +50,10 @@ _TYPED = ",\n  ".join(
     else f"CASE WHEN c[{i}] <> '.' THEN try_cast(trim(c[{i}]) AS {'INTEGER' if kind == 'int' else 'DOUBLE'}) END AS {name}"
     for i, (name, kind) in enumerate(SITE_COLUMNS, 1))
 
+_NOT_CAST = "nullif(concat_ws(',', " + ", ".join(
+    f"CASE WHEN c[{i}] <> '.' AND try_cast(trim(c[{i}]) AS {'INTEGER' if kind == 'int' else 'DOUBLE'}) IS NULL THEN '{name}' END"
+    for i, (name, kind) in enumerate(SITE_COLUMNS, 1) if kind != "string") + "), '') AS not_cast"
+
 # values by one alternation: quoted text, an allele with its number, else whatever holds no delimiter
 _VALUE = (r'"(?:[^"\\]|\\.|"")*"' + r"|'[^']*'|“[^”]*”|(?:[ACGTN]+|-)\|[0-9]+(?:[.,][0-9]+)?(?:e[+-]?[0-9]+)?|[^\s,;/|&；，:](?:[^\s,;/|&；，:]|:[^:\s,;/|&；，])*").replace("'", "''")
 
@@ -60,5 +64,5 @@ listed AS (SELECT site_id, unnest(v) AS x, CAST(generate_subscripts(v, 1) AS BIG
 SELECT site_id, item_no, CASE WHEN length(x) > 1 AND x[1] = '"' AND x[-1] = '"' THEN replace(replace(x[2:-2], '""', '"'), '\"', '"')
   WHEN length(x) > 1 AND x[1] IN (chr(39), '“') AND x[-1] IN (chr(39), '”') THEN x[2:-2] ELSE x END AS item FROM listed""",
     "p4_found": f"WITH {_LINES} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
-    "p4_sites": f"WITH {_LINES} SELECT line_id, sample_id, line_no,\n  {_TYPED}\nFROM judged WHERE reason IS NULL",
+    "p4_sites": f"WITH {_LINES} SELECT line_id, sample_id, line_no,\n  {_TYPED},\n  {_NOT_CAST}\nFROM judged WHERE reason IS NULL",
 }

@@ -120,9 +120,9 @@ def read_marker_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_settings(spark: SparkSession, path: str) -> dict[str, str]:
-    """``key value`` lines of a settings file."""
-    rows = spark.read.text(path).limit(10_000).collect()
-    pairs = (r["value"].split(None, 1) for r in rows if r["value"].strip() and not r["value"].startswith("#"))
+    """``key value`` lines of a settings file, all of them; of a key named again the last value."""
+    rows = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#|\z)")).toLocalIterator()
+    pairs = (r["value"].split(None, 1) for r in rows)
     return {p[0]: p[1].strip() if len(p) > 1 else "" for p in pairs}
 
 
