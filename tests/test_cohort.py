@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,10 +120,12 @@ def test_imputed_and_classified(spark):
     scored = spark.createDataFrame([(1, 10, 100), (1, 30, 200)], "chrom int, pos bigint, g bigint")
     got = {r["pos"]: r["g"] for r in K.impute_scores(spark.createDataFrame([(1, 5), (1, 15), (1, 40), (1, 10)], "chrom int, pos bigint"), scored).collect()}
     assert got == {5: 100, 15: 125, 40: 200, 10: 100}
-    peaks = spark.createDataFrame([("AMP", 1, 1, 100, 5, 9, 50), ("AMP", 1, 1, 10, 5, 9, 50)], "type string, chrom int, region_start int, region_end int, peak_start int, peak_end int, g int")
+    # broad with a narrow span; with a score of just twice the threshold; with a span as long as the arm's threshold; not broad
+    peaks = [("AMP", 1, 1, 100, 5, 9, 41, 5, 9), ("AMP", 1, 1, 101, 5, 9, 40, 5, 9), ("AMP", 1, 1, 102, 5, 9, 90, 5, 65), ("AMP", 1, 1, 10, 5, 9, 50, 5, 9)]
+    peaks = spark.createDataFrame(peaks, "type string, chrom int, region_start int, region_end int, peak_start int, peak_end int, peak_g int, span_start int, span_end int")
     arms = spark.createDataFrame([(1, "p", 60)], "chrom int, arm string, broad_length int")
     rows = K.classify_peaks(peaks, arms, spark.createDataFrame([("AMP", 20)], "type string, g_sig int")).orderBy("region_end").collect()
-    assert [(r["is_broad"], r["is_focal"]) for r in rows] == [(False, False), (True, True)]
+    assert [(r["is_broad"], r["is_focal"]) for r in rows] == [(False, False), (True, True), (True, False), (True, False)]
     with pytest.raises(ValueError):
         K.require_several_samples(spark.createDataFrame([("AMP", "s", 5), ("DEL", "s", 0)], "type string, sample string, score int"))
 
@@ -137,16 +140,128 @@ def test_cluster_summaries(spark):
     assert {r["inside"] for r in rows if r["cluster"] is None} == {None} and len(rows) == 5
 
 
+def runs_of(scores):
+    rows = []
+    for i, row in enumerate(scores):
+        edges = np.flatnonzero(np.diff(row)) + 1
+        for a, b in zip([0, *edges], [*edges, len(row)]):
+            if row[a]:
+                rows.append((f"s{i:03}", a, b - 1, row[a]))
+    return pd.DataFrame(rows, columns=["sample", "low", "high", "score"])
+
+
+def dense_peaks(scores, grid, grid_q, threshold, arms=None, limit=None, look=11):
+    """The same on a matrix, marker by marker."""
+    look_up = lambda g: grid_q[np.searchsorted(grid, g, side="right") - 1] if g >= grid[0] else 1.0
+    left, n, out = scores.copy(), scores.shape[1], []
+    q0 = [look_up(g) for g in scores.sum(0)]
+    while True:
+        q = [look_up(g) for g in left.sum(0)]
+        if not min(q) < threshold:
+            return out
+        s = q.index(min(q))
+        e = s
+        while e + 1 < n and q[e + 1] <= min(q):
+            e += 1
+        for i in [i for i in range(len(left)) if left[i, s : e + 1].any()]:
+            rest = left.sum(0) - left[i]
+            top = rest[s : e + 1].max()
+            while top > 0 and s > 0 and rest[s - 1] >= top:
+                s -= 1
+            while top > 0 and e + 1 < n and rest[e + 1] >= top:
+                e += 1
+        a, b = s, e
+        while a > 0 and q0[a - 1] < threshold:
+            a -= 1
+        while b + 1 < n and q0[b + 1] < threshold:
+            b += 1
+        bounds = [0, n - 1]
+        if limit is not None:
+            for side, at, step in ((0, s, -1), (1, e, 1)):
+                remain = left[:, at].copy()
+                while 0 <= at + step < n:
+                    at += step
+                    added = 0
+                    for i in range(len(left)):
+                        c = left[i, at]
+                        if c < remain[i]:
+                            near = left[i, at : at + look] if step > 0 else left[i, max(at - look, 0) : at + 1]
+                            c = min(near.max(), remain[i])
+                        added += max(c - remain[i], 0)
+                        remain[i] = min(c, remain[i])
+                    if remain.sum() == 0 or added >= limit:
+                        break
+                bounds[side] = at
+        count = 0
+        for i in range(len(left)):
+            hit = [x for x in range(s, e + 1) if left[i, x]]
+            count += bool(hit)
+            for x in hit:
+                if not left[i, x]:
+                    continue
+                lo = hi = x
+                while lo > 0 and left[i, lo - 1]:
+                    lo -= 1
+                while hi + 1 < n and left[i, hi + 1]:
+                    hi += 1
+                if arms is not None:
+                    lo, hi = np.flatnonzero(arms == arms[x])[[0, -1]]
+                left[i, max(lo, bounds[0]) : min(hi, bounds[1]) + 1] = 0
+        out.append((a, b, s, e, min(q), count))
+
+
+@pytest.mark.parametrize("mode", ["stretch", "arm", "limited"])
+def test_peaks_equal_the_dense_search(mode):
+    rng = np.random.default_rng(5)
+    for _ in range(25):
+        scores = np.zeros((8, 60), int)
+        for i in range(8):
+            for _ in range(rng.integers(1, 5)):
+                a = rng.integers(0, 58)
+                scores[i, a : a + rng.integers(1, 25)] = rng.choice([300, 700, 900])
+        scores[:, 30:33] = 900
+        grid = np.array([0, 1500, 2600, 4000, 5500])
+        q = np.array([1.0, 0.5, 0.2, 0.05, 0.001])
+        arms = (np.arange(60) >= 35) if mode == "arm" else None
+        limit = 1200 if mode == "limited" else None
+        found = K.PeakFinder(scores.sum(0), runs_of(scores), grid, q, 0.25, arms, limit).run()
+        assert found and [x[:6] for x in found] == dense_peaks(scores, grid, q, 0.25, arms, limit)
+
+
 def test_peeling_by_stretch_and_arm():
     scores = np.zeros((4, 40), int)
     scores[:, 5:8] = 900  # a peak on the short arm, and a lower one of the same samples further on
     scores[:3, 15:18] = 900
     grid, q = np.array([0, 2700, 3600]), np.array([1.0, 0.1, 0.01])
     arms = np.arange(40) >= 20
-    by_stretch = K.PeakFinder(scores, grid, q).run()
-    by_arm = K.PeakFinder(scores, grid, q, arms=arms).run()
-    assert [(s, e) for _, _, s, e, _, _ in by_stretch] == [(5, 7), (15, 17)]
-    assert [(s, e) for _, _, s, e, _, _ in by_arm] == [(5, 7)]
+    by_stretch = K.PeakFinder(scores.sum(0), runs_of(scores), grid, q).run()
+    by_arm = K.PeakFinder(scores.sum(0), runs_of(scores), grid, q, arms=arms).run()
+    assert [(s, e) for _, _, s, e, *_ in by_stretch] == [(5, 7), (15, 17)]
+    assert [(s, e) for _, _, s, e, *_ in by_arm] == [(5, 7)]
+    assert by_stretch[0][6:] == (3600, 5, 7)  # score, and the span above 3600 - 2700
+
+
+def test_limited_peel_off_leaves_what_others_begin():
+    scores = np.zeros((6, 60), int)
+    scores[:4, 10:14] = 900
+    scores[:2, 10:40] = 900  # two of the peak's samples go on, where others begin
+    scores[4:, 20:30] = 900
+    grid, q = np.array([0, 1700, 3000]), np.array([1.0, 0.1, 0.01])
+    whole = K.PeakFinder(scores.sum(0), runs_of(scores), grid, q).run()
+    limited = K.PeakFinder(scores.sum(0), runs_of(scores), grid, q, limit=1700).run()
+    assert [x[2:4] + x[5:6] for x in whole][:1] == [x[2:4] + x[5:6] for x in limited][:1] == [(10, 13, 4)]
+    assert [x[5] for x in whole[1:]] == [2] and [x[5] for x in limited[1:]] == [4]
+
+
+def test_lost_heterozygosity_has_scores_of_its_own(spark):
+    rows = [(f"m{i}", 1, i * 10, f"s{j}", float(5 <= i < 8 or (i + j) % 9 == 0)) for i in range(40) for j in range(10)] + [("m0", 1, 0, "s0", None)]
+    parts = K.loh_contributions(markers_df(spark, rows)).cache()
+    g = {r["marker"]: r["g"] for r in K.g_scores(parts).collect()}
+    assert g["m6"] == 10_000 and {r["type"] for r in parts.select("type").distinct().collect()} == {"LOH"}
+    peaks = K.find_peaks(parts, K.q_values(K.g_scores(parts), K.null_distribution(parts))).orderBy("place").collect()
+    assert [(r["type"], r["peak_start"], r["peak_end"], r["n_samples"]) for r in peaks] == [("LOH", 50, 70, 10)]
+    regions = spark.createDataFrame([("r", 1, 0, 1000)], "region string, chrom int, start int, end int")
+    assert {r["strength"] for r in K.region_strength(markers_df(spark, [("m", 1, 5, "s", 1.0), ("n", 1, 6, "s", 1.0), ("o", 1, 7, "s", 0.0)]), regions, "LOH").collect()} == {1}
 
 
 def test_permuted_distances(spark):

@@ -14,6 +14,10 @@ from ..plans.cut import cut
 
 #: Bin of a score, thresholds and caps of gains and losses, high-level thresholds, q threshold.
 BIN, GAIN, LOSS, CAP_GAIN, CAP_LOSS, HIGH_GAIN, HIGH_LOSS, Q = 0.001, 0.3, -0.3, 1.5, -1.5, 0.9, -1.3, 0.25
+#: Probability below which the ends of a law are cut off.
+NEGLIGIBLE = 1e-60
+#: Fixed value: markers looked ahead over a gap when peel-off is limited.
+LOOK_AHEAD = 11
 #: Samples convolved by one task at a time.
 FAN_IN = 64
 
@@ -38,7 +42,7 @@ def focal_thresholds(markers: DataFrame) -> DataFrame:
 
 
 def contributions(markers: DataFrame, focal: DataFrame | None = None, weights: DataFrame | None = None) -> DataFrame:
-    """Each marker's and sample's score per type (AMP, DEL): capped values beyond the threshold, in bins, times the weight."""
+    """Each marker's and sample's score per type (AMP, DEL; LOH comes from ``loh_contributions``): capped values beyond the threshold, in bins, times the weight."""
     rows = markers.where("value IS NOT NULL")
     rows = rows.join(focal, "sample", "left") if focal is not None else rows.withColumns({"high": F.lit(0.0), "low": F.lit(0.0)})
     rows = rows.join(weights, "sample", "left") if weights is not None else rows.withColumn("weight", F.lit(1))
@@ -51,6 +55,12 @@ def contributions(markers: DataFrame, focal: DataFrame | None = None, weights: D
         "marker", "chrom", "pos", "sample", "x.*")
 
 
+def loh_contributions(markers: DataFrame) -> DataFrame:
+    """Scores of type LOH from a matrix of its own, long as the other markers: 1 (or a share) where a sample lost heterozygosity."""
+    score = F.floor(F.greatest(F.col("value"), F.lit(0.0)) / BIN + 0.5).cast("bigint")
+    return markers.where("value IS NOT NULL").select("marker", "chrom", "pos", "sample", F.lit("LOH").alias("type"), score.alias("score"))
+
+
 def g_scores(parts: DataFrame) -> DataFrame:
     """G-score of each marker and type."""
     return parts.groupBy("type", "marker", "chrom", "pos").agg(F.sum("score").alias("g"))
@@ -63,11 +73,11 @@ def differential_weights(groups: DataFrame) -> DataFrame:
 
 
 def strength(value: str = "value") -> tuple:
-    """0, 1 or 2 (high level) of a gain and of a loss."""
+    """0, 1 or 2 (high level) of a gain and of a loss; 0 or 1 of lost heterozygosity."""
     v = F.col(value)
     gain = F.when(v > HIGH_GAIN, 2).when(v > GAIN, 1).otherwise(0)
     loss = F.when(v < HIGH_LOSS, 2).when(v < LOSS, 1).otherwise(0)
-    return gain, loss
+    return gain, loss, F.when(v > 0, 1).otherwise(0)
 
 
 def null_distribution(parts: DataFrame) -> DataFrame:
@@ -86,8 +96,11 @@ def null_distribution(parts: DataFrame) -> DataFrame:
 
     def convolve(part: pd.DataFrame) -> pd.DataFrame:
         low, p = 0, np.ones(1)
-        for r in part.itertuples():
+        for r in part.sort_values("p", key=lambda x: x.map(len)).itertuples():
             low, p = low + int(r.low), np.convolve(p, np.asarray(r.p))
+            # far ends whose probability adds nothing to any q are cut off, so laws grow with the spread of G, not its range
+            kept = np.flatnonzero(p > NEGLIGIBLE)
+            low, p = low + int(kept[0]), p[kept[0] : kept[-1] + 1]
         return pd.DataFrame({"type": [part["type"].iloc[0]], "low": [low], "p": [p]})
 
     laws = cut(hist.groupBy("type", "sample").applyInPandas(first, "type string, low bigint, p array<double>").withColumn("id", F.monotonically_increasing_id()))
@@ -139,7 +152,7 @@ def region_strength(markers: DataFrame, regions: DataFrame, type_: str = "AMP",
     """Per region and sample: 2 when more than half of its markers are strong, 0 when at least half have none, else 1; and the mean value."""
     from ..plans.intervals import points_in_intervals
 
-    s = strength()[0 if type_ == "AMP" else 1]
+    s = strength()[("AMP", "DEL", "LOH").index(type_)]
     rows = points_in_intervals(markers.select("chrom", "pos", "sample", "value", s.alias("s")), regions.select("region", "chrom", "start", "end"), ["chrom"], "pos", "start", "end")
     by = rows.groupBy("region", "sample").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("s") == 2).alias("strong"), F.count_if(F.col("s") == 0).alias("none"), F.avg("value").alias("mean"))
     half = F.col("n") / 2 if biolearn else (F.col("n") + 1) / 2
@@ -169,89 +182,183 @@ def score_track(runs: DataFrame, q: DataFrame, compat_last: bool = False) -> Dat
 
 
 class PeakFinder:
-    """Peaks of one chromosome: take the run at the smallest q, widen it leaving samples out in turn, peel its samples off, repeat."""
+    """Peaks of one chromosome: take the run at the smallest q, widen it leaving samples out in turn, peel its samples off, repeat.
 
-    def __init__(self, scores: np.ndarray, grid: np.ndarray, grid_q: np.ndarray, threshold: float = Q, arms: np.ndarray | None = None) -> None:
-        self.scores, self.grid, self.grid_q, self.threshold, self.arms = scores, grid, grid_q, threshold, arms
-        self.g = scores.sum(0)
-        self.q = self.lookup(self.g)
+    Scores are runs of equal contributions (sample, first and last marker, score), never a matrix of samples by markers.
+    """
+
+    def __init__(self, g: np.ndarray, runs: pd.DataFrame, grid: np.ndarray, grid_q: np.ndarray, threshold: float = Q,
+                 arms: np.ndarray | None = None, limit: int | None = None) -> None:
+        self.g, self.left, self.grid, self.grid_q, self.threshold = g, g.copy(), grid, grid_q, threshold
+        self.arms, self.limit = arms, limit
+        self.q = self.lookup(g)
+        significant = grid[grid_q < threshold]
+        self.g_sig = int(significant.min()) if len(significant) else None
+        self.runs: dict[str, list[tuple[int, int, int]]] = {}
+        for sample, low, high, score in runs[["sample", "low", "high", "score"]].sort_values(["sample", "low"]).itertuples(index=False):
+            self.runs.setdefault(sample, []).append((int(low), int(high), int(score)))
 
     def lookup(self, g: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.grid, g, side="right") - 1
         return np.where(at >= 0, self.grid_q[np.maximum(at, 0)], 1.0) if len(self.grid) else np.ones(len(g))
 
-    def run(self) -> list[tuple[int, int, int, int, float, int]]:
-        """(region first, last, peak first, last, q, samples peeled) in order of finding."""
-        n_samples, n = self.scores.shape
-        left, out = self.scores.copy(), []
+    def own(self, sample: str, low: int, high: int) -> np.ndarray:
+        """What a sample still contributes to markers low..high."""
+        out = np.zeros(high - low + 1, np.int64)
+        for a, b, score in self.runs[sample]:
+            if a <= high and b >= low:
+                out[max(a, low) - low : min(b, high) - low + 1] += score
+        return out
+
+    def reach(self, sample: str, at: int, step: int, top: int) -> int:
+        """How far from ``at`` the score without the sample stays at ``top`` or above, marker by marker."""
+        while 0 <= at + step < len(self.left):
+            ahead = min(256, len(self.left) - 1 - at if step > 0 else at)
+            low, high = (at + 1, at + ahead) if step > 0 else (at - ahead, at - 1)
+            good = self.left[low : high + 1] - self.own(sample, low, high) >= top
+            n = int(np.argmin(good if step > 0 else good[::-1])) if not good.all() else ahead
+            at += step * n
+            if n < ahead:
+                break
+        return at
+
+    def budget(self, at: int, step: int) -> int:
+        """The last marker that may be peeled: where nothing of the peak's samples remains, or what others add reaches the limit.
+        A sample that pauses for fewer than ``LOOK_AHEAD`` markers still remains."""
+        samples, n = list(self.runs), len(self.left)
+        remain = np.array([self.own(x, at, at)[0] for x in samples], np.int64)
+        while 0 <= at + step < n:
+            ahead = min(256, n - 1 - at if step > 0 else at)
+            far = min(ahead + LOOK_AHEAD, n - 1 - at if step > 0 else at)
+            low, high = (at + 1, at + far) if step > 0 else (at - far, at - 1)
+            block = np.array([self.own(x, low, high) for x in samples], np.int64).reshape(len(samples), -1)
+            block = block if step > 0 else block[:, ::-1]
+            for j in range(ahead):
+                here = block[:, j]
+                near = block[:, j : j + LOOK_AHEAD + (step < 0)].max(1)
+                here = np.where(here < remain, np.minimum(near, remain), here)
+                added, remain = np.maximum(here - remain, 0).sum(), np.minimum(here, remain)
+                at += step
+                if remain.sum() == 0 or added >= self.limit:
+                    return at
+        return at
+
+    def peel(self, sample: str, low: int, high: int) -> None:
+        """Takes a sample's contributions off markers low..high."""
+        kept = []
+        for a, b, score in self.runs[sample]:
+            x, y = max(a, low), min(b, high)
+            if x > y:
+                kept.append((a, b, score))
+                continue
+            self.left[x : y + 1] -= score
+            if a < x:
+                kept.append((a, x - 1, score))
+            if y < b:
+                kept.append((y + 1, b, score))
+        self.runs[sample] = kept
+
+    def stretches(self, sample: str) -> list[tuple[int, int]]:
+        """Where a sample contributes without a gap."""
+        out: list[list[int]] = []
+        for a, b, _ in self.runs[sample]:
+            if out and out[-1][1] == a - 1:
+                out[-1][1] = b
+            else:
+                out.append([a, b])
+        return [(a, b) for a, b in out]
+
+    def focal_span(self, low: int, high: int) -> tuple[int, int, int]:
+        """A peak's score, and the markers around it that score above that less the significance threshold."""
+        top = int(self.g[low : high + 1].max())
+        if self.g_sig is None:
+            return top, low, high
+        while low > 0 and self.g[low - 1] > top - self.g_sig:
+            low -= 1
+        while high + 1 < len(self.g) and self.g[high + 1] > top - self.g_sig:
+            high += 1
+        return top, low, high
+
+    def run(self) -> list[tuple[int, int, int, int, float, int, int, int, int]]:
+        """(region first, last, peak first, last, q, samples peeled, peak's score, its span's first, last) in order of finding."""
+        n, out = len(self.left), []
         while n:
-            g = left.sum(0)
-            q = self.lookup(g)
+            q = self.lookup(self.left)
             best = q.min()
             if not best < self.threshold:
                 break
-            s = int(np.argmax(q <= best))
-            e = s
-            while e + 1 < n and q[e + 1] <= best:
-                e += 1
-            low, high = s, e
-            for i in np.flatnonzero(left[:, s : e + 1].any(1)):
-                without = g - left[i]
-                top = without[s : e + 1].max()
-                if top <= 0:
-                    continue  # a peak of a single sample stays as narrow as it is
-                while low > 0 and without[low - 1] >= top:
-                    low -= 1
-                while high + 1 < n and without[high + 1] >= top:
-                    high += 1
+            low = int(np.argmax(q <= best))
+            high = low
+            while high + 1 < n and q[high + 1] <= best:
+                high += 1
+            for sample in [x for x, runs in self.runs.items() if any(a <= high and b >= low for a, b, _ in runs)]:
+                top = int((self.left[low : high + 1] - self.own(sample, low, high)).max())
+                if top > 0:  # a peak of a single sample stays as narrow as it is
+                    low, high = self.reach(sample, low, -1, top), self.reach(sample, high, 1, top)
             a, b = low, high
             while a > 0 and self.q[a - 1] < self.threshold:
                 a -= 1
             while b + 1 < n and self.q[b + 1] < self.threshold:
                 b += 1
+            bounds = (self.budget(low, -1), self.budget(high, 1)) if self.limit is not None else (0, n - 1)
             count = 0
-            for i in range(n_samples):
-                own = np.flatnonzero(left[i, low : high + 1] > 0)
-                if not len(own):
-                    continue
-                count += 1
-                if self.arms is not None:  # the sample's aberrations on the peak's whole arm
-                    left[i, np.isin(self.arms, self.arms[low : high + 1]) & (left[i] > 0)] = 0
-                    continue
-                x, y = low + int(own[0]), low + int(own[-1])
-                while x > 0 and left[i, x - 1] > 0:
-                    x -= 1
-                while y + 1 < n and left[i, y + 1] > 0:
-                    y += 1
-                left[i, x : y + 1] = 0
+            for sample in list(self.runs):
+                own = [(x, y) for x, y in self.stretches(sample) if x <= high and y >= low]
+                count += bool(own)
+                for x, y in own:
+                    if self.arms is not None:  # the sample's aberrations on the peak's whole arm
+                        arm_ = np.flatnonzero(np.isin(self.arms, self.arms[max(x, low) : min(y, high) + 1]))
+                        x, y = int(arm_[0]), int(arm_[-1])
+                    self.peel(sample, max(x, bounds[0]), min(y, bounds[1]))
             if not count:
                 break
-            out.append((a, b, low, high, float(best), count))
+            out.append((a, b, low, high, float(best), count, *self.focal_span(low, high)))
         return out
 
 
-def find_peaks(parts: DataFrame, q: DataFrame, threshold: float = Q, peel: str = "stretch") -> DataFrame:
-    """Significant regions and peaks per type and chromosome. The table of q by score is small (distinct scores) and sent along.
+def find_peaks(parts: DataFrame, q: DataFrame, threshold: float = Q, peel: str = "stretch", limit: dict[str, int] | None = None) -> DataFrame:
+    """Significant regions and peaks per type and chromosome, with the peak's score and the span around it that decides whether it is focal.
 
-    ``peel``: what a peak takes from its samples, the contiguous ``stretch`` around it or all of its ``arm``.
+    ``peel``: what a peak takes from its samples, the contiguous ``stretch`` around it, that within the ``limited`` reach
+    (``limit``: score that others may add per type, by default the significance threshold), or all of its ``arm``. A
+    task gets a chromosome's scores and its samples' runs of equal contributions; the table of q by score is reduced to its steps.
     """
-    if peel not in ("stretch", "arm"):
-        raise ValueError("peel is stretch or arm")
-    if q.limit(1_000_001).count() > 1_000_000:
-        raise ValueError("more distinct scores than samples times bins allow")
-    table = {t: d.sort_values("g")[["g", "q"]].to_numpy() for t, d in q.select("type", "g", "q").toPandas().groupby("type")}
-    schema = "type string, chrom int, region_start bigint, region_end bigint, peak_start bigint, peak_end bigint, q double, n_samples int, place int"
+    from ..plans.intervals import ordered_islands
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        wide = part.pivot_table(index="sample", columns="pos", values="score", aggfunc="sum", fill_value=0)
-        known = table.get(part["type"].iloc[0], np.zeros((0, 2)))
-        pos = wide.columns.to_numpy()
-        arms = pos >= SHORT_ARMS[int(part["chrom"].iloc[0]) - 1] if peel == "arm" else None
-        rows = [(part["type"].iloc[0], int(part["chrom"].iloc[0]), int(pos[a]), int(pos[b]), int(pos[s]), int(pos[e]), v, n, i)
-                for i, (a, b, s, e, v, n) in enumerate(PeakFinder(wide.to_numpy(), known[:, 0], known[:, 1], threshold, arms).run())]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return parts.groupBy("type", "chrom").applyInPandas(run, schema)
+    if peel not in ("stretch", "limited", "arm"):
+        raise ValueError("peel is stretch, limited or arm")
+    steps = q.groupBy("type", "q").agg(F.min("g").alias("g")).select("type", "g", "q")  # q falls with g, so equal q are neighbours
+    rows = steps.limit(1_000_001).toPandas()
+    if len(rows) > 1_000_000:
+        raise ValueError("more distinct scores than samples times bins allow")
+    table = {t: d.sort_values("g")[["g", "q"]].to_numpy() for t, d in rows.groupby("type")}
+    schema = ("type string, chrom int, region_start bigint, region_end bigint, peak_start bigint, peak_end bigint, q double, n_samples int, "
+              "place int, peak_g bigint, span_start bigint, span_end bigint")
+    names = [c.split()[0] for c in schema.split(", ")]
+    own = parts.groupBy("type", "chrom", "sample", "pos").agg(F.sum("score").alias("score"))
+    scores = own.groupBy("type", "chrom", "pos").agg(F.sum("score").alias("g"))
+    runs = ordered_islands(own, ["type", "chrom", "sample"], "pos", ["score"]).where("score <> 0").groupBy(
+        "type", "chrom", "sample", "island", "score").agg(F.min("pos").alias("start"), F.max("pos").alias("end"))
+
+    def run(g: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(g):
+            return pd.DataFrame(columns=names)
+        g = g.sort_values("pos")
+        type_, chrom, pos = g["type"].iloc[0], int(g["chrom"].iloc[0]), g["pos"].to_numpy()
+        known = table.get(type_, np.zeros((0, 2)))
+        arms = pos >= SHORT_ARMS[chrom - 1] if peel == "arm" else None
+        finder = PeakFinder(g["g"].to_numpy(np.int64), r.assign(low=np.searchsorted(pos, r["start"]), high=np.searchsorted(pos, r["end"])),
+                            known[:, 0], known[:, 1], threshold, arms)
+        if peel == "limited":
+            finder.limit = (limit or {}).get(type_, finder.g_sig or 0)
+        rows = [(type_, chrom, *(int(pos[x]) for x in (a, b, s, e)), v, n, i, top, int(pos[x]), int(pos[y]))
+                for i, (a, b, s, e, v, n, top, x, y) in enumerate(finder.run())]
+        return pd.DataFrame(rows, columns=names)
+
+    # both sides come from one table: new names keep their columns apart
+    scores = scores.select(F.col("type").alias("type"), F.col("chrom").alias("chrom"), "pos", "g")
+    runs = runs.select(F.col("type").alias("type"), F.col("chrom").alias("chrom"), "sample", "start", "end", "score")
+    return scores.groupBy("type", "chrom").cogroup(runs.groupBy("type", "chrom")).applyInPandas(run, schema)
 
 
 def best_region_per_gene(overlaps: DataFrame) -> DataFrame:
@@ -309,11 +416,14 @@ def impute_scores(markers: DataFrame, scored: DataFrame) -> DataFrame:
     return both.select("chrom", "pos", F.when(F.col("b").isNull(), F.col("a.g")).when(F.col("a").isNull(), F.col("b.g")).otherwise(F.floor(mixed)).cast("bigint").alias("g"))
 
 
-def classify_peaks(peaks: DataFrame, arms: DataFrame, g_sig: DataFrame, peak_g: str = "g") -> DataFrame:
-    """``is_broad``: the region is at least its arm's threshold long (chrom, arm, broad_length); ``is_focal``: a broad region's peak scores twice the significance threshold or more."""
+def classify_peaks(peaks: DataFrame, arms: DataFrame, g_sig: DataFrame) -> DataFrame:
+    """``is_broad``: the region is at least its arm's threshold long (chrom, arm, broad_length); ``is_focal``: a broad region's
+    peak scores above twice the significance threshold (type, g_sig), and the span around it that stays above the peak's
+    score less the threshold is shorter than the arm's threshold."""
     rows = peaks.withColumn("arm", arm(F.col("chrom"), F.col("peak_start"))).join(arms, ["chrom", "arm"], "left").join(g_sig, "type", "left")
     broad = F.coalesce(F.col("region_end") - F.col("region_start") + 1 >= F.col("broad_length"), F.lit(False))
-    return rows.withColumn("is_broad", broad).withColumn("is_focal", broad & F.coalesce(F.col(peak_g) >= 2 * F.col("g_sig"), F.lit(False))).drop("broad_length", "g_sig")
+    focal = (F.col("peak_g") > 2 * F.col("g_sig")) & (F.col("span_end") - F.col("span_start") < F.col("broad_length"))
+    return rows.withColumn("is_broad", broad).withColumn("is_focal", broad & F.coalesce(focal, F.lit(False))).drop("broad_length", "g_sig")
 
 
 def require_several_samples(parts: DataFrame) -> DataFrame:
