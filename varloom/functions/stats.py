@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from ..plans.cut import cut
+
 
 def lnfact(most: int) -> Column:
     """ln(i!) for i = 0..most as one literal array (``most`` up to a few thousand)."""
@@ -110,7 +112,7 @@ def fdr_threshold(df: DataFrame, p: str, alpha: float, keys: list[str] | None =
     """
     keys = keys or []
     counts = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("blk", F.floor(F.col(p) * 1024))
+    counts = cut(counts.withColumn("blk", F.floor(F.col(p) * 1024)))
     blocks = counts.groupBy(*keys, "blk").agg(F.sum("n").alias("bn"))
     over = Window.partitionBy(*[F.col(k) for k in keys]) if keys else Window.partitionBy(F.lit(0))
     blocks = blocks.select(*keys, "blk", (F.sum("bn").over(over.orderBy("blk")) - F.col("bn")).alias("before"), F.sum("bn").over(over).alias("m"))

@@ -42,17 +42,19 @@ def _imbalance(high: pd.Series, total: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def with_imbalance(sites: DataFrame) -> DataFrame:
+def with_imbalance(sites: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """p_n, p_t and sig_p: one-sided imbalance of both tissues and the coverage's 5 % threshold.
 
-    Each distinct pair of counts is computed once and joined back, whatever the number of sites.
+    Each distinct pair of counts is computed once and joined back, whatever the number of sites. ``source``: a table
+    with the same counts that is cheaper to read.
     """
     pair = lambda v, n: (F.greatest(F.col(v), F.col(n) - F.col(v)), F.col(n))
     out = sites
     for side in ("n", "t"):
         high, total = pair(f"var_{side}", f"cov_{side}")
         out = out.withColumn(f"__h{side}", high).withColumn(f"__c{side}", total)
-    pairs = out.select(F.explode(F.array(*[F.struct(F.col(f"__h{s}").alias("h"), F.col(f"__c{s}").alias("c")) for s in "nt"])).alias("x")).select("x.*")
+    both = F.array(*[F.struct(*[c.alias(n) for c, n in zip(pair(f"var_{s}", f"cov_{s}"), "hc")]) for s in "nt"])
+    pairs = (sites if source is None else source).select(F.explode(both).alias("x")).select("x.*")
     pairs = pairs.where("h IS NOT NULL AND c IS NOT NULL AND h <= c").distinct()
     table = cut(pairs.withColumn("p", _imbalance("h", "c")))
     levels = cut(table.select("c").distinct().withColumn("sig_p", S.permutation_threshold_of(F.col("c"))))
@@ -141,7 +143,7 @@ def prepare_sites(sites: DataFrame, bias: DataFrame, smooth: bool = True) -> Dat
 
     The cleaned sites and their blocks are written once: three aggregates and the calls read them.
     """
-    blocks = cut(gene_blocks(sites))
+    blocks = gene_blocks(sites)
     gains = germline_aneuploidy(blocks, chrom_coverage(blocks)).select("sample", "chrom", "germline_gain")
     ratios = block_ratios(blocks)
     if smooth:
@@ -150,7 +152,7 @@ def prepare_sites(sites: DataFrame, bias: DataFrame, smooth: bool = True) -> Dat
     rows = blocks.join(ratios, ["sample", "chrom", "block"], "left").withColumn("ratio", F.coalesce("ratio", F.lit(1.0)))
     if not smooth:
         rows = center_on_median(rows, ["sample"], "ratio")
-    return with_imbalance(adjust_vafs(with_bias(rows.withColumn("cn", 2 * F.col("ratio")), bias)))
+    return with_imbalance(adjust_vafs(with_bias(rows.withColumn("cn", 2 * F.col("ratio")), bias)), blocks)
 
 
 def dbscan(points: np.ndarray, eps: float, min_points: int) -> np.ndarray:

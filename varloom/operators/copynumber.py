@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import genomics as G
+from ..plans.cut import cut
 from ..plans.intervals import anchor_groups, ordered_islands
 
 
@@ -15,7 +16,7 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
     """
     v = F.col(value)
     counts = df.where(v.isNotNull() & ~F.isnan(v.cast("double"))).groupBy(*keys, v.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    counts = counts.withColumn("__blk", F.floor(F.col("__v") / block))
+    counts = cut(counts.withColumn("__blk", F.floor(F.col("__v") / block)))
     over = Window.partitionBy(*keys)
     blocks = counts.groupBy(*keys, "__blk").agg(F.sum("__c").alias("__bc"))
     blocks = blocks.select(*keys, "__blk", F.sum("__bc").over(over).alias("__m"), (F.sum("__bc").over(over.orderBy("__blk")) - F.col("__bc")).alias("__before"), "__bc")
@@ -85,6 +86,7 @@ def block_ratios(blocks: DataFrame) -> DataFrame:
         F.min("pos").alias("start"), F.max("pos").alias("end"), F.count(F.lit(1)).alias("n_sites"),
         F.sum(F.when(F.col("cov_n") > 0, F.col("cov_t"))).alias("t"), F.sum(F.when(F.col("cov_n") > 0, F.col("cov_n"))).alias("n"),
         F.sum("cov_t").alias("all_t"), F.sum("cov_n").alias("all_n"))
+    by = cut(by)
     totals = by.groupBy("sample").agg(F.sum("all_t").alias("s_t"), F.sum("all_n").alias("s_n"))
     ratio = F.try_divide(F.col("t").cast("double") * F.col("s_n"), F.col("n").cast("double") * F.col("s_t"))
     return by.join(totals, "sample").select("sample", "chrom", "block", "start", "end", "n_sites", ratio.alias("ratio"))

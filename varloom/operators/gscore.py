@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.genomics import SHORT_ARMS, arm
 from ..plans.cut import cut
+from ..plans.joins import sized_join
 
 #: Bin of a score, thresholds and caps of gains and losses, high-level thresholds, q threshold.
 BIN, GAIN, LOSS, CAP_GAIN, CAP_LOSS, HIGH_GAIN, HIGH_LOSS, Q = 0.001, 0.3, -0.3, 1.5, -1.5, 0.9, -1.3, 0.25
@@ -142,10 +143,12 @@ def significance_threshold(q: DataFrame, below: float = Q) -> DataFrame:
 
 
 def floor_q(scores: DataFrame, q: DataFrame) -> DataFrame:
-    """Each marker's q: that of the greatest tabulated score at or below its own, 1 without one."""
+    """Each marker's q: that of the greatest tabulated score at or below its own, 1 without one. Looked up once per distinct score."""
     from ..plans.intervals import asof_floor
 
-    return asof_floor(scores, q.select("type", "g", "q"), ["type"], "g", "q", "q", F.lit(1.0))
+    own = scores.select("type", "g").where("type IS NOT NULL AND g IS NOT NULL").distinct()
+    found = cut(asof_floor(own, q.select("type", "g", "q"), ["type"], "g", "q", "q", F.lit(1.0), block=1_000_000))
+    return sized_join(scores.drop("q"), found, ["type", "g"]).withColumn("q", F.coalesce("q", F.lit(1.0)))
 
 
 def region_strength(markers: DataFrame, regions: DataFrame, type_: str = "AMP", biolearn: bool = False) -> DataFrame:

@@ -9,8 +9,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .cut import cut
+from .joins import small
+
 #: Width of a bin of a range join, about the length of a usual interval.
 BIN = 1_000_000
+#: Length of a block of the order column; a key's rows are cut into these.
+BLOCK = 50_000_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A table that is cheap to read, broadcast when it is counted to be small."""
+    return F.broadcast(df) if small(df) else df
 
 
 def _bins(low: Column, high: Column, width: int) -> Column:
@@ -53,11 +63,12 @@ def overlapping_intervals(a: DataFrame, b: DataFrame, keys: list[str], a_ends: t
 
 
 def ordered_islands(df: DataFrame, keys: list[str], order: str, same: list[str], ties: tuple[str, ...] = (),
-                    extra_break: Column | None = None, block: int = 50_000_000, out: str = "island") -> DataFrame:
+                    extra_break: Column | None = None, block: int = BLOCK, out: str = "island") -> DataFrame:
     """``df`` with a number per run of equal ``same`` columns along ``order`` within ``keys``.
 
     ``extra_break`` may use ``prev_<order>`` to break runs too. Each key is cut into blocks of ``block``
-    along the order; runs are numbered within blocks, and one row per block carries the numbers on.
+    along the order; runs are numbered within blocks, and one row per block carries the numbers on. The numbered rows
+    are written once, so what lies below is computed once.
     """
     here = df.withColumn("__blk", F.floor(F.col(order) / block))
     local = Window.partitionBy(*keys, "__blk").orderBy(order, *ties)
@@ -70,12 +81,12 @@ def ordered_islands(df: DataFrame, keys: list[str], order: str, same: list[str],
         return b
 
     here = here.withColumn(prev, F.col("__p.o"))
-    cut = broken(F.col("__p"))
+    breaks = broken(F.col("__p"))
     if extra_break is not None:
-        cut = cut | F.coalesce(extra_break, F.lit(False))
-    here = here.withColumn("__first", F.col("__p").isNull())
-    here = here.withColumn("__cut", F.when(F.col("__first"), 0).otherwise(cut.cast("int")))
+        breaks = breaks | F.coalesce(extra_break, F.lit(False))
+    here = here.withColumn("__cut", F.when(F.col("__p").isNull(), 0).otherwise(breaks.cast("int")))
     here = here.withColumn("__n", F.sum("__cut").over(local.rowsBetween(Window.unboundedPreceding, 0)))
+    here = cut(here.drop("__p", prev))
     edge = F.struct(F.col(order).alias("o"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(ties)])
     blocks = here.groupBy(*keys, "__blk").agg(
         F.sum("__cut").alias("__cuts"), F.min_by(label, edge).alias("__head"), F.max_by(label, edge).alias("__tail"),
@@ -92,9 +103,10 @@ def ordered_islands(df: DataFrame, keys: list[str], order: str, same: list[str],
         blocks = blocks.select(*keys, "__blk", "__cuts", starts.cast("int").alias("__b"))
     blocks = blocks.withColumn("__base", F.sum(F.col("__cuts") + F.col("__b")).over(over) - F.col("__cuts"))
     blocks = blocks.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__blk").alias("__kb"), "__base")
+    blocks = _few(cut(blocks))
     joined = here.join(blocks, [here[k].eqNullSafe(blocks[f"__k_{k}"]) for k in keys] + [here["__blk"] == blocks["__kb"]])
     return joined.withColumn(out, (F.col("__base") + F.col("__n")).cast("bigint")).drop(
-        "__blk", "__p", prev, "__first", "__cut", "__n", "__kb", "__base", *[f"__k_{k}" for k in keys])
+        "__blk", "__cut", "__n", "__kb", "__base", *[f"__k_{k}" for k in keys])
 
 
 def collapse_islands(df: DataFrame, keys: list[str], order: str, same: list[str], ties: tuple[str, ...] = ()) -> DataFrame:
@@ -105,25 +117,26 @@ def collapse_islands(df: DataFrame, keys: list[str], order: str, same: list[str]
 
 
 def asof_floor(left: DataFrame, right: DataFrame, keys: list[str], on: str, value: str, out: str, default: Column | None = None,
-               block: int | None = None) -> DataFrame:
+               block: int = BLOCK) -> DataFrame:
     """Each left row with the value of the last right row at or before it (``on``, same name on both sides).
 
-    Both sides become one ordered stream per key; with ``block`` the stream is cut along ``on`` and the
-    last value of each block is carried to the next ones.
+    Both sides become one ordered stream per key, cut along ``on`` into blocks; the last value of each block is
+    carried to the next ones.
     """
     a = left.withColumn("__side", F.lit(1)).withColumn("__v", F.lit(None).cast(right.schema[value].dataType))
     b = right.select(*keys, on, F.col(value).alias("__v")).withColumn("__side", F.lit(0))
     both = a.unionByName(b, allowMissingColumns=True)
-    blk = F.floor(F.col(on) / block) if block else F.lit(0).cast("bigint")
+    blk = F.floor(F.col(on) / block)
     both = both.withColumn("__blk", blk)
     local = Window.partitionBy(*keys, "__blk").orderBy(on, "__side").rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("__f", F.last("__v", ignorenulls=True).over(local))
-    if block:
-        ends = b.withColumn("__blk", blk).groupBy(*keys, "__blk").agg(F.max_by("__v", on).alias("__e"))
-        grid = both.select(*keys, "__blk").distinct().join(ends, [*keys, "__blk"], "left")
-        over = Window.partitionBy(*keys).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
-        both = both.join(grid.select(*keys, "__blk", F.last("__e", ignorenulls=True).over(over).alias("__c")), [*keys, "__blk"], "left")
-        both = both.withColumn("__f", F.coalesce("__f", "__c")).drop("__c")
+    # one row per block that holds right rows, valid from there to the next one: what a block begins with
+    ends = b.where(F.col(on).isNotNull()).withColumn("__blk", blk).groupBy(*keys, "__blk").agg(F.max_by("__v", on).alias("__e"))
+    span = Window.partitionBy(*keys).orderBy("__blk")
+    grid = a.select(*keys, blk.alias("__blk")).distinct().withColumn("__e", F.lit(None).cast(right.schema[value].dataType)).unionByName(ends)
+    grid = grid.groupBy(*keys, "__blk").agg(F.first("__e", ignorenulls=True).alias("__e"))
+    grid = grid.select(*keys, "__blk", F.last("__e", ignorenulls=True).over(span.rowsBetween(Window.unboundedPreceding, -1)).alias("__c"))
+    both = both.join(grid, [*keys, "__blk"], "left").withColumn("__f", F.coalesce("__f", "__c")).drop("__c")
     found = F.col("__f") if default is None else F.coalesce("__f", default)
     return both.where(F.col("__side") == 1).withColumn(out, found).drop("__side", "__v", "__blk", "__f")
 
@@ -140,7 +153,7 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], on: str, value:
                        F.when(before, back).otherwise(ahead).alias("distance"))
 
 
-def disjoin(df: DataFrame, keys: list[str], low: str, high: str, **aggregates: Column) -> DataFrame:
+def disjoin(df: DataFrame, keys: list[str], low: str, high: str, block: int = BLOCK, **aggregates: Column) -> DataFrame:
     """Pieces between all boundaries of a key's intervals, with ``recurrence`` (how many cover each) and other
     aggregates of those that do. Uncovered pieces don't come out; the result is the same in any order.
 
@@ -149,9 +162,17 @@ def disjoin(df: DataFrame, keys: list[str], low: str, high: str, **aggregates: C
     """
     edges = df.select(*keys, F.explode(F.array(
         F.struct(F.col(low).alias("at"), F.lit(1).alias("d")), F.struct((F.col(high) + 1).alias("at"), F.lit(-1).alias("d")))).alias("e"))
-    edges = edges.groupBy(*keys, F.col("e.at").alias("start")).agg(F.sum("e.d").alias("d"))
-    over = Window.partitionBy(*keys).orderBy("start")
-    pieces = edges.select(*keys, "start", (F.lead("start").over(over) - 1).alias("end"), F.sum("d").over(over).cast("bigint").alias("recurrence"))
+    edges = edges.groupBy(*keys, F.col("e.at").alias("start")).agg(F.sum("e.d").alias("d")).withColumn("__blk", F.floor(F.col("start") / block))
+    edges = cut(edges)
+    # each block's coverage before it and the boundary after it
+    over = Window.partitionBy(*keys).orderBy("__blk")
+    blocks = edges.groupBy(*keys, "__blk").agg(F.sum("d").alias("__d"), F.min("start").alias("__lo"))
+    blocks = blocks.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__blk").alias("__kb"),
+                           (F.sum("__d").over(over) - F.col("__d")).alias("__before"), F.lead("__lo").over(over).alias("__next"))
+    local = Window.partitionBy(*keys, "__blk").orderBy("start")
+    edges = edges.withColumn("__to", F.lead("start").over(local)).withColumn("__sum", F.sum("d").over(local))
+    edges = edges.join(blocks, [edges[k].eqNullSafe(blocks[f"__k_{k}"]) for k in keys] + [edges["__blk"] == blocks["__kb"]])
+    pieces = edges.select(*keys, "start", (F.coalesce("__to", "__next") - 1).alias("end"), (F.col("__before") + F.col("__sum")).cast("bigint").alias("recurrence"))
     pieces = pieces.where((F.col("recurrence") > 0) & F.col("end").isNotNull())
     if not aggregates:
         return pieces

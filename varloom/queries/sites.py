@@ -8,10 +8,11 @@ from ..functions import genomics as G, stats as S
 from ..operators import classify as C, copynumber as N, genes as E, qc as Q, recurrence as R, segment as X
 from ..plans.cut import cut
 from ..plans.intervals import gap_regions
+from ..plans.spread import spread
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/naf_taf_inputs.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/naf_taf_inputs.parquet"))
 
 
 def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +132,7 @@ def permutation_thresholds(spark, sf_dir):
 
 
 def _imbalanced(spark, sf_dir):
-    return C.with_imbalance(_sites(spark, sf_dir))
+    return C.with_imbalance(cut(_sites(spark, sf_dir)))
 
 
 def bh_threshold(spark, sf_dir):
