@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from varloom.functions import genomics as G, stats as S
 from varloom.operators import classify as C, copynumber as N, genes as E, qc as Q, recurrence as R, segment as X, simulate as U
-from varloom.queries.sites import simple_events
 
 
 def one(spark, column, **values):
@@ -177,9 +176,3 @@ def test_tracks(spark):
     assert sorted(r[0] for r in R.bed_lines(R.browser_scores(df)).select("value").collect()) == ["chrX 1 10 LOH 200 +", "chrX 10 20 LOH 666 +"]
     cn = R.copy_number_track(spark.createDataFrame([(1, 1, 10, -1.0), (1, 5, 20, 1.0)], "chrom int, start int, end int, value double"))
     assert cn.count() == 3 and cn.agg(F.min("score"), F.max("score")).first()[0] >= 200
-
-
-def test_simple_events_cover_all_sites(spark):
-    rows = [("s", 1, i, i, i, 100, v, 100, w, "g") for i, (v, w) in enumerate([(50, 50), (50, 80), (50, 20), (3, 60), (98, 98)])]
-    got = simple_events(sites_df(spark, rows)).orderBy("pos").select("event").collect()
-    assert [r[0] for r in got] == ["HETGermline", "cnLOH", "cnLOH", "HETSomatic", "Ignored"]

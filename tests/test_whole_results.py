@@ -32,7 +32,7 @@ def test_strength_of_both_arms(spark, con):
       s AS (SELECT *, 'AMP' AS type, CASE WHEN value > 0.9 THEN 2 WHEN value > 0.3 THEN 1 ELSE 0 END AS s FROM a
         UNION ALL SELECT *, 'DEL', CASE WHEN value < -1.3 THEN 2 WHEN value < -0.3 THEN 1 ELSE 0 END FROM a)
       SELECT type, CAST(chrom AS VARCHAR) || arm AS region, sample, CASE WHEN count(*) FILTER (s = 2) > count(*) / 2 THEN 2 WHEN count(*) FILTER (s = 0) >= (count(*) + 1) / 2 THEN 0 ELSE 1 END AS strength,
-        round(avg(value), 6) AS mean FROM s WHERE arm IS NOT NULL GROUP BY type, chrom, arm, sample"""
+        round(avg(value), 10) AS mean FROM s WHERE arm IS NOT NULL GROUP BY type, chrom, arm, sample"""
     assert_same(spark, con, cohort.strength_matrix, sql)
     assert {(r["type"], r["region"][-1]) for r in cohort.strength_matrix(spark, DATA).collect()} == {(t, a) for t in ("AMP", "DEL") for a in "pq"}
 

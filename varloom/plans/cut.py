@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +56,28 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     return out
 
 
+#: Tables that several queries of a session begin with, by what they were made from.
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def kept(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A cut that is written once per session as long as the files of the folder ``source`` stay as they are."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    state = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+    key = (spark.sparkContext.applicationId, name, source, state)
+    if key not in _KEPT:
+        _KEPT[key] = cut(build())
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Deletes the tables that ``kept`` holds, so that the next query makes its own."""
+    for df in _KEPT.values():
+        drop(df)
+    _KEPT.clear()
+
+
 def drop(df: DataFrame | None) -> None:
     """Delete the table behind a cut that nothing reads any more."""
     path = getattr(df, "_varloom_path", None)

@@ -9,7 +9,7 @@ from ..operators import compare as M, enrichment as E, genes as N, gscore as K,
 from ..operators import classify as C, segment as X
 from ..plans import intervals as I
 from ..plans.cut import cut
-from .sites import CANONICAL, SIMPLE, SITES, _simple, _sites, pieces_sql
+from .sites import CALLED, CANONICAL, SITES, _called, _sites, pieces_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,7 +76,7 @@ def overlap_class(spark, sf_dir):
 
 def region_overlap_join(spark, sf_dir):
     """Delivered regions against those segmented from the sites."""
-    own = X.segments(_simple(spark, sf_dir)).select(F.col("sample").alias("patient"), "chrom", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "event")
+    own = X.segments(_called(spark, sf_dir)).select(F.col("sample").alias("patient"), "chrom", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "event")
     return M.compare_regions(_regions(spark, sf_dir), own)
 
 
@@ -112,7 +112,7 @@ def nearest_gene(spark, sf_dir):
 
 
 def callset_compare(spark, sf_dir):
-    other = N.gene_sites(_simple(spark, sf_dir)).select(F.col("gene_key").alias("gene"), "event", F.col("sample").alias("patient"))
+    other = N.gene_sites(_called(spark, sf_dir)).select(F.col("gene_key").alias("gene"), "event", F.col("sample").alias("patient"))
     return M.match_tallies(M.compare_calls(_calls(spark, sf_dir), other)).withColumn("match_fraction", F.round("match_fraction", 6))
 
 
@@ -125,7 +125,7 @@ def maf_annotate(spark, sf_dir):
 
 def confusion_metrics(spark, sf_dir):
     """Whole-number calls against calls of the tumor alone, taken as truth."""
-    s = _simple(spark, sf_dir)
+    s = _called(spark, sf_dir)
     test = F.when(F.abs(2 * F.col("var_t") - F.col("cov_t")) * 4 > F.col("cov_t"), "LOH").otherwise("HETGermline")
     c = M.confusion(s.select("event", test.alias("test")), "event", "test")
     return c.select("event", "tp", "fp", "fn", "tn", *[F.round(x, 6).alias(x) for x in ("sensitivity", "specificity", "ppv", "npv", "f1")])
@@ -247,7 +247,7 @@ def strength_matrix(spark, sf_dir):
     dim = G.chrom_dim(spark).join(F.broadcast(m.groupBy(F.col("chrom").alias("code")).agg(F.max("pos").alias("last"))), "code")
     arm = lambda name, start, end: dim.select(F.concat(F.col("code").cast("string"), F.lit(name)).alias("region"), F.col("code").alias("chrom"), start.alias("start"), end.alias("end"))
     arms = arm("p", F.lit(0).cast("bigint"), F.col("p_arm") - 1).union(arm("q", F.col("p_arm"), F.greatest("length", "last")))
-    out = [K.region_strength(m, arms, t).select(F.lit(t).alias("type"), "region", "sample", "strength", F.round("mean", 6).alias("mean")) for t in ("AMP", "DEL")]
+    out = [K.region_strength(m, arms, t).select(F.lit(t).alias("type"), "region", "sample", "strength", F.round("mean", 10).alias("mean")) for t in ("AMP", "DEL")]
     return out[0].union(out[1])
 
 
@@ -285,7 +285,7 @@ def gene_gscores(spark, sf_dir):
 
 
 def purity(spark, sf_dir):
-    return C.purity_estimate(_simple(spark, sf_dir)).withColumn("purity", F.round("purity", 6))
+    return C.purity_estimate(_called(spark, sf_dir)).withColumn("purity", F.round("purity", 6))
 
 
 def fisher_exact(spark, sf_dir):
@@ -331,7 +331,7 @@ def permutation_pvalue(spark, sf_dir):
 
 
 def inter_event_distance(spark, sf_dir):
-    s = _simple(spark, sf_dir).where("event = 'LOH'").select("sample", "chrom", F.col("pos").alias("start"), F.col("pos").alias("end"))
+    s = _called(spark, sf_dir).where("event = 'LOH'").select("sample", "chrom", F.col("pos").alias("start"), F.col("pos").alias("end"))
     return O.inter_distance(s, ["sample", "chrom"], "start", "end").select("sample", "chrom", "start", "distance", F.col("distance_class").cast("double").alias("distance_class"))
 
 
@@ -456,7 +456,7 @@ ORACLES = {
         WHEN s1 < s2 THEN CASE WHEN e1 = e2 THEN 'SubsumesAlignedRight' WHEN e1 > e2 THEN 'SubsumesTotal' WHEN e1 >= s2 THEN 'BeforeWithOverlap' WHEN s2 - e1 = 1 THEN 'AdjacentBefore' ELSE 'BeforeWithoutOverlap' END
         ELSE CASE WHEN e1 = e2 THEN 'ConsumedByAlignedRight' WHEN e1 < e2 THEN 'ConsumedByTotal' WHEN s1 <= e2 THEN 'AfterWithOverlap' WHEN s1 - e2 = 1 THEN 'AdjacentAfter' ELSE 'AfterWithoutOverlap' END END AS relation,
         count(*) AS n, max(CASE WHEN c1 <> c2 THEN 2147483647 ELSE greatest(s1 - e2, s2 - e1, 0) END) AS farthest FROM n WHERE c2 IS NOT NULL GROUP BY 1""",
-    "region_overlap_join": f"""WITH {SIMPLE}, valid AS (SELECT sample, chrom, pos, min(event) AS event FROM simple WHERE event NOT IN ('Noise', 'Ignored', 'HETSomatic') GROUP BY sample, chrom, pos),
+    "region_overlap_join": f"""WITH {CALLED}, valid AS (SELECT sample, chrom, pos, min(event) AS event FROM called WHERE event NOT IN ('Noise', 'Ignored', 'HETSomatic') GROUP BY sample, chrom, pos),
       changes AS (SELECT *, CASE WHEN event = lag(event) OVER w THEN 0 ELSE 1 END AS brk FROM valid WINDOW w AS (PARTITION BY sample, chrom ORDER BY pos)),
       runs AS (SELECT *, sum(brk) OVER (PARTITION BY sample, chrom ORDER BY pos) AS run FROM changes),
       own AS (SELECT sample, chrom, event, min(pos) AS start, max(pos) AS "end" FROM runs GROUP BY sample, chrom, event, run), {_REGIONS},
@@ -475,7 +475,7 @@ ORACLES = {
       ON e.user_id = b.user_id AND e.ts >= b.ts""",
     "nearest_gene": f"""WITH {_REGIONS}, {_GENE}, r AS (SELECT DISTINCT chrom, start AS at_pos FROM delivered), g AS (SELECT chrom, g_start AS gp, min(gene) AS gene FROM genes GROUP BY ALL)
       SELECT r.chrom, r.at_pos AS "at", arg_min(g.gene, abs(gp - at_pos) * 2 + CASE WHEN gp > at_pos THEN 1 ELSE 0 END) AS gene, min(abs(gp - at_pos)) AS distance FROM r LEFT JOIN g ON r.chrom = g.chrom GROUP BY r.chrom, r.at_pos""",
-    "callset_compare": f"""WITH {SIMPLE}, other AS (SELECT lower(gene) AS g, lower(sample) AS p, min(event) AS other_event FROM simple WHERE lower(gene) NOT IN ('', '.') AND event NOT IN ('Noise', 'Ignored', 'HETGermline') GROUP BY ALL),
+    "callset_compare": f"""WITH {CALLED}, other AS (SELECT lower(gene) AS g, lower(sample) AS p, min(event) AS other_event FROM called WHERE lower(gene) NOT IN ('', '.') AND event NOT IN ('Noise', 'Ignored', 'HETGermline') GROUP BY ALL),
       own AS (SELECT gene, patient, CASE WHEN event_name IS NULL OR event_name = 'NA' THEN 'Ignored' ELSE event_name END AS e FROM gene_event_patient WHERE gene IS NOT NULL AND patient IS NOT NULL),
       m AS (SELECT lower(gene) AS gene, CASE WHEN other_event IS NULL THEN CASE WHEN e <> 'Ignored' THEN 'MismatchCallNoCall' ELSE 'MatchNoCall' END WHEN e = other_event THEN 'MatchCall'
         WHEN e = 'Ignored' THEN 'MismatchNoCallCall' ELSE 'MismatchCallDiffCall' END AS match FROM own LEFT JOIN other ON lower(gene) = g AND lower(patient) = p),
@@ -485,7 +485,7 @@ ORACLES = {
     "maf_annotate": f"""WITH {CANONICAL}, v AS (SELECT {_CHROM} AS chrom, CAST(pos AS INTEGER) AS pos, rsid, n_samples FROM {_BARE.format('allelic_bias')} WHERE ({_CHROM}) IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY ({_CHROM}), pos ORDER BY rsid NULLS FIRST, n_samples NULLS FIRST) = 1)
       SELECT site_id, CASE WHEN v.pos IS NOT NULL THEN rsid ELSE 'DeNovo' END AS status, v.n_samples FROM canonical c LEFT JOIN v ON c.chrom = v.chrom AND c.pos = v.pos""",
-    "confusion_metrics": f"""WITH {SIMPLE}, q AS (SELECT event AS t, CASE WHEN abs(2 * var_t - cov_t) * 4 > cov_t THEN 'LOH' ELSE 'HETGermline' END AS p FROM simple),
+    "confusion_metrics": f"""WITH {CALLED}, q AS (SELECT event AS t, CASE WHEN abs(2 * var_t - cov_t) * 4 > cov_t THEN 'LOH' ELSE 'HETGermline' END AS p FROM called),
       c AS (SELECT t, p, count(*) AS n FROM q WHERE NOT (t = 'GainGermline' AND p = 'Ignored') GROUP BY ALL), e AS (SELECT t AS event FROM c UNION SELECT p FROM c),
       x AS (SELECT event, CAST(coalesce(sum(n) FILTER (t = event AND p = event), 0) AS BIGINT) AS tp, CAST(coalesce(sum(n) FILTER (t <> event AND p = event), 0) AS BIGINT) AS fp,
         CAST(coalesce(sum(n) FILTER (t = event AND p <> event), 0) AS BIGINT) AS fn, CAST(coalesce(sum(n) FILTER (t <> event AND p <> event), 0) AS BIGINT) AS tn FROM e CROSS JOIN c GROUP BY event)
@@ -521,10 +521,11 @@ ORACLES = {
       SELECT type, g, n, rank, round(least(min(p * m / rank) OVER (PARTITION BY type ORDER BY g), 1.0), 9) AS q FROM r""",
     "equal_g_runs": f"""WITH {_PARTS}, c AS (SELECT *, CASE WHEN g = lag(g) OVER w THEN 0 ELSE 1 END AS brk FROM g WINDOW w AS (PARTITION BY type, chrom ORDER BY pos)),
       i AS (SELECT *, sum(brk) OVER (PARTITION BY type, chrom ORDER BY pos) AS run FROM c) SELECT type, chrom, g, min(pos) AS start, max(pos) AS "end", count(*) AS n FROM i GROUP BY type, chrom, g, run""",
-    "strength_matrix": f"""WITH {_MARKERS}, a AS (SELECT *, CASE WHEN value > 0.9 THEN 2 WHEN value > 0.3 THEN 1 ELSE 0 END AS s FROM markers WHERE CASE chrom """
-    + " ".join(f"WHEN {i} THEN pos < {x}" for i, x in enumerate(G.SHORT_ARMS, 1)) + """ END)
-      SELECT CAST(chrom AS VARCHAR) || 'p' AS region, sample, CASE WHEN count(*) FILTER (s = 2) > count(*) / 2 THEN 2 WHEN count(*) FILTER (s = 0) >= (count(*) + 1) / 2 THEN 0 ELSE 1 END AS strength, round(avg(value), 6) AS mean
-      FROM a GROUP BY chrom, sample""",
+    "strength_matrix": f"""WITH {_MARKERS}, a AS (SELECT *, CASE chrom """ + " ".join(f"WHEN {i} THEN CASE WHEN pos >= {x} THEN 'q' ELSE 'p' END" for i, x in enumerate(G.SHORT_ARMS, 1)) + """ END AS arm FROM markers),
+      s AS (SELECT *, 'AMP' AS type, CASE WHEN value > 0.9 THEN 2 WHEN value > 0.3 THEN 1 ELSE 0 END AS s FROM a
+        UNION ALL SELECT *, 'DEL', CASE WHEN value < -1.3 THEN 2 WHEN value < -0.3 THEN 1 ELSE 0 END FROM a)
+      SELECT type, CAST(chrom AS VARCHAR) || arm AS region, sample, CASE WHEN count(*) FILTER (s = 2) > count(*) / 2 THEN 2 WHEN count(*) FILTER (s = 0) >= (count(*) + 1) / 2 THEN 0 ELSE 1 END AS strength,
+        round(avg(value), 10) AS mean FROM s WHERE arm IS NOT NULL GROUP BY type, chrom, arm, sample""",
     "gene_matrix": f"""WITH {_MARKERS}, m AS (SELECT g.gene, k.sample, min(k.value) AS value FROM markers k JOIN genes g ON g.chrom = k.chrom AND k.pos BETWEEN g.g_start AND g.g_end GROUP BY ALL),
       c AS (SELECT *, CASE WHEN value > 0.3 THEN 'A' WHEN value < -0.3 THEN 'D' ELSE 'N' END AS call FROM m) SELECT * FROM c WHERE gene IN (SELECT gene FROM c WHERE call <> 'N')""",
     "regulator_sets": f"""WITH {_REGIONS}, e AS (SELECT CASE WHEN starts_with(event, 'Gain') THEN 'AMP' ELSE 'DEL' END AS aberration, unnest(string_split(genes, ';')) AS gene,
@@ -540,7 +541,7 @@ ORACLES = {
       l AS (SELECT g.gene, g.chrom, g.g_start, g.g_end, coalesce(min(pos) FILTER (pos >= g_start), max(pos)) AS pos FROM genes g JOIN m ON g.chrom = m.chrom
         WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.gene = g.gene AND i.chrom = g.chrom AND i.g_start = g.g_start AND i.g_end = g.g_end) GROUP BY ALL)
       SELECT gene, chrom, g_start, pos FROM i UNION ALL SELECT gene, chrom, g_start, pos FROM l""",
-    "purity": f"""WITH {SIMPLE}, m AS (SELECT sample, event, avg(greatest(var_t / cov_t, 1 - var_t / cov_t)) AS v, count(*) AS n FROM simple
+    "purity": f"""WITH {CALLED}, m AS (SELECT sample, event, avg(greatest(var_t / cov_t, 1 - var_t / cov_t)) AS v, count(*) AS n FROM called
         WHERE event IN ('LOH', 'cnLOH') AND (100 * var_n > 10 * cov_n AND 100 * var_n <= 90 * cov_n AND cov_n > 0) GROUP BY ALL)
       SELECT sample, event, n, round(CASE WHEN event = 'cnLOH' THEN 2 * greatest(v, 1 - v) - 1 ELSE (2 * greatest(v, 1 - v) - 1) / greatest(v, 1 - v) END, 6) AS purity FROM m""",
     "fisher_exact": f"""WITH t AS (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R' AND l_quantity > 25) AS a, count(*) FILTER (l_returnflag = 'R' AND NOT l_quantity > 25) AS b,
@@ -550,7 +551,7 @@ ORACLES = {
     "count_window20": f"WITH {_WIN} SELECT sample, chrom, pos, n, n_forward, round(signed_p, 8) AS signed_p, least(mid_start, mid_end) AS mid_start, greatest(mid_start, mid_end) AS mid_end FROM windows",
     "track_state": f"""WITH {_WIN}, l AS (SELECT *, lag(signed_p) OVER (PARTITION BY sample, chrom ORDER BY pos) AS b FROM windows)
       SELECT sample, chrom, pos, CASE WHEN b > 0 AND signed_p < 0 THEN 'ORI' WHEN b < 0 AND signed_p > 0 THEN 'Collision' WHEN signed_p > 0 THEN 'Positive' ELSE 'Negative' END AS state FROM l""",
-    "inter_event_distance": f"""WITH {SIMPLE}, d AS (SELECT sample, chrom, pos AS start, pos - lag(pos) OVER (PARTITION BY sample, chrom ORDER BY pos) AS distance FROM simple WHERE event = 'LOH')
+    "inter_event_distance": f"""WITH {CALLED}, d AS (SELECT sample, chrom, pos AS start, pos - lag(pos) OVER (PARTITION BY sample, chrom ORDER BY pos) AS distance FROM called WHERE event = 'LOH')
       SELECT *, CASE WHEN distance > 0 THEN floor(distance / pow(10, least(floor(log10(distance)), 4)) + 0.5) * pow(10, least(floor(log10(distance)), 4)) ELSE CAST(distance AS DOUBLE) END AS distance_class FROM d""",
     "bucket_cumulative": """WITH c AS (SELECT l_returnflag, CAST(floor(l_discount * 100 + 0.5) AS BIGINT) AS bucket, count(*) AS n FROM lineitem GROUP BY ALL),
       w AS (SELECT *, CAST(sum(n) OVER (PARTITION BY l_returnflag ORDER BY bucket) AS BIGINT) AS upto, CAST(sum(n) OVER (PARTITION BY l_returnflag ORDER BY bucket DESC) AS BIGINT) AS from_here, sum(n) OVER (PARTITION BY l_returnflag) AS total FROM c)

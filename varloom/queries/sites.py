@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import genomics as G, stats as S
 from ..operators import classify as C, copynumber as N, genes as E, qc as Q, recurrence as R, segment as X
-from ..plans.cut import cut
+from ..plans.cut import cut, kept
 from ..plans.intervals import gap_regions
 from ..plans.spread import spread
 
@@ -174,32 +174,26 @@ def event_call(spark, sf_dir):
     return called.select(*_KEYS, "event", F.round("cn", 4).alias("cn"))
 
 
-def simple_events(sites: DataFrame) -> DataFrame:
-    """Events from whole-number rules on the counts alone: a quick look, and the form SQL can repeat exactly."""
-    off = F.abs(2 * F.col("var_t") - F.col("cov_t")) * 5 > F.col("cov_t")
-    up, down = 10 * F.col("cov_t") > 18 * F.col("cov_n"), 10 * F.col("cov_t") < 6 * F.col("cov_n")
-    het = F.when(off, F.when(up, "GainSomatic").when(down, "LOH").otherwise("cnLOH")).otherwise("HETGermline")
-    return sites.withColumn("event", F.when(Q.in_het_band(), het).otherwise(C.out_of_band_event()))
-
-
-def _simple(spark, sf_dir):
-    return simple_events(_sites(spark, sf_dir))
+def _called(spark, sf_dir):
+    """Every cleaned site with its called event and copy number: what all roll-ups below begin with."""
+    names = [*_KEYS, "line_no", "site_id", "ref", "alt", *_PAIR, "dbsnp", "mutation", "gene", "event", "cn"]
+    return kept(spark, "called", sf_dir, lambda: C.call_events(_prepared(spark, sf_dir, True)).select(*names))
 
 
 def events_by_sample(spark, sf_dir):
-    return R.events_per_sample(_simple(spark, sf_dir))
+    return R.events_per_sample(_called(spark, sf_dir))
 
 
 def segments(spark, sf_dir):
-    return X.segments(_simple(spark, sf_dir))
+    return X.segments(_called(spark, sf_dir))
 
 
 def _regions(spark, sf_dir):
-    return cut(X.segments(_simple(spark, sf_dir)))
+    return cut(X.segments(_called(spark, sf_dir)))
 
 
 def region_mean_cn(spark, sf_dir):
-    sites = _simple(spark, sf_dir).withColumn("x", F.col("cov_t") * 1000 / F.col("cov_n"))
+    sites = _called(spark, sf_dir).withColumn("x", F.col("cov_t") * 1000 / F.col("cov_n"))
     r = X.remove_singletons(_regions(spark, sf_dir)).select("sample", "chrom", "start", "end")
     return N.region_mean(sites, r, "x").select("sample", "chrom", "start", "end", F.round("mean", 4).alias("mean"), "n_sites")
 
@@ -214,7 +208,7 @@ def disjoin_recurrence(spark, sf_dir):
 
 
 def recurrence_by_pos(spark, sf_dir):
-    r = R.recurrence_by_position(_simple(spark, sf_dir))
+    r = R.recurrence_by_position(_called(spark, sf_dir))
     return r.select("event", "chrom", "pos", "n", F.col("genome_pos").cast("bigint").alias("genome_pos"))
 
 
@@ -226,16 +220,16 @@ def browser_score(spark, sf_dir):
 def recurrent_site_counts(spark, sf_dir):
     regions = _regions(spark, sf_dir).where("event = 'LOH'")
     pieces = cut(R.recurrent_pieces(regions, "LOH").where("recurrence > 1"))
-    return R.sites_in_recurrent(_simple(spark, sf_dir), regions, pieces)
+    return R.sites_in_recurrent(_called(spark, sf_dir), regions, pieces)
 
 
 def region_density(spark, sf_dir):
-    d = R.region_density(_simple(spark, sf_dir), _regions(spark, sf_dir).select("sample", "chrom", "start", "end", "event"))
+    d = R.region_density(_called(spark, sf_dir), _regions(spark, sf_dir).select("sample", "chrom", "start", "end", "event"))
     return d.select("sample", "chrom", "start", "end", "event", "n_event", "n_het", F.round("event_density", 9).alias("event_density"))
 
 
 def sample_manifest(spark, sf_dir):
-    return R.sample_manifest(_simple(spark, sf_dir), "LOH")
+    return R.sample_manifest(_called(spark, sf_dir), "LOH")
 
 
 def region_caller(spark, sf_dir):
@@ -250,30 +244,30 @@ def dbscan(spark, sf_dir):
 
 
 def gene_tally(spark, sf_dir):
-    return E.tally_genes(E.gene_sites(_simple(spark, sf_dir)))
+    return E.tally_genes(E.gene_sites(_called(spark, sf_dir)))
 
 
 def gene_summary(spark, sf_dir):
-    g = E.summarize_genes(E.gene_sites(_simple(spark, sf_dir)))
+    g = E.summarize_genes(E.gene_sites(_called(spark, sf_dir)))
     return g.select("gene_key", "n_sites", "low", "high", "n_patients", "n_LossReference", "n_LossVariant", "n_GainReference", "n_GainVariant", F.round("density", 9).alias("density"))
 
 
 def allele_tally(spark, sf_dir):
-    return E.tally_alleles(E.gene_sites(_simple(spark, sf_dir)))
+    return E.tally_alleles(E.gene_sites(_called(spark, sf_dir)))
 
 
 def gene_loss_p(spark, sf_dir):
-    g = E.summarize_genes(E.gene_sites(_simple(spark, sf_dir)))
+    g = E.summarize_genes(E.gene_sites(_called(spark, sf_dir)))
     g = E.with_binomial_p(g, "n_LossReference", F.col("n_LossReference") + F.col("n_LossVariant"))
     return g.select("gene_key", F.round("p_value", 8).alias("p_value"))
 
 
 def multi_event_genes(spark, sf_dir):
-    return E.multi_event_genes(E.gene_sites(_simple(spark, sf_dir)))
+    return E.multi_event_genes(E.gene_sites(_called(spark, sf_dir)))
 
 
 def patients_per_event(spark, sf_dir):
-    rows = E.gene_sites(_simple(spark, sf_dir)).withColumn("cn", F.floor(F.col("cov_t") * 4 / F.col("cov_n")))
+    rows = E.gene_sites(_called(spark, sf_dir)).withColumn("cn", F.floor(F.col("cov_t") * 4 / F.col("cov_n")))
     return E.patients_per_event(rows)
 
 
@@ -320,17 +314,6 @@ _OUT = """CASE WHEN coalesce(cov_n <= 0, true) OR coalesce(cov_t <= 0, true) THE
     WHEN 10000 * var_t > 6667 * cov_t AND NOT 10000 * var_t <= 3333 * cov_t THEN 'LOH' ELSE 'Ignored' END
   ELSE CASE WHEN 20 * var_n >= 19 * cov_n AND 10 * var_t >= cov_t AND 10 * var_t <= 9 * cov_t THEN 'Ignored'
     WHEN 10000 * var_t <= 3333 * cov_t THEN 'LOH' ELSE 'Ignored' END END"""
-SIMPLE = f"""{SITES},
-simple AS (SELECT *, CASE WHEN {_HET} THEN CASE WHEN abs(2 * var_t - cov_t) * 5 > cov_t THEN
-    CASE WHEN 10 * cov_t > 18 * cov_n THEN 'GainSomatic' WHEN 10 * cov_t < 6 * cov_n THEN 'LOH' ELSE 'cnLOH' END ELSE 'HETGermline' END
-  ELSE {_OUT} END AS event FROM sites)"""
-REGIONS = f"""{SIMPLE},
-valid AS (SELECT sample, chrom, pos, min(event) AS event FROM simple WHERE event NOT IN ('Noise', 'Ignored', 'HETSomatic') GROUP BY sample, chrom, pos),
-changes AS (SELECT *, CASE WHEN event = lag(event) OVER w THEN 0 ELSE 1 END AS brk FROM valid WINDOW w AS (PARTITION BY sample, chrom ORDER BY pos)),
-runs AS (SELECT *, sum(brk) OVER (PARTITION BY sample, chrom ORDER BY pos) AS run FROM changes),
-regions AS (SELECT sample, chrom, event, min(pos) AS start, max(pos) AS "end", count(*) AS n FROM runs GROUP BY sample, chrom, event, run)"""
-
-
 def pieces_sql(source: str, keys: str, name: str = "pieces") -> str:
     """CTEs of the boundary sweep over ``source``."""
     return f"""
@@ -339,10 +322,6 @@ swept AS (SELECT {keys}, start, lead(start) OVER w - 1 AS "end", CAST(sum(d) OVE
 {name} AS (SELECT * FROM swept WHERE recurrence > 0 AND "end" IS NOT NULL)"""
 
 
-_GENES = f"""{SIMPLE},
-in_genes AS (SELECT *, lower(gene) AS gene_key, CASE WHEN event IN ('LOH', 'cnLOH') THEN CASE WHEN 2 * var_t > cov_t THEN 'LossReference' ELSE 'LossVariant' END
-    WHEN event IN ('GainSomatic', 'GainGermline') THEN CASE WHEN 2 * var_t > cov_t THEN 'GainVariant' ELSE 'GainReference' END END AS allele_event
-  FROM simple WHERE lower(gene) NOT IN ('', '.') AND event NOT IN ('Noise', 'Ignored', 'HETGermline'))"""
 _TAIL = "least(list_sum(list_transform(range({k}, {n} + 1), lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) - {n} * ln(2)))), 1.0)"
 _POPULATION = """(CASE WHEN lower(trim(dbsnp)) = 'novel' THEN 'Novel' WHEN dbsnp IS NULL OR len(string_split(dbsnp, ',')) <= 2 OR low IS NULL THEN 'Unknown'
     WHEN (CASE WHEN low.a = ref THEN 1 - low.f ELSE low.f END) < 0.01 THEN 'Rare' ELSE 'Common' END)"""
@@ -402,6 +381,30 @@ def plane_sql(cn: str) -> str:
     THEN CASE WHEN coalesce(adj_t <> 0 AND abs(adj_n / nullif(adj_t, 0) - 1) <= 0.2, false) AND {cn} > 1.8 AND {cn} < 2.2 THEN -1 ELSE 1 END ELSE 0 END END"""
 
 
+#: CTEs of the event calls, up to ``calls`` (cn2 is the re-centred copy number).
+_CALLS = f"""{prepared_sql(True)}, p AS (SELECT *, {plane_sql('cn')} AS plane FROM ready),
+  low AS (SELECT *, CASE WHEN plane = 0 THEN CASE WHEN cn < 1.1 THEN 'DELHom' WHEN cn > 3 THEN 'GainSomatic' ELSE 'HETGermline' END ELSE '' END AS first_event, cn / 2 AS half FROM p),
+  m AS (SELECT sample, median(half) AS med FROM low WHERE first_event = 'HETGermline' GROUP BY sample),
+  c AS (SELECT low.*, 2 * (half + 1 - coalesce(med, 1.0)) AS cn2 FROM low LEFT JOIN m USING (sample)),
+  calls AS (SELECT sample, chrom, pos, cn2, CASE plane WHEN 0 THEN first_event WHEN 2 THEN 'GainGermline' WHEN -1 THEN 'Ignored'
+    WHEN 1 THEN CASE WHEN coalesce(adj_t <> 0 AND abs(adj_n / nullif(adj_t, 0) - 1) <= 0.2, false) AND cn2 > 1.8 AND cn2 < 2.2 THEN 'Ignored'
+      WHEN cn2 >= 2.2 THEN 'GainSomatic' WHEN cn2 > 1.8 AND cn2 < 2.2 THEN 'cnLOH' ELSE 'LOH' END ELSE {_OUT} END AS event FROM c)"""
+#: Sites with their calls; the calls' own CTEs stay inside, so that their names are free.
+CALLED = f"""{SITES},
+called AS MATERIALIZED (SELECT s.*, e.event, e.cn2 AS cn FROM sites s JOIN (WITH RECURSIVE {_CALLS} SELECT * FROM calls) e
+  ON s.sample = e.sample AND s.chrom = e.chrom AND s.pos = e.pos)"""
+REGIONS = f"""{CALLED},
+valid AS (SELECT sample, chrom, pos, min(event) AS event FROM called WHERE event NOT IN ('Noise', 'Ignored', 'HETSomatic') GROUP BY sample, chrom, pos),
+changes AS (SELECT *, CASE WHEN event = lag(event) OVER w THEN 0 ELSE 1 END AS brk FROM valid WINDOW w AS (PARTITION BY sample, chrom ORDER BY pos)),
+runs AS (SELECT *, sum(brk) OVER (PARTITION BY sample, chrom ORDER BY pos) AS run FROM changes),
+regions AS (SELECT sample, chrom, event, min(pos) AS start, max(pos) AS "end", count(*) AS n FROM runs GROUP BY sample, chrom, event, run)"""
+
+
+_GENES = f"""{CALLED},
+in_genes AS (SELECT *, lower(gene) AS gene_key, CASE WHEN event IN ('LOH', 'cnLOH') THEN CASE WHEN 2 * var_t > cov_t THEN 'LossReference' ELSE 'LossVariant' END
+    WHEN event IN ('GainSomatic', 'GainGermline') THEN CASE WHEN 2 * var_t > cov_t THEN 'GainVariant' ELSE 'GainReference' END END AS allele_event
+  FROM called WHERE lower(gene) NOT IN ('', '.') AND event NOT IN ('Noise', 'Ignored', 'HETGermline'))"""
+
 ORACLES = {
     "anchored_density": f"""WITH RECURSIVE {SITES}, c AS (SELECT *, CASE WHEN 10 * var_n > cov_n THEN 1 ELSE 0 END AS counted FROM sites), {anchors_sql('c', 'pos', 1000)},
       w AS (SELECT c.sample, c.chrom, c.pos, sum(counted) OVER (PARTITION BY c.sample, c.chrom, a.first) AS n FROM c ASOF JOIN anchors a ON c.sample = a.sample AND c.chrom = a.chrom AND c.pos >= a.first)
@@ -409,13 +412,7 @@ ORACLES = {
     "anchored_smooth": f'WITH RECURSIVE {_SMOOTH} SELECT sample, chrom, start, "end", round(smooth, 6) AS smooth FROM smoothed',
     "germline_aneuploidy": f"WITH {SITES}, {_GAINS} SELECT * FROM gains",
     "plane_split": f"WITH {prepared_sql(False)}, rounded AS (SELECT * REPLACE (round(cn, 6) AS cn) FROM ready) SELECT sample, {plane_sql('cn')} AS plane, count(*) AS n FROM rounded GROUP BY ALL",
-    "event_call": f"""WITH RECURSIVE {prepared_sql(True)}, p AS (SELECT *, {plane_sql('cn')} AS plane FROM ready),
-      low AS (SELECT *, CASE WHEN plane = 0 THEN CASE WHEN cn < 1.1 THEN 'DELHom' WHEN cn > 3 THEN 'GainSomatic' ELSE 'HETGermline' END ELSE '' END AS first_event, cn / 2 AS half FROM p),
-      m AS (SELECT sample, median(half) AS med FROM low WHERE first_event = 'HETGermline' GROUP BY sample),
-      c AS (SELECT low.*, 2 * (half + 1 - coalesce(med, 1.0)) AS cn2 FROM low LEFT JOIN m USING (sample))
-      SELECT sample, chrom, pos, round(cn2, 4) AS cn, CASE plane WHEN 0 THEN first_event WHEN 2 THEN 'GainGermline' WHEN -1 THEN 'Ignored'
-        WHEN 1 THEN CASE WHEN coalesce(adj_t <> 0 AND abs(adj_n / nullif(adj_t, 0) - 1) <= 0.2, false) AND cn2 > 1.8 AND cn2 < 2.2 THEN 'Ignored'
-          WHEN cn2 >= 2.2 THEN 'GainSomatic' WHEN cn2 > 1.8 AND cn2 < 2.2 THEN 'cnLOH' ELSE 'LOH' END ELSE {_OUT} END AS event FROM c""",
+    "event_call": f"WITH RECURSIVE {_CALLS} SELECT sample, chrom, pos, round(cn2, 4) AS cn, event FROM calls",
     "sort_sites": f"WITH {CANONICAL} SELECT site_id, row_number() OVER (PARTITION BY sample ORDER BY chrom, pos, line_no, site_id) AS place FROM canonical",
     "dedup_sites": f"WITH {SITES} SELECT sample, chrom, pos, line_no, site_id FROM firsts",
     "qc_min_reads": f"WITH {SITES} SELECT sample, chrom, pos, cov_n, var_n, cov_t, var_t FROM sites",
@@ -447,7 +444,8 @@ ORACLES = {
     "median_center": f"WITH {_BLOCKS} SELECT sample, round(median(ratio), 6) AS median FROM ratios WHERE ratio IS NOT NULL GROUP BY sample",
     "cn_class": f"""WITH {_BLOCKS}, c AS (SELECT sample, round(2 * ratio, 6) AS cn FROM ratios WHERE ratio IS NOT NULL)
       SELECT sample, CASE WHEN cn <= 1.1 THEN 'homdel' WHEN cn <= 1.8 THEN 'del' WHEN cn >= 2.2 THEN 'amp' ELSE 'diploid' END AS cn_class, count(*) AS n FROM c GROUP BY ALL""",
-    "binned_vaf": f"WITH {SITES} SELECT sample, count(*) AS n FROM sites WHERE var_n / cov_n > 0.2 AND var_n / cov_n <= 0.8 GROUP BY sample",
+    "binned_vaf": f"""WITH {SITES}, b AS (SELECT sample, (floor(var_n / cov_n / CAST(0.025 AS DOUBLE)) + 1) * CAST(0.025 AS DOUBLE) AS x FROM sites WHERE var_n / cov_n > 0.2 AND var_n / cov_n <= 0.8)
+      SELECT sample, count(*) AS n, round(avg(x), 6) AS mean, round(coalesce(stddev_samp(x), 0), 6) AS sd FROM b GROUP BY sample""",
     "binom_tail": f"""WITH {SITES}, p AS (SELECT DISTINCT cov_t AS n, greatest(var_t, cov_t - var_t) AS k FROM sites WHERE greatest(var_t, cov_t - var_t) <= cov_t)
       SELECT n, k, round(CASE WHEN n <= 0 OR k <= 0 THEN 1.0 ELSE {_TAIL.format(n='n', k='k')} END, 8) AS p FROM p""",
     "permutation_thresholds": f"""WITH {SITES}, c AS (SELECT DISTINCT cov_t AS cov FROM sites WHERE cov_t IS NOT NULL),
@@ -465,27 +463,27 @@ ORACLES = {
     "poisson_argmax": f"""WITH {SITES}, x AS (SELECT DISTINCT CAST(floor(100 * var_t / cov_t + 0.5) AS BIGINT) AS x FROM sites WHERE cov_t > 0),
       l AS (SELECT x, unnest([20.0, 40.0, 50.0, 60.0, 80.0]) AS m FROM x WHERE x BETWEEN 0 AND 100)
       SELECT x, CAST(arg_max(m, x * ln(m) - m) AS DOUBLE) AS best FROM l GROUP BY x""",
-    "events_by_sample": f"WITH {SIMPLE} SELECT sample, event, count(*) AS n FROM simple GROUP BY ALL",
+    "events_by_sample": f"WITH {CALLED} SELECT sample, event, count(*) AS n FROM called GROUP BY ALL",
     "segments": f"WITH {REGIONS} SELECT * FROM regions",
     "region_mean_cn": f"""WITH {REGIONS} SELECT r.sample, r.chrom, r.start, r."end", round(avg(s.cov_t * 1000 / s.cov_n), 4) AS mean, count(*) AS n_sites
-      FROM regions r JOIN simple s ON s.sample = r.sample AND s.chrom = r.chrom AND s.pos BETWEEN r.start AND r."end" WHERE r.start <> r."end" GROUP BY ALL""",
+      FROM regions r JOIN called s ON s.sample = r.sample AND s.chrom = r.chrom AND s.pos BETWEEN r.start AND r."end" WHERE r.start <> r."end" GROUP BY ALL""",
     "region_gaps": f"""WITH {REGIONS}, loh AS (SELECT * FROM regions WHERE event IN ('LOH', 'cnLOH') AND n > 1),
       tagged AS (SELECT s.sample, s.chrom, s.pos, min(r.start) AS region FROM sites s LEFT JOIN loh r ON s.sample = r.sample AND s.chrom = r.chrom AND s.pos BETWEEN r.start AND r."end" GROUP BY ALL),
       c AS (SELECT *, CASE WHEN region IS NOT DISTINCT FROM lag(region) OVER w AND lag(pos) OVER w IS NOT NULL THEN 0 ELSE 1 END AS brk FROM tagged WINDOW w AS (PARTITION BY sample, chrom ORDER BY pos)),
       i AS (SELECT *, sum(brk) OVER (PARTITION BY sample, chrom ORDER BY pos) AS run FROM c)
       SELECT sample, chrom, min(pos) AS start, max(pos) AS "end", count(*) AS n_sites, region IS NULL AS is_gap FROM i GROUP BY sample, chrom, run, region""",
     "disjoin_recurrence": f"WITH {REGIONS}, {pieces_sql('regions', 'event, chrom')} SELECT * FROM pieces",
-    "recurrence_by_pos": f"WITH {SIMPLE} SELECT event, chrom, pos, count(*) AS n, CAST(pos + {_OFFSET} AS BIGINT) AS genome_pos FROM simple GROUP BY ALL",
+    "recurrence_by_pos": f"WITH {CALLED} SELECT event, chrom, pos, count(*) AS n, CAST(pos + {_OFFSET} AS BIGINT) AS genome_pos FROM called GROUP BY ALL",
     "browser_score": f"""WITH {REGIONS}, {pieces_sql('regions', 'event, chrom')},
       s AS (SELECT *, min(recurrence) OVER (PARTITION BY event) AS lo, max(recurrence) OVER (PARTITION BY event) AS hi FROM pieces)
       SELECT concat_ws(' ', 'chr' || CASE chrom WHEN 23 THEN 'X' ELSE CAST(chrom AS VARCHAR) END, start, "end" + 1, event, CAST(floor((recurrence - lo) / (hi - lo + 1) * 700 + 200) AS INTEGER), '+') AS value FROM s""",
     "recurrent_site_counts": f"""WITH {REGIONS}, loh AS (SELECT * FROM regions WHERE event = 'LOH'), {pieces_sql('loh', 'chrom')}
-      SELECT p.chrom, p.start AS r_start, p."end" AS r_end, s.event, count(*) AS n FROM simple s JOIN pieces p ON p.recurrence > 1 AND s.chrom = p.chrom AND s.pos BETWEEN p.start AND p."end"
+      SELECT p.chrom, p.start AS r_start, p."end" AS r_end, s.event, count(*) AS n FROM called s JOIN pieces p ON p.recurrence > 1 AND s.chrom = p.chrom AND s.pos BETWEEN p.start AND p."end"
       WHERE EXISTS (SELECT 1 FROM loh r WHERE r.sample = s.sample AND r.chrom = s.chrom AND s.pos BETWEEN r.start AND r."end") GROUP BY ALL""",
     "region_density": f"""WITH {REGIONS} SELECT r.sample, r.chrom, r.start, r."end", r.event, count(*) FILTER (s.event = r.event) AS n_event, count(*) FILTER (s.event = 'HETGermline') AS n_het,
         round(count(*) FILTER (s.event = r.event) / (r."end" - r.start + 1), 9) AS event_density
-      FROM regions r JOIN simple s ON s.sample = r.sample AND s.chrom = r.chrom AND s.pos BETWEEN r.start AND r."end" WHERE r.n > 2 GROUP BY r.sample, r.chrom, r.start, r."end", r.event""",
-    "sample_manifest": f"""WITH {SIMPLE}, c AS (SELECT sample, count(*) AS n FROM simple WHERE event = 'LOH' GROUP BY sample)
+      FROM regions r JOIN called s ON s.sample = r.sample AND s.chrom = r.chrom AND s.pos BETWEEN r.start AND r."end" GROUP BY r.sample, r.chrom, r.start, r."end", r.event""",
+    "sample_manifest": f"""WITH {CALLED}, c AS (SELECT sample, count(*) AS n FROM called WHERE event = 'LOH' GROUP BY sample)
       SELECT *, CAST(row_number() OVER (ORDER BY n DESC, sample DESC) AS INTEGER) AS place FROM c""",
     "gene_tally": f"WITH {_GENES} SELECT gene_key, min(pos) AS low, max(pos) AS high, count(*) AS n_sites, count(DISTINCT sample) AS n_patients, "
     + ", ".join(f"count(*) FILTER (event = '{e}') AS n_{e}" for e in G.EVENTS) + ", "
