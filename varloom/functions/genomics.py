@@ -197,13 +197,13 @@ def alphanumeric_match(a: Column, b: Column) -> Column:
 
 
 def unique_characters(s: Column) -> Column:
-    return F.concat_ws("", F.array_distinct(F.split(s, "")))
+    return F.array_join(F.array_distinct(F.split(s, "")), "")
 
 
 def nth_index(s: Column, char: str, n: int) -> Column:
-    """0-based place of the n-th ``char``; -1 when there are fewer."""
+    """0-based place of the n-th ``char``; -1 when there are fewer, null for null."""
     upto = F.substring_index(s, char, n)
-    return F.when(F.size(F.split(s, re.escape(char))) > n, F.length(upto)).otherwise(-1)
+    return F.when(F.size(F.split(s, re.escape(char))) > n, F.length(upto)).when(s.isNotNull(), -1)
 
 
 def first_whitespace(s: Column) -> Column:

@@ -90,6 +90,11 @@ def co_occurrence(rows: DataFrame, patient: str, gene: str, event: str, min_pati
     return pairs.select(part("a", 0).alias("gene1"), part("a", 1).alias("event1"), part("b", 0).alias("gene2"), part("b", 1).alias("event2"), "n_patients")
 
 
+def pair_histogram(pairs: DataFrame) -> DataFrame:
+    """How many pairs occur together in 1, 2, 3, ... patients."""
+    return pairs.groupBy("n_patients").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
 def dual_event_lower_bound(pairs: DataFrame, top: float = 0.01) -> DataFrame:
     """The smallest number of patients among the most frequent ``top`` share of pairs, from a table of counts."""
     from pyspark.sql import Window

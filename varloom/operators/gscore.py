@@ -125,7 +125,10 @@ def null_distribution(parts: DataFrame) -> DataFrame:
 def q_values(scores: DataFrame, null: DataFrame) -> DataFrame:
     """Per type and score: p, rank (markers at or above), q = p m / rank made monotone along ascending scores, at most 1."""
     counts = scores.groupBy("type", "g").agg(F.count(F.lit(1)).alias("n"))
-    joined = counts.join(null, ["type", "g"], "left").withColumn("p", F.coalesce(F.exp("log_p"), F.lit(0.0)))
+    # below all that a law can give p is 1, beyond it 0
+    least = null.groupBy("type").agg(F.min("g").alias("__least"))
+    joined = counts.join(null, ["type", "g"], "left").join(F.broadcast(least), "type", "left")
+    joined = joined.withColumn("p", F.coalesce(F.exp("log_p"), F.when(F.col("g") < F.col("__least"), 1.0), F.lit(0.0)))
     return monotone_q(joined)
 
 

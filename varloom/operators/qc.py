@@ -113,3 +113,16 @@ def consecutive_duplicates(df: DataFrame, keys: list[str], order: list[str], sam
     label = F.struct(*same)
     return df.withColumn("__p", F.lag(F.struct(label.alias("l"))).over(over)).where(
         F.col("__p").isNull() | ~label.eqNullSafe(F.col("__p.l"))).drop("__p")
+
+
+def genome_ranks(rows: DataFrame, order: tuple[str, ...] = ("pos", "line_no", "site_id"), block: int = 50_000_000) -> DataFrame:
+    """``place``: each row's rank in genome order within its sample (sample, chrom, pos).
+
+    Ranks within blocks of a chromosome, then the blocks' counts: no window holds a chromosome, let alone a sample.
+    """
+    rows = rows.withColumn("__blk", F.floor(F.col("pos") / block))
+    keys = ["sample", "chrom", "__blk"]
+    within = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select(*keys, (F.sum("__n").over(Window.partitionBy("sample").orderBy("chrom", "__blk")) - F.col("__n")).alias("__b"))
+    return within.join(before, keys).withColumn("place", (F.col("__b") + F.col("__r")).cast("bigint")).drop("__blk", "__r", "__b")

@@ -24,9 +24,20 @@ def events_per_sample(sites: DataFrame) -> DataFrame:
     return sites.groupBy("sample", "event").agg(F.count(F.lit(1)).alias("n"))
 
 
-def event_span(sites: DataFrame) -> DataFrame:
-    """Smallest and largest position per event and chromosome over all samples."""
-    return sites.groupBy("event", "chrom").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
+def event_span(sites: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """Smallest and largest position per event and chromosome over all samples, or within each of ``regions`` (chrom, r_start, r_end)."""
+    if regions is None:
+        return sites.groupBy("event", "chrom").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
+    rows = points_in_intervals(sites.select("chrom", "pos", "event"), regions.select("chrom", "r_start", "r_end"), ["chrom"], "pos", "r_start", "r_end")
+    return rows.groupBy("event", "chrom", "r_start", "r_end").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
+
+
+def cumulative(counts: DataFrame, keys: list[str], bucket: str, n: str = "n") -> DataFrame:
+    """Counts per bucket with the forward and backward cumulative counts and the shares of each group's total."""
+    w = Window.partitionBy(*keys)
+    up, total = F.sum(n).over(w.orderBy(bucket)), F.sum(n).over(w)
+    return counts.select(*keys, bucket, n, up.alias("upto"), F.sum(n).over(w.orderBy(F.desc(bucket))).alias("from_here"),
+                         (F.col(n) / total).alias("share"), (up / total).alias("share_upto"))
 
 
 def sites_in_recurrent(sites: DataFrame, regions: DataFrame, recurrent: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import genomics as G, stats as S
-from ..operators import compare as M, enrichment as E, genes as N, gscore as K, origins as O, qc as Q, simulate as U
+from ..operators import compare as M, enrichment as E, genes as N, gscore as K, origins as O, qc as Q, recurrence as R, simulate as U
 from ..operators import classify as C, segment as X
 from ..plans import intervals as I
 from ..plans.cut import cut
@@ -221,21 +221,6 @@ def qvalue_monotone(spark, sf_dir):
     return q.select("type", "g", "n", F.round("p", 9).alias("p"), "rank", F.round("q", 9).alias("q"))
 
 
-def rank_qvalues(spark, sf_dir):
-    """Monotone q-values when p is the markers' own upper share."""
-    g = K.g_scores(K.contributions(_markers(spark, sf_dir)))
-    over = Window.partitionBy("type")
-    c = g.groupBy("type", "g").agg(F.count(F.lit(1)).alias("n"))
-    c = c.withColumn("p", (F.col("g") % 997 + 1) / 1000)
-    return K.monotone_q(c).select("type", "g", "n", "rank", F.round("q", 9).alias("q"))
-
-
-def peak_finder(spark, sf_dir):
-    parts = cut(K.contributions(_markers(spark, sf_dir)))
-    q = cut(K.q_values(K.g_scores(parts), K.null_distribution(parts)))
-    return K.find_peaks(parts, q)
-
-
 def equal_g_runs(spark, sf_dir):
     return K.runs_of_equal_g(K.g_scores(K.contributions(_markers(spark, sf_dir))))
 
@@ -276,14 +261,6 @@ def gene_markers(spark, sf_dir):
     return I.markers_of_intervals(_genes(spark, sf_dir), probes, ["chrom"], "g_start", "g_end", "pos").select("gene", "chrom", "g_start", "pos")
 
 
-def gene_gscores(spark, sf_dir):
-    """Scores of genes from their closest markers, with q-values under the convolved null."""
-    parts = cut(K.contributions(_markers(spark, sf_dir)))
-    g = cut(K.g_scores(parts))
-    genes = _genes(spark, sf_dir).select("gene", "chrom", F.col("g_start").alias("start"), F.col("g_end").alias("end"))
-    return K.gene_scores(g, genes, K.q_values(g, K.null_distribution(parts)))
-
-
 def purity(spark, sf_dir):
     return C.purity_estimate(_called(spark, sf_dir)).withColumn("purity", F.round("purity", 6))
 
@@ -338,10 +315,7 @@ def inter_event_distance(spark, sf_dir):
 def bucket_cumulative(spark, sf_dir):
     """Forward and backward cumulative counts and shares of discounts per return flag."""
     c = _table(spark, sf_dir, "lineitem").groupBy("l_returnflag", F.floor(F.col("l_discount") * 100 + 0.5).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("l_returnflag")
-    up, down = F.sum("n").over(w.orderBy("bucket")), F.sum("n").over(w.orderBy(F.desc("bucket")))
-    total = F.sum("n").over(w)
-    return c.select("l_returnflag", "bucket", "n", up.alias("upto"), down.alias("from_here"), F.round(F.col("n") / total, 6).alias("share"), F.round(up / total, 6).alias("share_upto"))
+    return R.cumulative(c, ["l_returnflag"], "bucket").withColumns({x: F.round(x, 6) for x in ("share", "share_upto")})
 
 
 def sigfig_hist(spark, sf_dir):
@@ -364,8 +338,9 @@ def matrix_union(spark, sf_dir):
 
 
 def regression(spark, sf_dir):
-    li = _table(spark, sf_dir, "lineitem")
-    return li.groupBy("l_suppkey").agg(F.round(F.regr_r2("l_extendedprice", "l_quantity"), 6).alias("r2"), F.round(F.corr("l_extendedprice", "l_quantity"), 6).alias("r"))
+    """Fit of a line to each supplier's sorted prices."""
+    fit = X.fit_r2(_table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_extendedprice").cast("double").alias("x")), ["l_suppkey"], "x")
+    return fit.select("l_suppkey", F.round("r2", 6).alias("r2"), F.round(F.col("sse") / 1e6, 4).alias("sse"))
 
 
 def event_runs(spark, sf_dir):
@@ -407,8 +382,8 @@ def simulated_cohort(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     range_semi, range_anti, point_in_region_counts, region_filter, region_genes, overlap_class, region_overlap_join, region_union, splice_scores, region_points,
     asof_floor, nearest_gene, callset_compare, maf_annotate, confusion_metrics, center_metrics, superset_counts, center_correlation, cooccurrence, pathway_tau,
-    term_counts, term_fold, pathway_scores, top20, seg_to_marker, marker_to_seg, arm_median_thresholds, gscore, qvalue_monotone, rank_qvalues, peak_finder,
-    equal_g_runs, strength_matrix, gene_matrix, regulator_sets, region_neighbours, gene_markers, gene_gscores, purity, fisher_exact, count_window20, track_state, origins, recurrent_origins, spline, permutation_pvalue,
+    term_counts, term_fold, pathway_scores, top20, seg_to_marker, marker_to_seg, arm_median_thresholds, gscore, qvalue_monotone,
+    equal_g_runs, strength_matrix, gene_matrix, regulator_sets, region_neighbours, gene_markers, purity, fisher_exact, count_window20, track_state, origins, recurrent_origins, spline, permutation_pvalue,
     inter_event_distance, bucket_cumulative, sigfig_hist, horizontal_concat, matrix_union, regression, event_runs, consecutive_duplicates, mutation_permutation, simulated_cohort)}
 
 _CHROM = """CASE WHEN starts_with(b, 'x') THEN 23 WHEN starts_with(b, 'y') THEN 24 WHEN starts_with(b, 'm') THEN 25
@@ -516,9 +491,6 @@ ORACLES = {
       r AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY sample, chrom, q ORDER BY value, marker) AS rn FROM a WINDOW w AS (PARTITION BY sample, chrom, q))
       SELECT sample, max(value) AS high, min(value) AS low FROM r WHERE rn = n // 2 + 1 GROUP BY sample""",
     "gscore": f"WITH {_PARTS} SELECT * FROM g",
-    "rank_qvalues": f"""WITH {_PARTS}, c AS (SELECT type, g, count(*) AS n, (g % 997 + 1) / 1000 AS p FROM g GROUP BY type, g),
-      r AS (SELECT *, CAST(sum(n) OVER (PARTITION BY type ORDER BY g DESC) AS BIGINT) AS rank, sum(n) OVER (PARTITION BY type) AS m FROM c)
-      SELECT type, g, n, rank, round(least(min(p * m / rank) OVER (PARTITION BY type ORDER BY g), 1.0), 9) AS q FROM r""",
     "equal_g_runs": f"""WITH {_PARTS}, c AS (SELECT *, CASE WHEN g = lag(g) OVER w THEN 0 ELSE 1 END AS brk FROM g WINDOW w AS (PARTITION BY type, chrom ORDER BY pos)),
       i AS (SELECT *, sum(brk) OVER (PARTITION BY type, chrom ORDER BY pos) AS run FROM c) SELECT type, chrom, g, min(pos) AS start, max(pos) AS "end", count(*) AS n FROM i GROUP BY type, chrom, g, run""",
     "strength_matrix": f"""WITH {_MARKERS}, a AS (SELECT *, CASE chrom """ + " ".join(f"WHEN {i} THEN CASE WHEN pos >= {x} THEN 'q' ELSE 'p' END" for i, x in enumerate(G.SHORT_ARMS, 1)) + """ END AS arm FROM markers),
@@ -559,7 +531,8 @@ ORACLES = {
     "sigfig_hist": """SELECT round(l_extendedprice * pow(10, 1 - ceil(log10(abs(l_extendedprice))))) / pow(10, 1 - ceil(log10(abs(l_extendedprice)))) AS price, count(*) AS n FROM lineitem GROUP BY 1""",
     "horizontal_concat": "SELECT coalesce(n_nationkey, r_regionkey) AS line_no, coalesce(n_name, 'NA') AS n_name, coalesce(r_name, 'NA') AS r_name FROM nation FULL JOIN region ON n_nationkey = r_regionkey",
     "matrix_union": "SELECT l_suppkey AS \"row\", " + ", ".join(f"count(*) FILTER (l_returnflag = '{c}' OR l_linestatus = '{c}') AS \"{c}\"" for c in "AFNOR") + " FROM lineitem GROUP BY l_suppkey",
-    "regression": "SELECT l_suppkey, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, round(corr(l_extendedprice, l_quantity), 6) AS r FROM lineitem GROUP BY l_suppkey",
+    "regression": """WITH r AS (SELECT l_suppkey, CAST(l_extendedprice AS DOUBLE) AS x, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) AS k FROM lineitem)
+      SELECT l_suppkey, round(regr_r2(x, k), 6) AS r2, round((regr_syy(x, k) - regr_sxy(x, k) * regr_sxy(x, k) / nullif(regr_sxx(x, k), 0)) / 1e6, 4) AS sse FROM r GROUP BY l_suppkey""",
     "event_runs": """WITH c AS (SELECT user_id, event_type, event_id, epoch_us(ts) AS us, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS brk FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
       i AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY us, event_id) AS run FROM c) SELECT user_id, event_type, min(us) AS start, max(us) AS "end", count(*) AS n FROM i GROUP BY user_id, event_type, run""",
     "consecutive_duplicates": """SELECT event_id, user_id, event_type FROM events QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)""",

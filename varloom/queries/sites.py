@@ -30,14 +30,8 @@ _PAIR = ["cov_n", "var_n", "cov_t", "var_t"]
 
 def sort_sites(spark, sf_dir):
     """Every canonical row with its rank in genome order within the sample."""
-    from pyspark.sql import Window
-
-    rows = Q.canonical_sites(_raw(spark, sf_dir))
-    # ranks within a chromosome, then the chromosomes' counts: no window holds a whole sample
-    within = rows.select("sample", "chrom", "pos", "line_no", "site_id", F.row_number().over(Window.partitionBy("sample", "chrom").orderBy("pos", "line_no", "site_id")).alias("r"))
-    counts = rows.groupBy("sample", "chrom").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("sample", "chrom", (F.sum("n").over(Window.partitionBy("sample").orderBy("chrom")) - F.col("n")).alias("b"))
-    return within.join(before, ["sample", "chrom"]).select("site_id", (F.col("b") + F.col("r")).cast("bigint").alias("place"))
+    rows = Q.canonical_sites(_raw(spark, sf_dir)).select("sample", "chrom", "pos", "line_no", "site_id")
+    return Q.genome_ranks(rows).select("site_id", "place")
 
 
 def dedup_sites(spark, sf_dir):
