@@ -122,3 +122,45 @@ def test_settings_are_read_whole(spark, tmp_path):
     (tmp_path / "s.txt").write_text("# c\n\n  # d\n" + "".join(f"k{i} v {i}\n" for i in range(12_000)) + "k5\n")
     got = read_settings(spark, str(tmp_path / "s.txt"))
     assert len(got) == 12_000 and got["k11999"] == "v 11999" and got["k5"] == ""
+
+
+def test_smaller_readers_and_writers(spark, tmp_path):
+    from varloom.operators import origins as O
+
+    def put(name, text):
+        (tmp_path / name).write_text(text)
+        return str(tmp_path / name)
+
+    assert [tuple(r) for r in T.read_groups(spark, put("g", "a\t1\nb\t2\nc\t3\nd\n")).orderBy("sample").collect()] == [("a", 1), ("b", 2)]
+    assert [tuple(r) for r in T.read_driver_map(spark, put("d", "t1\td1\nt1\td1\nt2\n \td\n")).collect()] == [("t1", "d1")]
+    roster = T.read_roster(spark, put("p", "P\tx\tx\ty\tx\n\nQ\n"))
+    assert [tuple(r) for r in roster.orderBy("pathway", "gene").collect()] == [("P", "x"), ("P", "x"), ("P", "y")]
+    assert T.read_roster(spark, str(tmp_path / "p"), skip_adjacent=False).count() == 4
+    assert {tuple(r) for r in T.read_table(spark, put("h", "k\tv\na\t1\nb\t2\na\t3\n"), "k").collect()} == {("a", "3"), ("b", "2")}
+    assert T.read_table(spark, str(tmp_path / "h")).count() == 3
+    signed = O.read_signed(T.read_mutation_bed(spark, put("m", "chr1\t5\t6\tx\t-1\nchrX\t7\t8\tx\t2\n"))).orderBy("pos").collect()
+    assert [tuple(r) for r in signed] == [(1, 5, False), (23, 7, True)]
+    sites = spark.createDataFrame([("s", 1, 5, 10, "LOH"), ("t", 1, 9, -1, "cnLOH")], "sample string, chrom int, pos int, rs int, event string")
+    T.write_probes(sites, str(tmp_path / "probes"))
+    assert {tuple(r) for r in T.read_probes(spark, str(tmp_path / "probes")).collect()} == {("rs10", 1, 5), ("novel_1", 1, 9)}
+    T.write_classified(sites, str(tmp_path / "classified"))
+    assert sorted(p.name for p in (tmp_path / "classified").glob("sample=*")) == ["sample=s", "sample=t"]
+    assert {r["event"] for r in spark.read.csv(str(tmp_path / "classified"), sep="\t", header=True).collect()} == {"LOH", "cnLOH"}
+    regions = spark.createDataFrame([("p", 1, 5, 9, 3, 0.5, "LOH")], "sample string, chrom int, start int, end int, n int, value double, event string")
+    T.write_regions(regions, str(tmp_path / "regions"))
+    assert [tuple(r) for r in T.read_regions(spark, str(tmp_path / "regions")).collect()] == [("p", 1, 5, 9, 3, 0.5, "LOH")]
+    paths = T.write_tables({"a": sites, "b": regions}, str(tmp_path / "run"))
+    assert [spark.read.csv(p, sep="\t", header=True).count() for p in paths] == [2, 1]
+    lines = T.bedgraph_lines(regions.withColumn("score", F.lit(7)).withColumn("chrom", F.lit(23)))
+    assert [r["value"] for r in lines.collect()] == ["chrX 4 9 7"]
+    assert T.track_header("n", "d") == 'track name="n" description="d" useScore=1'
+    assert T.session_xml("hg", ["a&b.bed"]).count("<Resource path=\"a&amp;b.bed\"/>") == 1
+
+
+def test_streaming_deduplicates_within_the_watermark(spark, tmp_path):
+    from datetime import datetime
+
+    t = lambda h: datetime(2031, 1, 1, h)
+    rows = [[(t(1), "a"), (t(1), "a"), (t(1), "b")], [(t(2), "a")], [(t(8), "c")], [(t(8), "d")], [(t(9), "a")]]
+    got = run_stream(spark, tmp_path / "d", rows, "ts timestamp, k string", lambda s: W.deduplicate(s, "ts", ["k"]))
+    assert sorted((r["k"], r["ts"].hour) for r in got) == [("a", 1), ("a", 9), ("b", 1), ("c", 8), ("d", 8)]

@@ -176,3 +176,31 @@ def test_tracks(spark):
     assert sorted(r[0] for r in R.bed_lines(R.browser_scores(df)).select("value").collect()) == ["chrX 1 10 LOH 200 +", "chrX 10 20 LOH 666 +"]
     cn = R.copy_number_track(spark.createDataFrame([(1, 1, 10, -1.0), (1, 5, 20, 1.0)], "chrom int, start int, end int, value double"))
     assert cn.count() == 3 and cn.agg(F.min("score"), F.max("score")).first()[0] >= 200
+
+
+def test_simulated_tissues(spark):
+    from varloom.operators import simulate as U
+
+    rows = [("s", 1, i, 100, 50, 200, v) for i, v in enumerate([0, 10, 100, 150, 200] * 400)]
+    df = spark.createDataFrame(rows, "sample string, chrom int, pos int, cov_n int, var_n int, cov_t int, var_t int")
+    got = U.tumor_only(df, coverage=60.0).toPandas()
+    assert got.groupby("var_t").apply(lambda d: (d.var_n / d.cov_n).mean(), include_groups=False).round(1).to_dict() == {0: 0.0, 10: 0.0, 100: 0.5, 150: 0.5, 200: 1.0}
+    assert abs(got.cov_n.mean() - 60) < 1 and 50 < got.cov_n.var() < 70 and got.cov_n.min() >= 15 and (got.var_n <= got.cov_n).all()
+    het = got[got.var_t == 100]
+    assert abs((het.var_n - het.cov_n / 2).var() / (het.cov_n.mean() / 4) - 1) < 0.25
+    again = U.tumor_only(df.repartition(7), coverage=60.0).toPandas().sort_values("pos", ignore_index=True)
+    assert (again.cov_n == got.sort_values("pos", ignore_index=True).cov_n).all()
+    assert {tuple(r) for r in U.germline_only(df).select("cov_t", "var_t").distinct().collect()} == {(100, 50)}
+    mixed = {tuple(r) for r in U.contaminate_normal(df.where("var_t = 0"), 0.5).select("cov_n", "var_n").distinct().collect()}
+    assert mixed == {(150, 25)}
+
+
+def test_kmeans():
+    import numpy as np
+
+    from varloom.operators.classify import kmeans_lloyd
+
+    rng = np.random.default_rng(3)
+    points = np.vstack([rng.normal(c, 0.05, (50, 2)) for c in (0.0, 1.0, 2.0)])
+    labels = kmeans_lloyd(points, 3)
+    assert [len(set(labels[i : i + 50])) for i in (0, 50, 100)] == [1, 1, 1] and len(set(labels)) == 3

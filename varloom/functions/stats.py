@@ -42,11 +42,6 @@ def binomial_tail(table: Column, n: Column, k: Column, p: float = 0.5) -> Column
     return F.when((n <= 0) | (k <= 0), 1.0).when(k > n, 0.0).otherwise(F.least(total, F.lit(1.0)))
 
 
-def imbalance_p(table: Column, var: Column, total: Column) -> Column:
-    """One-sided tail at the larger of the two allele counts."""
-    return binomial_tail(table, total, F.greatest(var, total - var))
-
-
 def poisson_pmf(table: Column, mean: Column, k: Column) -> Column:
     return F.when(k >= 0, F.exp(k * F.ln(mean) - mean - _at(table, k))).otherwise(0.0)
 
@@ -186,8 +181,3 @@ def uniform_chi2_p(counts: np.ndarray) -> float:
     observed = np.floor(counts / total * 100 + 0.5)
     expected = max(1.0, 100 / len(counts))
     return chi2_sf(float(((observed - expected) ** 2 / expected).sum()), len(counts) - 1)
-
-
-def lnfact_table(spark: SparkSession, most: int) -> DataFrame:
-    """n and ln(n!) for joins where the literal array would be too long."""
-    return spark.createDataFrame(pd.DataFrame({"n": np.arange(most + 1), "lnfact": np.r_[0.0, np.cumsum(np.log(np.arange(1, most + 1)))]}))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.genomics import CHROM_LENGTHS
+from ..functions.stats import half_binomial_tails, log_factorials
 
 #: Copies of either haplotype per event.
 HAPLOTYPES = {"HETGermline": (1, 1), "LOH": (0, 1), "cnLOH": (0, 2), "GainSomatic": (1, 2), "GainGermline": (1, 2), "DELHom": (0, 0)}
@@ -32,13 +33,16 @@ def place_regions(sample: str, n: int = 5, mean_length: float = 8e7, seed: int =
 
 
 def reads(rng: np.random.Generator, coverage: float, copies: tuple[int, int], purity: float, floor: int = 0) -> tuple[int, int]:
-    """Reference and variant reads of a heterozygous site: Poisson per haplotype at the copies the purity mixes, redrawn below ``floor``."""
+    """Reference and variant reads of a heterozygous site: Poisson per haplotype at the copies the purity mixes, redrawn below ``floor``.
+
+    A floor far above what the rates give is an error, not a pair below it.
+    """
     rates = [coverage / 2 * (purity * c + (1 - purity)) for c in copies]
     for _ in range(1000):
         a, b = rng.poisson(rates)
         if a + b >= floor:
-            break
-    return int(a), int(b)
+            return int(a), int(b)
+    raise ValueError(f"reads of rates {rates} don't reach {floor}")
 
 
 def simulate_cohort(spark: SparkSession, samples: list[str], sites_per_chrom: int | dict[str, int] = 200, coverage: float = 100.0, purity_t: float = 0.7,
@@ -75,15 +79,31 @@ def simulate_cohort(spark: SparkSession, samples: list[str], sites_per_chrom: in
 
 def tumor_only(sites: DataFrame, coverage: float = 100.0, seed: int = 7) -> DataFrame:
     """A matched normal for samples without one: balanced reads where the tumor shows both alleles, else the tumor's own genotype."""
+    most = int(coverage + 12 * coverage**0.5 + 20)
+    log = log_factorials(most)
+    counts = np.cumsum(np.exp(np.arange(most + 1) * np.log(coverage) - coverage - log))
+
+    def uniform(key: np.ndarray, salt: int) -> np.ndarray:
+        """A number between 0 and 1 per site, the same wherever the site lies (a mixing hash of its key)."""
+        x = key.astype(np.uint64) + np.uint64((seed * 2 + salt) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53
+
     @F.pandas_udf("cov int, var int")
     def draw(key: pd.Series, var: pd.Series, cov: pd.Series) -> pd.DataFrame:
-        out = []
-        for k, v, c in zip(key, var, cov):
-            rng = np.random.default_rng([seed, int(k) & 0xFFFFFFFF])
-            total = max(15, int(rng.poisson(coverage)))
-            f = 0.0 if not c or v <= 0.1 * c else 1.0 if v > 0.9 * c else 0.5
-            out.append((total, int(rng.binomial(total, f))))
-        return pd.DataFrame(out, columns=["cov", "var"])
+        key, var, cov = key.to_numpy(np.int64), var.to_numpy(float), cov.to_numpy(float)
+        with np.errstate(over="ignore"):
+            one, two = uniform(key, 0), uniform(key, 1)
+        total = np.maximum(15, np.minimum(np.searchsorted(counts, one), most))
+        none = ~(cov > 0) | ~(var > 0.1 * cov)
+        out = np.where(none, 0, total)  # homozygous sites keep the tumor's genotype
+        het = ~none & (var <= 0.9 * cov)
+        for n in np.unique(total[het]):
+            rows = het & (total == n)
+            at_most = 1 - np.r_[half_binomial_tails(int(n), log)[1:], 0.0]
+            out[rows] = np.searchsorted(at_most, two[rows])
+        return pd.DataFrame({"cov": total.astype("int32"), "var": np.minimum(out, total).astype("int32")})
 
     key = F.xxhash64("sample", "chrom", "pos")
     return sites.withColumn("__n", draw(key, F.col("var_t"), F.col("cov_t"))).withColumns({"cov_n": F.col("__n.cov"), "var_n": F.col("__n.var")}).drop("__n")

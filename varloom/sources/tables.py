@@ -184,6 +184,55 @@ def read_groups(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.col("c0").alias("sample"), F.col("c1").try_cast("int").alias("group")).where("group IN (1, 2)")
 
 
+def read_driver_map(spark: SparkSession, path: str) -> DataFrame:
+    """tumor and driver of a mapping file: two tab-separated names a line, lines of fewer columns left out."""
+    t = _read(spark, path, 2)
+    return t.select(F.trim("c0").alias("tumor"), F.trim("c1").alias("driver")).where("tumor <> '' AND driver <> ''").distinct()
+
+
+def read_roster(spark: SparkSession, path: str, skip_adjacent: bool = True) -> DataFrame:
+    """pathway and gene from lines of a pathway followed by its genes; a gene named twice in a row counts once unless told otherwise."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parts = F.split("value", "\t")
+    rows = lines.select(F.trim(F.get(parts, F.lit(0))).alias("pathway"), F.posexplode(F.slice(parts, 2, 1_000_000_000)).alias("at", "gene"), parts.alias("p"))
+    rows = rows.withColumn("gene", F.trim("gene")).withColumn("before", F.when(F.col("at") > 0, F.trim(F.get("p", F.col("at")))))
+    rows = rows.where("gene <> ''")
+    return (rows.where(~F.col("gene").eqNullSafe(F.col("before"))) if skip_adjacent else rows).select("pathway", "gene")
+
+
+def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """A table with a header line as text columns; with ``key`` the last line of each key, as a look-up table has it."""
+    t = spark.read.csv(path, sep="\t", header=True)
+    if key is None:
+        return t
+    numbered = t.withColumn("__at", F.monotonically_increasing_id())
+    rest = [c for c in t.columns if c != key]
+    return numbered.groupBy(key).agg(*[F.max_by(c, "__at").alias(c) for c in rest]).select(*t.columns)
+
+
+def bedgraph_lines(pieces: DataFrame, value: str = "score") -> DataFrame:
+    """``chrom start end value`` lines; starts are 0-based and ends exclusive there."""
+    code = F.when(F.col("chrom") == 23, "X").when(F.col("chrom") == 24, "Y").when(F.col("chrom") == 25, "M").otherwise(F.col("chrom").cast("string"))
+    return pieces.select("chrom", "start", F.concat_ws(" ", F.concat(F.lit("chr"), code), F.col("start") - 1, F.col("end"), F.col(value)).alias("value"))
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str, header: bool = True) -> list[str]:
+    """The tables of one run, each in a folder of its name; their paths."""
+    for name, df in tables.items():
+        write_tsv(df, f"{folder}/{name}", header)
+    return [f"{folder}/{name}" for name in tables]
+
+
+def write_probes(sites: DataFrame, path: str) -> None:
+    """The probe map of all positions as a file that ``read_probes`` reads."""
+    write_tsv(probe_map(sites), path)
+
+
+def write_regions(regions: DataFrame, path: str) -> None:
+    """Regions (sample, chrom, start, end, n, value, event) as a file that ``read_regions`` reads."""
+    write_tsv(regions.select("sample", "chrom", "start", "end", "n", "value", "event"), path, False)
+
+
 def track_header(name: str, description: str) -> str:
     return f'track name="{name}" description="{description}" useScore=1'
 
