@@ -174,10 +174,15 @@ def chi2_sf(x: float, df: int) -> float:
 
 
 def uniform_chi2_p(counts: np.ndarray) -> float:
-    """p of bin counts against equal shares, as rounded percentages with an expected count of at least one."""
+    """p of bin counts against equal shares, as rounded percentages with an expected count of at least one, rescaled to
+    what the rounded percentages sum to."""
     total = counts.sum()
     if total == 0:
         return 1.0
     observed = np.floor(counts / total * 100 + 0.5)
     expected = max(1.0, 100 / len(counts))
+    if abs(observed.sum() - expected * len(counts)) > 1e-5:
+        expected = observed.sum() / len(counts)
+    if expected == 0:
+        return 1.0
     return chi2_sf(float(((observed - expected) ** 2 / expected).sum()), len(counts) - 1)
