@@ -24,9 +24,13 @@ def test_query_equals_sql(spark, con, name):
     assert_same(spark, con, QUERIES[name], ORACLES[name])
 
 
+#: Queries whose result needs more samples than the smallest tables have.
+WIDER = {"recurrent_origins"}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_runs(spark, name):
-    df = QUERIES[name](spark, DATA)
+    df = QUERIES[name](spark, DATA.replace("0.001", "0.01") if name in WIDER else DATA)
     assert df.columns and df.count() > 0
 
 
