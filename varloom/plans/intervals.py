@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .cut import cut
-from .joins import small
 
 #: Width of a bin of a range join, about the length of a usual interval.
 BIN = 1_000_000
@@ -18,11 +17,6 @@ BIN = 1_000_000
 BLOCK = 50_000_000
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """A table that is cheap to read, broadcast when it is counted to be small."""
-    return F.broadcast(df) if small(df) else df
-
-
 def _bins(low: Column, high: Column, width: int) -> Column:
     return F.sequence(F.floor(low / width), F.floor(high / width))
 
@@ -103,7 +97,7 @@ def ordered_islands(df: DataFrame, keys: list[str], order: str, same: list[str],
         blocks = blocks.select(*keys, "__blk", "__cuts", starts.cast("int").alias("__b"))
     blocks = blocks.withColumn("__base", F.sum(F.col("__cuts") + F.col("__b")).over(over) - F.col("__cuts"))
     blocks = blocks.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__blk").alias("__kb"), "__base")
-    blocks = _few(cut(blocks))
+    # one row per block: broadcast or sorted as its size at run time says
     joined = here.join(blocks, [here[k].eqNullSafe(blocks[f"__k_{k}"]) for k in keys] + [here["__blk"] == blocks["__kb"]])
     return joined.withColumn(out, (F.col("__base") + F.col("__n")).cast("bigint")).drop(
         "__blk", "__cut", "__n", "__kb", "__base", *[f"__k_{k}" for k in keys])
